@@ -15,6 +15,7 @@ from stridelake.functions.rules import (
     WEEK_LOW,
     WEEK_MEDIUM_OR_HIGH,
     WEEK_NONE,
+    all_medium_or_high,
 )
 
 
@@ -64,3 +65,19 @@ def week_labels(daily: DataFrame) -> DataFrame:
         .otherwise(WEEK_LOW)
         .alias("week_label"),
     )
+
+
+def all_match(kept: DataFrame) -> DataFrame:
+    """For each key: how many days are kept and whether all of them are medium or high.
+
+    `kept` comes from `last_days`, so a collection has seven labels at most.
+    """
+    return (
+        kept.groupBy("key")
+        .agg(F.collect_list("label").alias("_labels"))
+        .select(
+            "key",
+            F.size("_labels").alias("days_kept"),
+            all_medium_or_high(F.col("_labels")).alias("all_medium_or_high"),
+        )
+    )

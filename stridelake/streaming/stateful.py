@@ -6,6 +6,7 @@ express as joins; per key both are one value of state.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import astuple
 
@@ -54,6 +55,8 @@ def changes(
     )
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        # Spark itself joins frames without rows to the output of each group; pandas warns about that.
+        warnings.filterwarnings("ignore", category=FutureWarning, message=".*DataFrame concatenation.*")
         if group.hasTimedOut:
             group.remove()
             return
