@@ -48,33 +48,40 @@ def decode_android(feed: DataFrame, strict: bool = False, reject_unknown: bool =
 
 
 def decode(feed: DataFrame, layout: str, strict: bool = False, reject_unknown: bool = False) -> DataFrame:
-    """Add `record` in the given layout and `fault`, null for a good record.
+    """Add `record` in the given layout and `fault`, null for a good record; else `record` is not to be used.
 
     `feed` has the envelope columns and `value`. Split the result with `accepted` and `quarantined`.
     `strict` fails the query at the first fault instead; `reject_unknown` makes extra fields a fault.
     """
     record_type = T.StructType.fromDDL(layout)
-    parsed = feed.select(*ENVELOPE_FIELDS, "value", F.from_json("value", _as_text(record_type)).alias("_raw"))
+    # An explode of one element keeps the optimizer from copying the parser, and then the casts, into every
+    # use of a field.
+    document = F.from_json("value", _as_text(record_type))
+    parsed = feed.select(*ENVELOPE_FIELDS, "value", F.explode(F.array(document)).alias("_text"))
+    text, record = F.col("_text"), F.col("record")
+    typed = parsed.select(
+        *ENVELOPE_FIELDS, "value", "_text", F.explode(F.array(_typed(text, record_type))).alias("record")
+    )
     required, time_field = REQUIRED[layout]
-    raw = F.col("_raw")
     # An object opens with a brace; anything else parses to a record of nulls or to null.
-    is_object = F.ltrim("value").startswith("{") & raw.isNotNull()
+    is_object = F.ltrim("value").startswith("{") & text.isNotNull()
     faults = [
         F.when(F.col("value").isNull(), NO_BODY),
         F.when(~F.coalesce(is_object, F.lit(False)), NOT_JSON),
-        *[F.when(raw[part].isNull(), MISSING + part) for part in required],
-        F.when(raw[time_field].isNull(), MISSING + time_field),
-        *_bad_fields(raw, record_type),
+        *[F.when(text[part].isNull(), MISSING + part) for part in required],
+        F.when(text[time_field].isNull(), MISSING + time_field),
+        *[
+            F.when(value.isNull() & (F.trim(written) != ""), BAD_FIELD + field.name)
+            for field, written, value in _leaves(text, record, record_type)
+            if not isinstance(field.dataType, T.StringType)
+        ],
     ]
     if reject_unknown:
         faults += _unknown_fields(record_type)
     fault = F.coalesce(*faults)
-    record = _typed(raw, record_type)
     if strict:
         fault = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("undecodable activity: "), fault)))
-    return parsed.select(
-        *ENVELOPE_FIELDS, "value", F.when(fault.isNull(), record).alias("record"), fault.cast("string").alias("fault")
-    )
+    return typed.select(*ENVELOPE_FIELDS, "value", "record", fault.cast("string").alias("fault"))
 
 
 def accepted(decoded: DataFrame) -> DataFrame:
@@ -100,7 +107,7 @@ def decode_normalized(feed: DataFrame) -> DataFrame:
     """The way back from `encode_normalized`; a record without a value keeps its place with null fields."""
     layout = ", ".join(f"{name} {'string' if name == 'timestamp' else kind}" for name, kind in _normalized_types())
     raw = F.col("_raw")
-    return feed.select(*ENVELOPE_FIELDS, F.from_json("value", layout).alias("_raw")).select(
+    return feed.select(*ENVELOPE_FIELDS, F.explode(F.array(F.from_json("value", layout))).alias("_raw")).select(
         *ENVELOPE_FIELDS,
         *[
             (_instant(raw[name]) if name == "timestamp" else raw[name]).alias(name)
@@ -122,20 +129,13 @@ def _as_text(struct: T.StructType) -> T.StructType:
     )
 
 
-def _leaves(column: Column, struct: T.StructType):
+def _leaves(text: Column, record: Column, struct: T.StructType):
+    """Scalar fields with the text they came as and the value it gave."""
     for field in struct.fields:
         if isinstance(field.dataType, T.StructType):
-            yield from _leaves(column[field.name], field.dataType)
+            yield from _leaves(text[field.name], record[field.name], field.dataType)
         else:
-            yield field, column[field.name]
-
-
-def _bad_fields(raw: Column, struct: T.StructType) -> list[Column]:
-    return [
-        F.when(_present(text).isNotNull() & _scalar(text, field.dataType).isNull(), BAD_FIELD + field.name)
-        for field, text in _leaves(raw, struct)
-        if not isinstance(field.dataType, T.StringType)
-    ]
+            yield field, text[field.name], record[field.name]
 
 
 def _unknown_fields(struct: T.StructType, path: str = "$") -> list[Column]:
@@ -148,16 +148,17 @@ def _unknown_fields(struct: T.StructType, path: str = "$") -> list[Column]:
     return found
 
 
-def _typed(raw: Column, struct: T.StructType) -> Column:
+def _typed(text: Column, struct: T.StructType) -> Column:
     fields = []
     for field in struct.fields:
-        text = raw[field.name]
+        written = text[field.name]
         if isinstance(field.dataType, T.StructType):
-            value = F.when(text.isNotNull(), _typed(text, field.dataType))
+            value = F.when(written.isNotNull(), _typed(written, field.dataType))
         else:
-            value = _scalar(text, field.dataType)
+            value = _scalar(written, field.dataType)
             if field.name in ZERO_WHEN_ABSENT:
-                value = F.coalesce(value, F.lit(0).cast(field.dataType))
+                absent = written.isNull() | (F.trim(written) == "")
+                value = F.when(absent, F.lit(0).cast(field.dataType)).otherwise(value)
         fields.append(value.alias(field.name))
     return F.struct(*fields)
 
@@ -167,15 +168,13 @@ def _scalar(text: Column, kind: T.DataType) -> Column:
         return text
     if isinstance(kind, T.TimestampType):
         return _instant(text)
-    number = _present(text).try_cast("double")
+    number = text.try_cast("double")
     return number.try_cast("int") if isinstance(kind, T.IntegerType) else number
 
 
 def _instant(text: Column) -> Column:
-    seconds = _present(text).try_cast("decimal(20,6)")
-    iso = F.when(text.rlike(ISO_INSTANT), text.try_cast("timestamp"))
-    return F.coalesce(iso, F.timestamp_micros((seconds * 1_000_000).try_cast("bigint")))
-
-
-def _present(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    """ISO instant with a zone, or epoch seconds with an optional fraction."""
+    seconds = text.try_cast("decimal(20,6)")
+    return F.when(text.rlike(ISO_INSTANT), text.try_cast("timestamp")).otherwise(
+        F.timestamp_micros((seconds * 1_000_000).try_cast("bigint"))
+    )
