@@ -32,6 +32,7 @@ ZERO_WHEN_ABSENT = {
 }
 ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
 
+UNPARSED = "_unparsed"
 NO_BODY = "no body"
 NOT_JSON = "not a JSON object"
 MISSING = "missing "
@@ -56,15 +57,16 @@ def decode(feed: DataFrame, layout: str, strict: bool = False, reject_unknown: b
     record_type = T.StructType.fromDDL(layout)
     # An explode of one element keeps the optimizer from copying the parser, and then the casts, into every
     # use of a field.
-    document = F.from_json("value", _as_text(record_type))
+    layout_as_text = _as_text(record_type).add(UNPARSED, "string")
+    document = F.from_json("value", layout_as_text, {"columnNameOfCorruptRecord": UNPARSED})
     parsed = feed.select(*ENVELOPE_FIELDS, "value", F.explode(F.array(document)).alias("_text"))
     text, record = F.col("_text"), F.col("record")
     typed = parsed.select(
         *ENVELOPE_FIELDS, "value", "_text", F.explode(F.array(_typed(text, record_type))).alias("record")
     )
     required, time_field = REQUIRED[layout]
-    # An object opens with a brace; anything else parses to a record of nulls or to null.
-    is_object = F.ltrim("value").startswith("{") & text.isNotNull()
+    # An object opens with a brace; the parser takes some other things for empty objects.
+    is_object = F.ltrim("value").startswith("{") & text.isNotNull() & text[UNPARSED].isNull()
     faults = [
         F.when(F.col("value").isNull(), NO_BODY),
         F.when(~F.coalesce(is_object, F.lit(False)), NOT_JSON),
