@@ -11,16 +11,19 @@ from stridelake.functions.rules import DAILY_HIGH, DAILY_LOW, DAILY_MEDIUM, dail
 def daily_steps(activity: DataFrame) -> DataFrame:
     """Final total of every (key, day), with the user id of the last record applied.
 
-    Grouped on the record key, not on the user id inside the record. Partial sums are built before the
-    shuffle, so a hot key reaches its reducer as one row a day from each task.
+    Grouped on the record key, not on the user id inside the record. The first step groups on both, so that
+    its buffers hold numbers only and hashing does it without sorting; the user id is picked in the second
+    step from the few rows left. Partial sums are built before the shuffle, so a hot key reaches its
+    reducer as one row a day from each task.
     """
-    return (
+    by_user = (
         activity.where(F.col("timestamp").isNotNull())
-        .groupBy("key", day_number(F.col("timestamp")).alias("day_no"))
-        .agg(
-            F.sum("steps").cast("bigint").alias("steps"),
-            F.max_by("userId", "arrival_seq").alias("userId"),
-        )
+        .groupBy("key", "userId", day_number(F.col("timestamp")).alias("day_no"))
+        .agg(F.sum("steps").cast("bigint").alias("steps"), F.max("arrival_seq").alias("_last"))
+    )
+    return (
+        by_user.groupBy("key", "day_no")
+        .agg(F.sum("steps").cast("bigint").alias("steps"), F.max_by("userId", "_last").alias("userId"))
         .select(
             "key",
             "userId",

@@ -28,17 +28,24 @@ def block_of(policy: SkewPolicy, seq: str = "arrival_seq") -> Column:
     return F.floor(F.col(seq) / F.lit(policy.block_rows)).cast("bigint")
 
 
+SAMPLE_PER_HOT_KEY = 1000
+
+
 def hot_keys(rows: DataFrame, policy: SkewPolicy) -> DataFrame | None:
-    """Keys above the limit, at most (all rows / `hot_rows`) of them; None when there is none.
+    """Keys at or above about `hot_rows` rows; None when there is none.
 
-    Input that is no longer than the limit cannot contain a hot key and costs one row count.
+    The keys are counted in a sample of the rows, of which a key at the limit has a thousand and needs half:
+    keys above the limit are found, and there can be no more than (all rows / half the limit) of them. The
+    sample decides only which way a key is worked on, and both ways give the same rows. Input that is no
+    longer than the limit cannot contain a hot key and costs one row count.
     """
     if rows.count() <= policy.hot_rows:
         return None
-    hot = staged(
-        rows.groupBy("key").count().where(F.col("count") > policy.hot_rows).select("key"),
-        "hot-keys",
-    )
+    fraction = min(1.0, SAMPLE_PER_HOT_KEY / max(policy.hot_rows, 1))
+    keys, limit = rows.select("key"), policy.hot_rows
+    if fraction < 1.0:
+        keys, limit = keys.sample(fraction), SAMPLE_PER_HOT_KEY // 2
+    hot = staged(keys.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
@@ -62,7 +69,7 @@ def running_max(rows: DataFrame, group: str, value: Column, policy: SkewPolicy)
     )
 
 
-def number_in_order(rows: DataFrame, group: str, time: str, tie: str, bucket: str = "hour") -> DataFrame:
+def number_in_order(rows: DataFrame, group: str, time: str, tie: str, bucket: str = "minute") -> DataFrame:
     """Add `arrival_seq`: 1, 2, ... in (time, tie) order inside each group.
 
     Rows are numbered inside time buckets; the offset of a bucket is the count of the buckets before it.

@@ -45,7 +45,6 @@ TIMELINE_FIELDS = [
 ]
 
 OPEN_DAYS = 2
-CLOSED_DAYS = HISTORY_DAYS - OPEN_DAYS
 
 
 def timeline(
@@ -74,18 +73,13 @@ def _regular(rows: DataFrame, fresh_label: bool) -> DataFrame:
     by_arrival = W.partitionBy("key").orderBy("arrival_seq").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("epoch", F.max(F.when(F.col("on_time"), F.col("day_no"))).over(by_arrival))
     in_epoch = W.partitionBy("key", "epoch")
-    in_order = in_epoch.orderBy("arrival_seq")
-    rows = (
-        _split_by_day(rows)
-        .withColumns({"_position": F.row_number().over(in_order), **_running(in_order)})
-        .withColumns(
-            {
-                "opens": F.col("epoch").isNotNull() & (F.col("_position") == 1),
-                "epoch_current": F.sum("current").over(in_epoch),
-                "epoch_late": F.sum("late").over(in_epoch),
-                "epoch_late_rows": F.count("late").over(in_epoch),
-            }
-        )
+    rows = _split_by_day(rows).withColumns(
+        {
+            **_running(in_epoch.orderBy("arrival_seq")),
+            "epoch_current": F.sum("current").over(in_epoch),
+            "epoch_late": F.sum("late").over(in_epoch),
+            "epoch_late_rows": F.count("late").over(in_epoch),
+        }
     )
     rows = _labelled(_closed_days(rows))
     # Epochs never step back, so (epoch, arrival_seq) is arrival order and the sort above is kept.
@@ -156,13 +150,12 @@ def _carries(rows: DataFrame) -> DataFrame:
         F.sum("current").over(in_epoch).alias("epoch_current"),
         F.sum("late").over(in_epoch).alias("epoch_late"),
         F.sum("late_rows").over(in_epoch).alias("epoch_late_rows"),
-        (F.row_number().over(in_epoch.orderBy("block")) == 1).alias("_first_part"),
-        F.lit(True).alias("on_time"),
-    ).withColumn("opens", F.col("_first_part") & F.col("epoch").isNotNull())
+        F.col("epoch").isNotNull().alias("on_time"),
+    )
     parts = _labelled(_closed_days(parts))
     # A block ends with the label of its newest epoch; a block of records out of time has none.
     in_block = W.partitionBy("key", "block").orderBy("epoch")
-    ends = F.last(F.when(F.col("epoch").isNotNull(), F.col("week_label")), True).over(
+    ends = F.last("week_label", True).over(
         in_block.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     )
     earlier_blocks = W.partitionBy("key").orderBy("block").rangeBetween(W.unboundedPreceding, -1)
@@ -174,10 +167,10 @@ def _carries(rows: DataFrame) -> DataFrame:
             "block",
             "epoch",
             *[f"from_{running}" for _, running in carried],
+            "previous_epoch",
             "previous_current",
-            "previous_days",
-            "closed_active",
-            "closed_low",
+            "active_since",
+            "last_low",
             "from_label",
         )
     )
@@ -201,52 +194,63 @@ def _running(order) -> dict[str, Column]:
 
 
 def _closed_days(rows: DataFrame) -> DataFrame:
-    """Add, for the row's epoch: activity and low days among the closed days, and the previous day's total.
-
-    Only the row that `opens` an epoch speaks for it. A day can also be active through late records alone;
-    those are found in the epoch after it, one step to the right of where the day itself would be.
-    """
-    by_epoch = W.partitionBy("key").orderBy("epoch")
+    """Add what the row's epoch finds behind it, from the totals of the key's earlier epochs.
 
-    def at_openings(column: str, first: int, last: int) -> Column:
-        value = F.when(F.col("opens"), F.col(column).cast("bigint"))
-        return F.coalesce(F.sum(value).over(by_epoch.rangeBetween(first, last)), F.lit(0))
+    * `previous_epoch` and `previous_current`: the epoch before and its own day's total at its end;
+    * `active_since`: first day of the unbroken run of active days that ends with the previous epoch;
+    * `last_low`: newest low day among the closed ones (before epoch - 1).
 
-    rows = rows.withColumns(
+    A day can be active through late records alone: they are found in the epoch that follows it. All values
+    are the same on all rows of an epoch and only maxima are taken, so rows need not be told apart.
+    """
+    earlier = W.partitionBy("key").orderBy("epoch").rangeBetween(W.unboundedPreceding, -1)
+    epoch, late_rows = F.col("epoch"), F.col("epoch_late_rows") > 0
+    rows = rows.withColumn("_previous", F.max(F.struct("epoch", "epoch_current")).over(earlier)).withColumns(
         {
-            "previous_days": at_openings("opens", -1, -1),
-            "previous_current": at_openings("epoch_current", -1, -1),
-            "_added_later": at_openings("epoch_late", 1, 1),
+            "previous_epoch": F.col("_previous.epoch"),
+            "previous_current": F.col("_previous.epoch_current"),
+            "_next_to": (F.col("_previous.epoch") == epoch - 1).eqNullSafe(True),
         }
     )
+    next_to, previous = F.col("_next_to"), F.col("previous_epoch")
+    bridged = next_to | (late_rows & (previous == epoch - 2))
+    final = F.col("previous_current") + F.when(next_to, F.coalesce("epoch_late", F.lit(0))).otherwise(0)
+    late_only_low = ~next_to & late_rows & (F.col("epoch_late") < MEDIUM_FROM)
     rows = rows.withColumns(
         {
-            "_low": F.col("epoch_current") + F.col("_added_later") < MEDIUM_FROM,
-            "_late_only": (F.col("epoch_late_rows") > 0) & (F.col("previous_days") == 0),
+            "_start": F.when(bridged, None).when(late_rows, epoch - 1).otherwise(epoch),
+            "_low": F.when(final < MEDIUM_FROM, previous),
+            "_late_low": F.when(late_only_low, epoch - 1),
         }
-    ).withColumn("_late_only_low", F.col("_late_only") & (F.col("epoch_late") < MEDIUM_FROM))
-    oldest, newest = 1 - HISTORY_DAYS, -OPEN_DAYS
+    )
     return rows.withColumns(
         {
-            "closed_active": at_openings("opens", oldest, newest) + at_openings("_late_only", oldest + 1, newest + 1),
-            "closed_low": at_openings("_low", oldest, newest) + at_openings("_late_only_low", oldest + 1, newest + 1),
+            "active_since": F.max("_start").over(earlier),
+            "last_low": F.greatest(
+                F.max(F.greatest("_low", "_late_low")).over(earlier), F.when(~next_to, F.col("_low"))
+            ),
         }
     )
 
 
 def _labelled(rows: DataFrame) -> DataFrame:
     """Weekly label after the row; null when the row is not on time."""
+    epoch, previous_epoch = F.col("epoch"), F.col("previous_epoch")
+    oldest = epoch - (HISTORY_DAYS - 1)
+    next_to = previous_epoch == epoch - 1
     late_total = F.coalesce("run_late", F.lit(0))
-    previous = F.coalesce("previous_current", F.lit(0)) + late_total
-    previous_active = (F.coalesce("previous_days", F.lit(0)) > 0) | (F.col("run_late_rows") > 0)
-    adjacent = (F.coalesce("closed_active", F.lit(0)) == CLOSED_DAYS) & previous_active
-    none_low = (
-        (F.col("closed_low") == 0)
-        & (previous >= MEDIUM_FROM)
-        & (F.coalesce("run_current", F.lit(0)) >= MEDIUM_FROM)
+    previous = F.when(next_to, F.col("previous_current") + late_total).otherwise(late_total)
+    adjacent = (
+        (F.col("active_since") <= oldest)
+        & (next_to | ((previous_epoch == epoch - OPEN_DAYS) & (F.col("run_late_rows") > 0)))
+    )
+    low = (
+        (F.col("last_low") >= oldest).eqNullSafe(True)
+        | (previous < MEDIUM_FROM)
+        | (F.coalesce("run_current", F.lit(0)) < MEDIUM_FROM)
     )
-    label = F.when(~adjacent, WEEK_NONE).when(none_low, WEEK_MEDIUM_OR_HIGH).otherwise(WEEK_LOW)
-    return rows.withColumn("_previous", previous).withColumn("week_label", F.when(F.col("on_time"), label))
+    label = F.when(~adjacent.eqNullSafe(True), WEEK_NONE).when(low, WEEK_LOW).otherwise(WEEK_MEDIUM_OR_HIGH)
+    return rows.withColumns({"_previous_total": previous, "week_label": F.when(F.col("on_time"), label)})
 
 
 def _up_to(order, fresh_label: bool):
@@ -256,7 +260,7 @@ def _up_to(order, fresh_label: bool):
 def _output(block: Column, label_seen: Column) -> list[Column]:
     total = F.when(
         F.col("on_time"),
-        F.when(F.col("day_no") == F.col("epoch"), F.col("run_current")).otherwise(F.col("_previous")),
+        F.when(F.col("day_no") == F.col("epoch"), F.col("run_current")).otherwise(F.col("_previous_total")),
     ).cast("bigint")
     return [
         F.col("key"),
