@@ -10,6 +10,8 @@ from stridelake.functions.rules import GRACE_SECONDS, day_number
 from stridelake.operators.skew import SkewPolicy, running_max
 from stridelake.session import staged
 
+DAY_SECONDS = 86_400
+
 
 def with_event_time(rows: DataFrame, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Add `event_time` and `stream_time` to records whose body, and so `timestamp`, may be missing.
@@ -26,34 +28,25 @@ def with_event_time(rows: DataFrame, policy: SkewPolicy = SkewPolicy()) -> DataF
 def day_closings(rows: DataFrame, grace_seconds: int = GRACE_SECONDS) -> DataFrame:
     """(partition_id, day_no, closed_by): offset of the record whose event time ends the day's grace.
 
-    A day is closed by the first record of its partition stamped at or after day end + grace. Each record
-    closes all days up to one, so the first offset per closing day, minimized over the later ones, is
-    enough: two small aggregates, no ordering of the rows. One row for each partition and UTC day.
+    A day is closed by the first record of its partition stamped at or after day end + grace: one of the
+    day right behind the grace that is far enough into its day, or any of a later day. First offsets per
+    day tell both, so the rows are aggregated and never ordered. One row for each partition and UTC day.
     """
-    ended = day_number(F.col("timestamp") - F.make_dt_interval(secs=F.lit(grace_seconds)))
-    seen = (
-        rows.where(F.col("timestamp").isNotNull())
-        .groupBy("partition_id", day_number(F.col("timestamp")).alias("day_no"), ended.alias("ended_before"))
-        .agg(F.min("arrival_seq").alias("seq"))
+    whole_days, rest = divmod(grace_seconds, DAY_SECONDS)
+    stamp = F.col("timestamp")
+    far_enough = day_number(stamp - F.make_dt_interval(secs=F.lit(rest))) == day_number(stamp)
+    firsts = (
+        rows.where(stamp.isNotNull())
+        .groupBy("partition_id", day_number(stamp).alias("day_no"))
+        .agg(F.min("arrival_seq").alias("_any"), F.min(F.when(far_enough, F.col("arrival_seq"))).alias("_far"))
     )
-    # One mark where a record closes the days before it, one where a day of the data needs its answer.
-    marks = (
-        seen.select(
-            "partition_id",
-            F.inline(
-                F.array(
-                    F.struct(F.col("ended_before").alias("at"), F.col("seq")),
-                    F.struct((F.col("day_no") + 1).alias("at"), F.lit(None).cast("bigint").alias("seq")),
-                )
-            ),
-        )
-        .groupBy("partition_id", "at")
-        .agg(F.min("seq").alias("seq"))
+    newest_first = W.partitionBy("partition_id").orderBy(F.desc("day_no"))
+    behind = -whole_days - 1
+    closed_by = F.least(
+        F.min("_any").over(newest_first.rangeBetween(W.unboundedPreceding, behind - 1)),
+        F.min("_far").over(newest_first.rangeBetween(behind, behind)),
     )
-    from_here_on = W.partitionBy("partition_id").orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, 0)
-    return marks.select(
-        "partition_id", (F.col("at") - 1).alias("day_no"), F.min("seq").over(from_here_on).alias("closed_by")
-    ).where(F.col("closed_by").isNotNull())
+    return firsts.select("partition_id", "day_no", closed_by.alias("closed_by")).where("closed_by IS NOT NULL")
 
 
 def with_lateness(rows: DataFrame, grace_seconds: int = GRACE_SECONDS) -> DataFrame:

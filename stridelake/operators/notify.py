@@ -45,10 +45,9 @@ def notification_fields(rows: DataFrame, unique_ids: bool = False) -> DataFrame:
 
 
 def undelivered(notifications: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
-    """Each notification id once, without those already in `delivered` (notificationId, timestamp).
+    """Each notification id once, without those already in `delivered` (notificationId, day).
 
-    A repeated id carries the timestamp it had, so the outbox is matched day by day and only its
-    partitions for the days at hand are read.
+    A repeated id carries the timestamp it had, so one day of the outbox is enough to look for it.
     """
     todo = notifications.dropDuplicates(["notificationId"]).withColumn("day", F.to_date("timestamp"))
     if delivered is None:

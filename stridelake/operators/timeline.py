@@ -205,14 +205,11 @@ def _closed_days(rows: DataFrame) -> DataFrame:
     """
     earlier = W.partitionBy("key").orderBy("epoch").rangeBetween(W.unboundedPreceding, -1)
     epoch, late_rows = F.col("epoch"), F.col("epoch_late_rows") > 0
-    rows = rows.withColumn("_previous", F.max(F.struct("epoch", "epoch_current")).over(earlier)).withColumns(
-        {
-            "previous_epoch": F.col("_previous.epoch"),
-            "previous_current": F.col("_previous.epoch_current"),
-            "_next_to": (F.col("_previous.epoch") == epoch - 1).eqNullSafe(True),
-        }
+    rows = rows.withColumns(
+        {"previous_epoch": F.last("epoch").over(earlier), "previous_current": F.last("epoch_current").over(earlier)}
     )
-    next_to, previous = F.col("_next_to"), F.col("previous_epoch")
+    previous = F.col("previous_epoch")
+    next_to = previous.eqNullSafe(epoch - 1)
     bridged = next_to | (late_rows & (previous == epoch - 2))
     final = F.col("previous_current") + F.when(next_to, F.coalesce("epoch_late", F.lit(0))).otherwise(0)
     late_only_low = ~next_to & late_rows & (F.col("epoch_late") < MEDIUM_FROM)

@@ -9,12 +9,10 @@ from pyspark.sql import DataFrame
 from stridelake.functions.rules import DEBOUNCE_SECONDS, GRACE_SECONDS
 from stridelake.operators import notify
 from stridelake.operators.debounce import debounce
-from stridelake.operators.event_time import with_lateness
+from stridelake.operators.event_time import DAY_SECONDS, with_lateness
 from stridelake.operators.skew import SkewPolicy, hot_keys
 from stridelake.operators.timeline import timeline
 
-DAY_SECONDS = 86_400
-
 
 @dataclass(frozen=True)
 class Settings:

@@ -40,8 +40,7 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reader = use_utc(spark).readStream.schema(EVENTS).option("pathGlobFilter", "events*")
-    return reader.parquet(f"{sf_dir}/events*")
+    return streams.files(use_utc(spark), f"{sf_dir}/events*", EVENTS)
 
 
 def _plain_times(df: DataFrame) -> DataFrame:

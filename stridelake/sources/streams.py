@@ -15,25 +15,26 @@ NOTIFICATION_TOPIC = "user-notifications"
 
 FEED = "key string, partition_id int, arrival_seq bigint, value string"
 
+# Bounds of one micro-batch, and with it of what one batch holds of any single key.
+FILES_PER_BATCH = 256
+RECORDS_PER_BATCH = 5_000_000
+
 
 def files(
-    spark: SparkSession, path: str, schema: str = FEED, form: str = "parquet", files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: str = FEED, form: str = "parquet", files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
-    """Stream of the files in a folder. `files_per_batch` bounds what one micro-batch holds of any key."""
-    reader = spark.readStream.schema(schema).format(form)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    """Stream of the files in a folder, which have to land in arrival order."""
+    return spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
 def kafka(
-    spark: SparkSession, servers: str, topic: str, records_per_batch: int | None = None, stream: bool = True
+    spark: SparkSession, servers: str, topic: str, records_per_batch: int = RECORDS_PER_BATCH, stream: bool = True
 ) -> DataFrame:
     """A topic under the feed layout; partition and offset are the arrival order."""
     reader = (spark.readStream if stream else spark.read).format("kafka")
     reader = reader.option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     reader = reader.option("startingOffsets", "earliest")
-    if stream and records_per_batch is not None:
+    if stream:
         reader = reader.option("maxOffsetsPerTrigger", records_per_batch)
     return reader.load().select(
         F.col("key").cast("string").alias("key"),

@@ -57,16 +57,46 @@ def write_changes(base: str, unique_ids: bool = False):
     return write
 
 
+def compact(spark: SparkSession, base: str, table: str, key: str = "key") -> int | None:
+    """Reduce the log of a table to the last row of each key, as of its newest batch.
+
+    Writes a folder of its own and leaves the log as it is; folders of batches up to the returned number are
+    no longer read by `current` and may be removed by whoever looks after the storage.
+    """
+    newest = read_log(spark, base, table).agg(F.max("batch_id")).first()[0]
+    if newest is None:
+        return None
+    rows = current(spark, base, table, key)
+    rows.write.mode("overwrite").parquet(f"{base}/{table}_compacted/upto={newest}")
+    return newest
+
+
+def current(spark: SparkSession, base: str, table: str, key: str = "key") -> DataFrame:
+    """Last row of each key: the newest compaction and the batches since."""
+    log = read_log(spark, base, table)
+    try:
+        compacted = spark.read.parquet(f"{base}/{table}_compacted")
+    except AnalysisException:
+        return latest(log.drop("batch_id"), key=key)
+    upto = compacted.agg(F.max("upto")).first()[0]
+    newer = log.where(F.col("batch_id") > upto).drop("batch_id")
+    return latest(compacted.where(F.col("upto") == upto).drop("upto").unionByName(newer), key=key)
+
+
 def deliver_to(outbox: str):
     """`foreachBatch` function that appends what the outbox does not hold yet, by notification id.
 
-    The outbox is partitioned by day, and a repeated id has the day it had, so only the days of the batch are
-    searched. Repeating a batch finds its own rows and appends nothing.
+    The outbox is partitioned by day, and a repeated id has the day it had, so only the days between the
+    first and the last of the batch are read. Repeating a batch finds its own rows and appends nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        first, last = batch.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+        if first is None:
+            return
         try:
             delivered = batch.sparkSession.read.schema("notificationId string, day date").parquet(outbox)
+            delivered = delivered.where(F.col("day").between(F.lit(first), F.lit(last)))
         except AnalysisException:
             delivered = None
         undelivered(batch, delivered).write.mode("append").partitionBy("day").parquet(outbox)

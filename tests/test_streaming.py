@@ -5,6 +5,7 @@ from conftest import at
 from test_timeline import random_rows
 
 from stridelake.operators.event_time import with_event_time
+from stridelake.operators.latest import latest_labels
 from stridelake.plans.pipeline import Replay, Settings
 from stridelake.schemas import ACTIVITY, ACTIVITY_FIELDS
 from stridelake.sources import events as feeds
@@ -54,10 +55,13 @@ def test_changes_equal_replay_across_a_restart(spark, tmp_path, clocked):
     for table in (sinks.NOTIFICATIONS, sinks.NOTIFICATION_TABLE):
         assert same(sinks.read_log(spark, folders["out"], table).select(*sent.columns), sent)
 
-    from stridelake.operators.latest import latest, latest_labels
-
-    labels = latest(sinks.read_log(spark, folders["out"], sinks.LABELS).drop("batch_id"))
-    assert same(labels, latest_labels(timeline).select(*labels.columns))
+    labels = latest_labels(timeline)
+    assert same(sinks.current(spark, folders["out"], sinks.LABELS).select(*labels.columns), labels)
+    assert sinks.compact(spark, folders["out"], sinks.LABELS) == 2
+    sinks.write_batch(spark.createDataFrame([("k0", 9999, "low")], labels.schema), folders["out"], sinks.LABELS, 3)
+    current = sinks.current(spark, folders["out"], sinks.LABELS)
+    assert same(current.where("key <> 'k0'").select(*labels.columns), labels.where("key <> 'k0'"))
+    assert current.where("key = 'k0'").first().week_label == "low"
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path, activity):
