@@ -14,7 +14,7 @@ blocks, with carries computed from one summary row for each (key, block, epoch).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -25,7 +25,6 @@ from stridelake.functions.rules import (
     WEEK_MEDIUM_OR_HIGH,
     WEEK_NONE,
     daily_label,
-    day_of,
 )
 from stridelake.operators.skew import SkewPolicy, block_of
 from stridelake.session import staged
@@ -45,6 +44,14 @@ TIMELINE_FIELDS = [
 ]
 
 OPEN_DAYS = 2
+OLDEST = HISTORY_DAYS - 1
+
+# Windows of the key: all rows of the epoch, of earlier epochs, and up to the row in arrival order.
+IN_EPOCH = "(PARTITION BY key, epoch)"
+EARLIER = "(PARTITION BY key ORDER BY epoch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+RUNNING = ("run_own", "run_late", "run_late_rows")
 
 
 def timeline(
@@ -60,32 +67,35 @@ def timeline(
     `label_seen` is the label as of the key's previous activity, or the current one with `fresh_label`;
     null when the key has no label yet. `block` is null except for the keys in `hot`.
     """
-    rows = activity.where(F.col("timestamp").isNotNull()).select(
-        "key", "arrival_seq", "userId", "timestamp", "day_no", "on_time", F.col("steps").alias("walked")
+    rows = activity.where("timestamp IS NOT NULL").selectExpr(
+        "key", "arrival_seq", "userId", "timestamp", "day_no", "on_time", "steps AS walked"
     )
     if hot is None:
-        return _regular(rows, fresh_label)
-    regular = _regular(rows.join(hot, "key", "left_anti"), fresh_label)
-    return regular.unionByName(_in_blocks(rows.join(hot, "key", "left_semi"), policy, fresh_label))
+        labelled = _regular(rows, fresh_label)
+    else:
+        regular = _regular(rows.join(hot, "key", "left_anti"), fresh_label)
+        labelled = regular.unionByName(_in_blocks(rows.join(hot, "key", "left_semi"), policy, fresh_label))
+    return labelled.withColumn("day_label", F.when(F.col("on_time"), daily_label(F.col("steps")))).select(
+        *TIMELINE_FIELDS
+    )
 
 
 def _regular(rows: DataFrame, fresh_label: bool) -> DataFrame:
-    by_arrival = W.partitionBy("key").orderBy("arrival_seq").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("epoch", F.max(F.when(F.col("on_time"), F.col("day_no"))).over(by_arrival))
-    in_epoch = W.partitionBy("key", "epoch")
-    rows = _split_by_day(rows).withColumns(
-        {
-            **_running(in_epoch.orderBy("arrival_seq")),
-            "epoch_current": F.sum("current").over(in_epoch),
-            "epoch_late": F.sum("late").over(in_epoch),
-            "epoch_late_rows": F.count("late").over(in_epoch),
-        }
+    rows = rows.selectExpr(
+        "*",
+        f"max(CASE WHEN on_time THEN day_no END) OVER (PARTITION BY key ORDER BY arrival_seq {SO_FAR}) AS epoch",
+    )
+    rows = _split_by_day(rows).selectExpr(
+        "*",
+        *_sums("(PARTITION BY key, epoch ORDER BY arrival_seq " + SO_FAR + ")", *RUNNING),
+        *_sums(IN_EPOCH, "epoch_own", "epoch_late", "epoch_late_rows"),
     )
     rows = _labelled(_closed_days(rows))
     # Epochs never step back, so (epoch, arrival_seq) is arrival order and the sort above is kept.
-    seen = W.partitionBy("key").orderBy("epoch", "arrival_seq")
-    return rows.select(
-        *_output(F.lit(None).cast("bigint"), F.last("week_label", True).over(_up_to(seen, fresh_label)))
+    reach = SO_FAR if fresh_label else BEFORE
+    return rows.selectExpr(
+        *_output("CAST(NULL AS BIGINT)"),
+        f"last(week_label, true) OVER (PARTITION BY key ORDER BY epoch, arrival_seq {reach}) AS label_seen",
     )
 
 
@@ -98,20 +108,13 @@ def _in_blocks(rows: DataFrame, policy: SkewPolicy, fresh_label: bool) -> DataFr
         rows.where("on_time")
         .groupBy("key", "day_no")
         .agg(F.min("arrival_seq").alias("_first"))
-        .select(
-            "key",
-            "day_no",
-            F.min("_first").over(by_day.rangeBetween(1, 1)).alias("_next_day_from"),
-        ),
+        .select("key", "day_no", F.min("_first").over(by_day.rangeBetween(1, 1)).alias("_next_day_from")),
         "day-openings",
     )
+    is_late = "CAST(coalesce(arrival_seq > _next_day_from, false) AS INT)"
     rows = _split_by_day(
-        rows.join(openings, ["key", "day_no"], "left").withColumn(
-            "epoch",
-            F.when(
-                F.col("on_time"),
-                F.col("day_no") + F.coalesce(F.col("arrival_seq") > F.col("_next_day_from"), F.lit(False)).cast("int"),
-            ),
+        rows.join(openings, ["key", "day_no"], "left").selectExpr(
+            "*", f"CASE WHEN on_time THEN day_no + {is_late} END AS epoch"
         )
     )
     carries = staged(_carries(rows), "epoch-carries").withColumnsRenamed(
@@ -122,153 +125,132 @@ def _in_blocks(rows: DataFrame, policy: SkewPolicy, fresh_label: bool) -> DataFr
         & (F.col("block") == F.col("_block"))
         & F.col("epoch").eqNullSafe(F.col("_epoch"))
     )
-    rows = rows.join(carries, same, "left").drop("_key", "_block", "_epoch")
-    running = _running(W.partitionBy("key", "block", "epoch").orderBy("arrival_seq"))
-    rows = rows.withColumns(running).withColumns(
-        {name: F.coalesce(name, F.lit(0)) + F.coalesce(f"from_{name}", F.lit(0)) for name in running}
+    rows = rows.join(carries, same, "left")
+    in_block = f"(PARTITION BY key, block, epoch ORDER BY arrival_seq {SO_FAR})"
+    rows = rows.selectExpr("*", *_sums(in_block, *[f"in_{name}" for name in RUNNING])).selectExpr(
+        "*", *[f"coalesce(in_{name}, 0) + coalesce(from_{name}, 0) AS {name}" for name in RUNNING]
+    )
+    reach = SO_FAR if fresh_label else BEFORE
+    return _labelled(rows).selectExpr(
+        *_output("block"),
+        f"coalesce(last(week_label, true) OVER (PARTITION BY key, block ORDER BY arrival_seq {reach}), from_label)"
+        " AS label_seen",
     )
-    inside = W.partitionBy("key", "block").orderBy("arrival_seq")
-    seen = F.last("week_label", True).over(_up_to(inside, fresh_label))
-    return _labelled(rows).select(*_output(F.col("block"), F.coalesce(seen, F.col("from_label"))))
 
 
 def _carries(rows: DataFrame) -> DataFrame:
     """For each (key, block, epoch): what the blocks before it hand over, and the key's closed days."""
     parts = rows.groupBy("key", "block", "epoch").agg(
-        F.sum("current").alias("current"), F.sum("late").alias("late"), F.count("late").alias("late_rows")
+        F.sum("own").alias("own"), F.sum("late").alias("late"), F.count("late").alias("late_rows")
     )
-    in_epoch = W.partitionBy("key", "epoch")
-    before = in_epoch.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    through = in_epoch.orderBy("block").rowsBetween(W.unboundedPreceding, 0)
-    carried = [("current", "run_current"), ("late", "run_late"), ("late_rows", "run_late_rows")]
-    parts = parts.select(
+    sums = ["own", "late", "late_rows"]
+    by_block = "PARTITION BY key, epoch ORDER BY block"
+    parts = parts.selectExpr(
         "key",
         "block",
         "epoch",
-        *[F.sum(part).over(before).alias(f"from_{running}") for part, running in carried],
-        *[F.coalesce(F.sum(part).over(through), F.lit(0)).alias(running) for part, running in carried],
-        F.sum("current").over(in_epoch).alias("epoch_current"),
-        F.sum("late").over(in_epoch).alias("epoch_late"),
-        F.sum("late_rows").over(in_epoch).alias("epoch_late_rows"),
-        F.col("epoch").isNotNull().alias("on_time"),
+        *[f"sum({part}) OVER ({by_block} {BEFORE}) AS from_run_{part}" for part in sums],
+        *[f"coalesce(sum({part}) OVER ({by_block} {SO_FAR}), 0) AS run_{part}" for part in sums],
+        *[f"sum({part}) OVER {IN_EPOCH} AS epoch_{part}" for part in sums],
+        "epoch IS NOT NULL AS on_time",
     )
-    parts = _labelled(_closed_days(parts))
     # A block ends with the label of its newest epoch; a block of records out of time has none.
-    in_block = W.partitionBy("key", "block").orderBy("epoch")
-    ends = F.last("week_label", True).over(
-        in_block.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    )
-    earlier_blocks = W.partitionBy("key").orderBy("block").rangeBetween(W.unboundedPreceding, -1)
+    whole_block = "(PARTITION BY key, block ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    earlier_blocks = "(PARTITION BY key ORDER BY block RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return (
-        parts.withColumn("_ends", ends)
-        .withColumn("from_label", F.last("_ends", True).over(earlier_blocks))
-        .select(
+        _labelled(_closed_days(parts))
+        .selectExpr("*", f"last(week_label, true) OVER {whole_block} AS _ends")
+        .selectExpr(
             "key",
             "block",
             "epoch",
-            *[f"from_{running}" for _, running in carried],
+            *[f"from_{name}" for name in RUNNING],
             "previous_epoch",
-            "previous_current",
+            "previous_own",
             "active_since",
             "last_low",
-            "from_label",
+            f"last(_ends, true) OVER {earlier_blocks} AS from_label",
         )
     )
 
 
 def _split_by_day(rows: DataFrame) -> DataFrame:
     """Steps for the epoch's own day and steps that came late for the day before."""
-    own_day = F.col("day_no") == F.col("epoch")
-    return rows.withColumn("current", F.when(F.col("on_time") & own_day, F.col("walked"))).withColumn(
-        "late", F.when(F.col("on_time") & ~own_day, F.col("walked"))
+    return rows.selectExpr(
+        "*",
+        "CASE WHEN on_time AND day_no = epoch THEN walked END AS own",
+        "CASE WHEN on_time AND day_no <> epoch THEN walked END AS late",
     )
 
 
-def _running(order) -> dict[str, Column]:
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    return {
-        "run_current": F.sum("current").over(so_far),
-        "run_late": F.sum("late").over(so_far),
-        "run_late_rows": F.count("late").over(so_far),
-    }
+def _sums(window: str, own: str, late: str, late_rows: str) -> list[str]:
+    return [
+        f"sum(own) OVER {window} AS {own}",
+        f"sum(late) OVER {window} AS {late}",
+        f"count(late) OVER {window} AS {late_rows}",
+    ]
 
 
 def _closed_days(rows: DataFrame) -> DataFrame:
     """Add what the row's epoch finds behind it, from the totals of the key's earlier epochs.
 
-    * `previous_epoch` and `previous_current`: the epoch before and its own day's total at its end;
+    * `previous_epoch` and `previous_own`: the epoch before and its own day's total at its end;
     * `active_since`: first day of the unbroken run of active days that ends with the previous epoch;
     * `last_low`: newest low day among the closed ones (before epoch - 1).
 
     A day can be active through late records alone: they are found in the epoch that follows it. All values
     are the same on all rows of an epoch and only maxima are taken, so rows need not be told apart.
     """
-    earlier = W.partitionBy("key").orderBy("epoch").rangeBetween(W.unboundedPreceding, -1)
-    epoch, late_rows = F.col("epoch"), F.col("epoch_late_rows") > 0
-    rows = rows.withColumns(
-        {"previous_epoch": F.last("epoch").over(earlier), "previous_current": F.last("epoch_current").over(earlier)}
-    )
-    previous = F.col("previous_epoch")
-    next_to = previous.eqNullSafe(epoch - 1)
-    bridged = next_to | (late_rows & (previous == epoch - 2))
-    final = F.col("previous_current") + F.when(next_to, F.coalesce("epoch_late", F.lit(0))).otherwise(0)
-    late_only_low = ~next_to & late_rows & (F.col("epoch_late") < MEDIUM_FROM)
-    rows = rows.withColumns(
-        {
-            "_start": F.when(bridged, None).when(late_rows, epoch - 1).otherwise(epoch),
-            "_low": F.when(final < MEDIUM_FROM, previous),
-            "_late_low": F.when(late_only_low, epoch - 1),
-        }
-    )
-    return rows.withColumns(
-        {
-            "active_since": F.max("_start").over(earlier),
-            "last_low": F.greatest(
-                F.max(F.greatest("_low", "_late_low")).over(earlier), F.when(~next_to, F.col("_low"))
-            ),
-        }
+    next_to = "(previous_epoch <=> epoch - 1)"
+    late_only = f"(NOT {next_to} AND epoch_late_rows > 0)"
+    previous_final = f"(previous_own + CASE WHEN {next_to} THEN coalesce(epoch_late, 0) ELSE 0 END)"
+    return (
+        rows.selectExpr(
+            "*",
+            f"last(epoch) OVER {EARLIER} AS previous_epoch",
+            f"last(epoch_own) OVER {EARLIER} AS previous_own",
+        )
+        .selectExpr(
+            "*",
+            f"""CASE WHEN {next_to} OR ({late_only} AND previous_epoch = epoch - 2) THEN NULL
+                     WHEN {late_only} THEN epoch - 1 ELSE epoch END AS _start""",
+            f"CASE WHEN {previous_final} < {MEDIUM_FROM} THEN previous_epoch END AS _low",
+            f"CASE WHEN {late_only} AND epoch_late < {MEDIUM_FROM} THEN epoch - 1 END AS _late_low",
+        )
+        .selectExpr(
+            "*",
+            f"max(_start) OVER {EARLIER} AS active_since",
+            f"""greatest(max(greatest(_low, _late_low)) OVER {EARLIER},
+                         CASE WHEN NOT {next_to} THEN _low END) AS last_low""",
+        )
     )
 
 
 def _labelled(rows: DataFrame) -> DataFrame:
     """Weekly label after the row; null when the row is not on time."""
-    epoch, previous_epoch = F.col("epoch"), F.col("previous_epoch")
-    oldest = epoch - (HISTORY_DAYS - 1)
-    next_to = previous_epoch == epoch - 1
-    late_total = F.coalesce("run_late", F.lit(0))
-    previous = F.when(next_to, F.col("previous_current") + late_total).otherwise(late_total)
-    adjacent = (
-        (F.col("active_since") <= oldest)
-        & (next_to | ((previous_epoch == epoch - OPEN_DAYS) & (F.col("run_late_rows") > 0)))
+    next_to = "previous_epoch = epoch - 1"
+    previous = f"CASE WHEN {next_to} THEN previous_own ELSE 0 END + coalesce(run_late, 0)"
+    adjacent = f"""coalesce(active_since <= epoch - {OLDEST}
+                   AND ({next_to} OR (previous_epoch = epoch - {OPEN_DAYS} AND run_late_rows > 0)), false)"""
+    return rows.selectExpr("*", f"{previous} AS _previous_total").selectExpr(
+        "*",
+        f"""CASE WHEN NOT on_time THEN NULL
+                 WHEN NOT {adjacent} THEN '{WEEK_NONE}'
+                 WHEN coalesce(last_low >= epoch - {OLDEST}, false) OR _previous_total < {MEDIUM_FROM}
+                      OR coalesce(run_own, 0) < {MEDIUM_FROM} THEN '{WEEK_LOW}'
+                 ELSE '{WEEK_MEDIUM_OR_HIGH}' END AS week_label""",
     )
-    low = (
-        (F.col("last_low") >= oldest).eqNullSafe(True)
-        | (previous < MEDIUM_FROM)
-        | (F.coalesce("run_current", F.lit(0)) < MEDIUM_FROM)
-    )
-    label = F.when(~adjacent.eqNullSafe(True), WEEK_NONE).when(low, WEEK_LOW).otherwise(WEEK_MEDIUM_OR_HIGH)
-    return rows.withColumns({"_previous_total": previous, "week_label": F.when(F.col("on_time"), label)})
-
 
-def _up_to(order, fresh_label: bool):
-    return order.rowsBetween(W.unboundedPreceding, 0 if fresh_label else -1)
 
-
-def _output(block: Column, label_seen: Column) -> list[Column]:
-    total = F.when(
-        F.col("on_time"),
-        F.when(F.col("day_no") == F.col("epoch"), F.col("run_current")).otherwise(F.col("_previous_total")),
-    ).cast("bigint")
+def _output(block: str) -> list[str]:
     return [
-        F.col("key"),
-        block.alias("block"),
-        F.col("arrival_seq"),
-        F.col("userId"),
-        F.col("timestamp"),
-        day_of(F.col("day_no")).alias("day"),
-        F.col("on_time"),
-        total.alias("steps"),
-        F.when(F.col("on_time"), daily_label(total)).alias("day_label"),
-        F.col("week_label"),
-        label_seen.alias("label_seen"),
+        "key",
+        f"{block} AS block",
+        "arrival_seq",
+        "userId",
+        "timestamp",
+        "date_from_unix_date(day_no) AS day",
+        "on_time",
+        "CASE WHEN on_time THEN CASE WHEN day_no = epoch THEN run_own ELSE _previous_total END END AS steps",
+        "week_label",
     ]
