@@ -34,6 +34,18 @@ def daily_steps(activity: DataFrame) -> DataFrame:
     )
 
 
+def day_totals(activity: DataFrame) -> DataFrame:
+    """`daily_steps` without the user id, for what only needs totals and labels: one hash aggregate."""
+    return (
+        activity.where(F.col("timestamp").isNotNull())
+        .groupBy("key", day_number(F.col("timestamp")).alias("day_no"))
+        .agg(F.sum("steps").cast("bigint").alias("steps"))
+        .select(
+            "key", "steps", F.date_from_unix_date("day_no").alias("day"), daily_label(F.col("steps")).alias("label")
+        )
+    )
+
+
 def daily_steps_stream(activity: DataFrame, grace: str = "1 hour") -> DataFrame:
     """The same as a streaming aggregate: run it in update mode to get a row for each changed day.
 

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window as W
 
 from stridelake.functions.rules import DEBOUNCE_SECONDS, MICROS
 from stridelake.operators.debounce_blocks import NOTHING_KEPT, entry_states
+from stridelake.session import staged
 
 
 def debounce(candidates: DataFrame, seconds: int = DEBOUNCE_SECONDS, blocked: bool = False) -> DataFrame:
@@ -28,22 +29,32 @@ def debounce(candidates: DataFrame, seconds: int = DEBOUNCE_SECONDS, blocked: bo
 
     `block` is null for keys that one task walks as a whole; pass `blocked` when some rows have one.
     """
-    fields = candidates.columns
-    groups = ["key", "block"] if blocked else ["key"]
+    if not blocked:
+        return _walked(candidates.withColumn("_state", F.lit(None).cast("bigint")), ["key"], seconds)
+    # The candidates of hot keys are read twice, for the states and for the walk, so they are written once.
+    hot = staged(candidates.where("block IS NOT NULL"), "hot-candidates")
+    states = entry_states(hot.withColumn("_us", F.unix_micros("timestamp")), seconds)
+    regular = debounce(candidates.where("block IS NULL"), seconds)
+    return regular.unionByName(_walked(hot.join(states, ["key", "block"], "left"), ["key", "block"], seconds))
+
+
+def _walked(rows: DataFrame, groups: list[str], seconds: int) -> DataFrame:
+    """Kept rows of each group, which starts with `_state` as the last time kept."""
+    fields = [name for name in rows.columns if name != "_state"]
     by_arrival = W.partitionBy(*groups).orderBy("arrival_seq")
-    rows = candidates.withColumn("_us", F.unix_micros("timestamp")).withColumn(
+    rows = rows.withColumn("_us", F.unix_micros("timestamp")).withColumn(
         "_newest", F.max("_us").over(by_arrival.rowsBetween(W.unboundedPreceding, -1))
     )
+    # In a block, rows before it count as well: there only the walk can tell.
     apart = F.col("_newest").isNull() | (F.col("_us") - F.col("_newest") > seconds * MICROS)
-    rows = rows.withColumn("_apart", apart & F.col("block").isNull())
-    if blocked:
-        states = entry_states(rows.where(F.col("block").isNotNull()), seconds)
-        rows = rows.join(states, groups, "left").repartition(*groups)
-    else:
-        rows = rows.withColumn("_state", F.lit(None).cast("bigint"))
     # The time goes to Python and back as one number.
     passed = [name for name in fields if name != "timestamp"]
-    rows = rows.select(*passed, "_us", "_apart", F.coalesce("_state", F.lit(NOTHING_KEPT)).alias("_state"))
+    rows = rows.select(
+        *passed,
+        "_us",
+        (apart & F.col("block").isNull()).alias("_apart"),
+        F.coalesce("_state", F.lit(NOTHING_KEPT)).alias("_state"),
+    )
     kept = rows.sortWithinPartitions(*groups, "arrival_seq").mapInPandas(
         _keep([*passed, "_us"], seconds), rows.select(*passed, "_us").schema
     )

@@ -190,20 +190,20 @@ def late_rows(spark, sf_dir):
 
 
 def history7(spark, sf_dir):
-    return history.last_days(daily.daily_steps(_activity(spark, sf_dir)))
+    return history.last_days(daily.day_totals(_activity(spark, sf_dir)))
 
 
 def gap_check(spark, sf_dir):
-    return history.gaps(daily.daily_steps(_activity(spark, sf_dir)))
+    return history.gaps(daily.day_totals(_activity(spark, sf_dir)))
 
 
 def weekly_label(spark, sf_dir):
-    return history.week_labels(daily.daily_steps(_activity(spark, sf_dir)))
+    return history.week_labels(daily.day_totals(_activity(spark, sf_dir)))
 
 
 def weekly_all_match(spark, sf_dir):
     """The test on the kept labels as one collection, seven at most for each key."""
-    kept = history.last_days(daily.daily_steps(_activity(spark, sf_dir)))
+    kept = history.last_days(daily.day_totals(_activity(spark, sf_dir)))
     return history.all_match(kept)
 
 

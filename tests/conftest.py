@@ -17,7 +17,7 @@ T0 = datetime(2024, 1, 1, 10, tzinfo=timezone.utc)
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"}
+        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -74,8 +74,9 @@ def test_boundaries(spark, second, kept):
     assert debounce(rows_of(spark, [("k", at()), ("k", at(**second))])).count() == kept
 
 
-@pytest.mark.parametrize("block_rows, group", [(None, 32), (5, 2), (40, 32), (1, 3)])
-@pytest.mark.parametrize("disorder", [0, 60])
+@pytest.mark.parametrize(
+    "block_rows, group, disorder", [(None, 32, 0), (None, 32, 60), (25, 2, 0), (25, 2, 60), (100, 32, 60), (20, 8, 60)]
+)
 def test_debounce_agrees_with_a_walk(spark, monkeypatch, block_rows, group, disorder):
     monkeypatch.setattr(debounce_blocks, "GROUP", group)
     rng = random.Random(disorder)

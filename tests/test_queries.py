@@ -64,4 +64,9 @@ def test_notifications_shuffle_the_rows_once(spark):
 
 def test_daily_sums_are_partly_done_before_the_shuffle(spark):
     plan = plan_of(entry_points.queries()["daily_steps"](spark, SMALL))
-    assert plan.count("partial_sum") == 1 and plan.count("Exchange hashpartitioning") == 1
+    on_raw_rows = plan[plan.rindex("Exchange") :]
+    assert "HashAggregate" in on_raw_rows and "partial_sum" in on_raw_rows and "Sort" not in on_raw_rows
+    # Weekly labels need no user ids: one shuffle for the days, one for the keys.
+    weekly = plan_of(entry_points.queries()["weekly_label"](spark, SMALL))
+    assert re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", weekly)[0].startswith("key")
+    assert weekly.count("Exchange hashpartitioning") == 2 and "SortAggregate" not in weekly
