@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stridelake.session import staged
+
 WORD_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FINAL_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 HALF = np.uint64(32)
@@ -71,23 +71,20 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 def sample_by_class(df: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most `per_class` rows of each label, picked by a hash of `doc_id`: repeatable, and from all of the table.
 
-    One pass counts the classes in narrow columns; the rows then pass a threshold on their hash that leaves
-    about `per_class`, and only those are ranked, so a class with most of the rows is no single group.
+    The rows are picked on the two narrow columns, behind a threshold on their hash that leaves about `per_class` of a
+    class, so that one with most of the rows is no large group. The texts then join the written picks, whose true
+    size Spark knows.
     """
     spread = 1 << 30
+    narrow = df.select("doc_id", label).distinct()
     by_hash = F.pmod(F.xxhash64(F.lit(label), F.col("doc_id")), F.lit(spread))
-    counts = df.groupBy(label).agg(F.count("*").alias("class_rows"))
-    chosen = (
-        df.withColumn("pick", by_hash)
+    counts = narrow.groupBy(label).agg(F.count("*").alias("class_rows"))
+    ranked = (
+        narrow.withColumn("pick", by_hash)
         .join(counts, label)
         .where(F.col("pick") * F.col("class_rows") <= F.lit(1.25 * per_class * spread))
+        .withColumn("place", F.row_number().over(W.partitionBy(label).orderBy("pick", "doc_id")))
+        .where(F.col("place") <= per_class)
     )
-    ranked = chosen.withColumn("place", F.row_number().over(W.partitionBy(label).orderBy("pick", "doc_id")))
-    return ranked.where(F.col("place") <= per_class).drop("pick", "class_rows", "place")
-
+    return df.join(staged(ranked.select("doc_id", label), "picked"), ["doc_id", label])
 
-def batches(frames: Iterator, size: int) -> Iterator:
-    """Frames cut to at most `size` rows, so that what is computed beside them stays small."""
-    for frame in frames:
-        for start in range(0, len(frame), size):
-            yield frame.iloc[start : start + size]
