@@ -3,17 +3,18 @@
 1. Each text gives the set of its shingles; equal sets are one class, its smallest doc_id stands for it.
 2. A class has the minima of many hash functions over its set. Bands of minima make buckets. Kept with each class
    are only the low bits of its minima, packed.
-3. Each class in a bucket is first tried with the bucket's smallest one, by estimate and then on full sets. That
-   joins nearly all of a group without looking at its pairs. Components follow.
+3. Each class in a bucket is first tried with the bucket's leader, by estimate and then on full sets. The leader is
+   the class that meets the most others over all its buckets, the middle of a group if there is one. That joins
+   nearly all of a group without looking at its pairs. Components follow.
 4. In buckets that still hold several components, the classes outside the bucket's largest component are compared
-   with all of the bucket, in blocks, by counting equal bits; what the estimate lets pass is confirmed on full sets.
-   Two classes in one component need no look, so no link between components is lost.
+   with all of the bucket, in blocks, by counting equal bits of longer signatures; what the estimate lets pass is
+   confirmed on full sets. Two classes in one component need no look, so no link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from stridelake.session import staged
 @dataclass(frozen=True)
 class Settings:
     """`least` of a hundred of the union must be shared. With 32 bands of 4 minima, a pair at 75 % is missed by all
-    bands once in 190,000; `margin` is below the expected estimate by five of its standard deviations."""
+    bands once in 190,000. Each margin is five standard deviations of the estimate at 75 %."""
 
     shingle: int = 5
     least: int = 75
@@ -37,6 +38,9 @@ class Settings:
     rows: int = 4
     bits: int = 4
     margin: float = 0.2
+    long_minima: int = 1024
+    long_bits: int = 2
+    long_margin: float = 0.082
     block: int = 2048
     seed: int = 11
 
@@ -173,40 +177,60 @@ def _first_look(settings: Settings):
     return work
 
 
+def _long(settings: Settings) -> Settings:
+    return replace(settings, bands=1, rows=settings.long_minima, bits=settings.long_bits, margin=settings.long_margin)
+
+
+def _long_signatures(settings: Settings):
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher(_long(settings))
+        for frame in frames:
+            sets = (shingle_set(text, settings.shingle) for text in frame["text"])
+            signatures = [hasher.packed(hasher.minima(x)) for x in sets]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "signature": signatures})
+
+    return work
+
+
 def _cross_look(settings: Settings):
     """Rows of one bucket and block, the block's own first: pairs of an own row and any other row of the bucket in
-    another component that the estimate lets pass."""
-    least = settings.least / 100 - settings.margin
+    another component that sizes and estimate let pass, each in the first bucket that the two share."""
+    long = _long(settings)
+    least = settings.least / 100 - long.margin
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, ids, parts, signatures = None, [], [], np.zeros((0, 1), np.uint8)
+        current, ids = None, []
         for frame in frames:
             out = []
-            for key, own, doc_id, part, signature in zip(
-                zip(frame["bucket"], frame["block"]), frame["own"], frame["doc_id"], frame["component"], frame["signature"]
-            ):
-                row = np.frombuffer(signature, np.uint8)
+            keys = zip(frame["bucket"], frame["block"])
+            rows = zip(frame["doc_id"], frame["component"], frame["n_shingles"], frame["bands"], frame["signature"])
+            for key, own, (doc_id, part, size, bands, signature) in zip(keys, frame["own"], rows):
                 if key != current:
-                    current, ids, parts, waiting = key, [], [], []
-                    signatures = np.zeros((0, len(row)), np.uint8)
-                if len(ids) > len(signatures) and (not own or len(ids) - len(signatures) >= 256):
-                    signatures = np.concatenate([signatures, np.stack(waiting)])
-                    waiting = []
-                if len(signatures):
-                    near = np.flatnonzero(estimates(row, signatures, settings) >= least)
-                    out += [(ids[i], doc_id) for i in near if parts[i] != part and ids[i] != doc_id]
+                    current, ids, bands_of = key, [], []
+                    parts, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    signatures = np.zeros((0, len(signature)), np.uint8)
+                row, bands = np.frombuffer(signature, np.uint8), np.asarray(bands)
+                other = np.flatnonzero(
+                    (parts != part)
+                    & (100 * np.minimum(sizes, size) >= settings.least * np.maximum(sizes, size))
+                )
+                if len(other):
+                    for i in other[estimates(row, signatures[other], long) >= least]:
+                        if np.intersect1d(bands_of[i], bands).min() == key[0]:
+                            out.append((ids[i], doc_id))
                 if own:
-                    for other, other_part, other_row in zip(ids[len(signatures) :], parts[len(signatures) :], waiting):
-                        if other_part != part and estimates(row, other_row[None], settings)[0] >= least:
-                            out.append((other, doc_id))
-                    ids.append(doc_id), parts.append(part), waiting.append(row)
+                    ids.append(doc_id), bands_of.append(bands)
+                    parts, sizes = np.append(parts, part), np.append(sizes, size)
+                    signatures = np.concatenate([signatures, row[None]])
             pairs = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
             yield pd.DataFrame({"leader": pairs[:, 0], "member": pairs[:, 1]})
 
     return work
 
 
-def _cross_candidates(buckets: DataFrame, parts: DataFrame, settings: Settings) -> DataFrame:
+def _cross_candidates(
+    buckets: DataFrame, members: DataFrame, parts: DataFrame, docs: DataFrame, settings: Settings
+) -> DataFrame:
     """Candidate pairs in buckets with more than one component: outsiders, in blocks, against the whole bucket."""
     rows = buckets.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
@@ -218,13 +242,19 @@ def _cross_candidates(buckets: DataFrame, parts: DataFrame, settings: Settings)
         F.col("most.component").alias("main"),
         ((F.col("total") - F.col("most.n")) / settings.block).cast("int").alias("last_block"),
     )
-    rows = rows.join(main, "bucket").withColumn("own_block", F.pmod(F.xxhash64("doc_id"), F.col("last_block") + 1))
+    rows = staged(rows.join(main, "bucket"), "near-mixed")
+    involved = staged(rows.select("doc_id").distinct(), "near-involved")
+    texts = docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    long = texts.mapInPandas(_long_signatures(settings), "doc_id bigint, signature binary")
+    known = members.select("doc_id", "n_shingles", "bands").join(involved, "doc_id", "left_semi")
+    known = staged(known.join(long, "doc_id"), "near-long")
+    rows = rows.join(known, "doc_id").withColumn("own_block", F.pmod(F.xxhash64("doc_id"), F.col("last_block") + 1))
     rows = rows.withColumn("outside", F.col("component") != F.col("main"))
     spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), "last_block")))
     # An outsider belongs to one block; in the others it is met as any other row of the bucket.
     return (
         spread.withColumn("own", F.col("outside") & (F.col("block") == F.col("own_block")))
-        .select("bucket", "block", "own", "doc_id", "component", "signature")
+        .select("bucket", "block", "own", "doc_id", "component", "n_shingles", "bands", "signature")
         .repartition("bucket", "block")
         .sortWithinPartitions("bucket", "block", F.desc("own"), "doc_id")
         .mapInPandas(_cross_look(settings), "leader bigint, member bigint")
@@ -244,25 +274,31 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     with_set = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     leader = with_set.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows"))
     classes = staged(leader.select("set_key", "class_id"), "near-classes")
-    members = with_set.select("doc_id", "bands", "signature").join(
+    members = with_set.select("doc_id", "n_shingles", "bands", "signature").join(
         classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi"
     )
-    buckets = members.dropDuplicates(["doc_id"]).select("doc_id", "signature", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(
-        F.min(F.struct("doc_id", "signature")).alias("first"), F.count("*").alias("n")
-    )
-    shared = shared.where("n > 1").select(
-        "bucket", F.col("first.doc_id").alias("leader"), F.col("first.signature").alias("leader_signature")
+    members = staged(members.dropDuplicates(["doc_id"]), "near-members")
+    signatures = members.select("doc_id", "signature")
+    buckets = members.select("doc_id", F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = staged(buckets.join(sizes, "bucket"), "near-buckets")
+    weights = buckets.groupBy("doc_id").agg(F.sum("n").alias("met"))
+    leaders = (
+        buckets.join(weights, "doc_id")
+        .groupBy("bucket")
+        .agg(F.max(F.struct(F.col("met"), (-F.col("doc_id")).alias("order"), F.col("doc_id"))).alias("first"))
+        .select("bucket", F.col("first.doc_id").alias("leader"))
     )
-    buckets = staged(buckets.join(shared, "bucket"), "near-buckets")
+    tried = buckets.join(leaders, "bucket").where("leader <> doc_id")
+    tried = tried.select("leader", F.col("doc_id").alias("member")).distinct()
     first = (
-        buckets.where("leader <> doc_id")
-        .select("leader", F.col("doc_id").alias("member"), "leader_signature", "signature")
+        tried.join(signatures.withColumnRenamed("doc_id", "member"), "member")
+        .join(signatures.toDF("leader", "leader_signature"), "leader")
         .mapInPandas(_first_look(settings), "leader bigint, member bigint")
     )
     stars = staged(confirmed(first, narrow, settings), "near-links")
     parts = staged(components(stars), "near-parts").select(F.col("id").alias("doc_id"), "component")
-    crossed = _cross_candidates(buckets.select("bucket", "doc_id", "signature"), parts, settings)
+    crossed = _cross_candidates(buckets.select("bucket", "doc_id"), members, parts, narrow, settings)
     across = staged(confirmed(crossed, narrow, settings), "near-links")
     parts = staged(components(stars.unionByName(across)), "near-parts")
     named = classes.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").select(
