@@ -27,7 +27,8 @@ from stridelake.session import staged
 @dataclass(frozen=True)
 class Settings:
     """`domains` name the labels' combinations; `weights` are the targets, `total` the tokens wanted: that of the
-    table (`None`), or the most that the bound on rates allows (`"feasible"`).
+    table (`None`), or so many that the domain with the largest weight stays whole at the bound on rates
+    (`"largest"`).
 
     `labelled_rows` bounds what the classifier learns from, `buckets` its size. A word speaks only where its
     count is `evidence` standard deviations from none, and its odds by a factor of exp(`effect`)."""
@@ -161,8 +162,9 @@ def targets(current: dict[str, float], settings: Settings) -> dict[str, float]:
     share = sum(settings.weights.values())
     weights = {n: settings.weights[n] / share for n in settings.names}
     total = sum(current.values())
-    if settings.total == "feasible" and settings.max_rate is not None:
-        total = min([total] + [settings.max_rate * current[n] / w for n, w in weights.items() if w > 0])
+    if settings.total == "largest" and settings.max_rate is not None:
+        largest = max(settings.names, key=lambda n: weights[n])
+        total = min(total * settings.max_rate, settings.max_rate * current[largest] / weights[largest])
     return {n: w * total for n, w in weights.items()}
 
 
@@ -247,9 +249,9 @@ def share_of(doc_id: Column) -> Column:
 def keep_by_rate(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that the mix takes, with all their columns, none of them twice: rates are bounded by one.
 
-    The total asked for is the most that leaves the domain in shortest supply whole.
+    The domain with the largest weight stays whole, and the others come down to their share of it.
     """
-    bounded = replace(settings, max_rate=1.0, total="feasible")
+    bounded = replace(settings, max_rate=1.0, total="largest")
     rates = mix(docs.select("doc_id", "text"), labels, bounded)
     dropped = staged(rates.where("copies = 0").select(F.col("doc_id").alias("dropped_id")).distinct(), "mix-dropped")
     return docs.join(dropped, docs["doc_id"].cast("bigint").eqNullSafe(dropped["dropped_id"]), "left_anti")

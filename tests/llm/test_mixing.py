@@ -59,7 +59,7 @@ def test_bounded_rates_are_optimal(spark):
     rows = [(int(a), [float(x) for x in b]) for a, b in zip(t, p)]
     table = spark.createDataFrame(rows, "n_tokens bigint, posterior array<double>")
     for bound, weights in ((None, (0.8, 0.15, 0.05)), (1.0, (0.7, 0.2, 0.1)), (1.0, (0.98, 0.01, 0.01))):
-        settings = X.Settings(weights=dict(zip("abc", weights)), max_rate=bound, total="feasible", tolerance=1e-6)
+        settings = X.Settings(weights=dict(zip("abc", weights)), max_rate=bound, total="largest", tolerance=1e-6)
         steps, reached, wanted = X.fit_rates(table, settings)
         goal = np.array([wanted[n] for n in "abc"])
         rate = np.ones(300)
