@@ -7,16 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stridelake.llm import bpe, exact_dedup, language, minhash, mixing
+from stridelake.llm import bpe, exact_dedup, language, minhash, mixing, secret_scan, toxicity
 from stridelake.llm.common import documents, labels
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table names one origin for each document: its source stands for repository and owner.
+    return secret_scan.find_secrets(documents(spark, sf_dir), repo="source", owner="source")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir))
 
@@ -41,7 +50,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
+    "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
+    "op4_secret_scan": op4_secret_scan,
     "op6_near_dedup": op6_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
