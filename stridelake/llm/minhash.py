@@ -148,10 +148,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFram
     pairs = staged(pairs.distinct(), "near-pairs")
     salts = pairs.groupBy("leader").agg((F.count("*") / settings.block).cast("int").alias("last_salt"))
     salted = pairs.join(salts, "leader").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("last_salt") + 1))
+    salted = staged(salted, "near-salted")
     members = salted.select("leader", "salt", "member", F.col("member").alias("doc_id"), F.lit(1).alias("place"))
     leaders = salted.select("leader", "salt").distinct()
     leaders = leaders.select("leader", "salt", F.col("leader").alias("member"), F.col("leader").alias("doc_id"))
-    wanted = members.unionByName(leaders.withColumn("place", F.lit(0)))
+    wanted = staged(members.unionByName(leaders.withColumn("place", F.lit(0))), "near-wanted")
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     return (
         wanted.join(texts, "doc_id")
