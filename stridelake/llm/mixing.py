@@ -68,12 +68,12 @@ def domain_of(settings: Settings) -> Column:
     return found
 
 
-def words_of(docs: DataFrame, settings: Settings) -> DataFrame:
-    """row_key, bucket of each distinct word of each row."""
-    distinct = F.array_distinct(tokens(F.col("text")))
-    return docs.select("row_key", F.explode(distinct).alias("word")).select(
-        "row_key", F.pmod(F.xxhash64("word"), F.lit(settings.buckets)).cast("int").alias("bucket")
+def buckets_of(text: Column, settings: Settings) -> Column:
+    """The buckets of the distinct words of a text."""
+    hashed = F.transform(
+        F.array_distinct(tokens(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(settings.buckets)).cast("int")
     )
+    return F.array_distinct(hashed)
 
 
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, dict[str, float]]:
@@ -84,16 +84,17 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataF
     labelled = labels.select(labels["doc_id"].cast("bigint").alias("row_key"), domain_of(settings).alias("domain"))
     labelled = labelled.where("row_key IS NOT NULL AND domain IS NOT NULL")
     picked = labelled.orderBy(F.xxhash64("row_key"), "row_key", "domain").limit(settings.labelled_rows)
-    picked = staged(picked.withColumn("lesson", F.monotonically_increasing_id()), "mix-picked")
+    picked = staged(picked, "mix-picked")
     texts = docs.select(docs["doc_id"].cast("bigint").alias("row_key"), text_of(docs).alias("text"))
-    lessons = picked.join(texts, "row_key").select(F.col("lesson").alias("row_key"), "domain", "text")
+    # At most `labelled_rows` rows of an id and a name.
+    lessons = texts.join(F.broadcast(picked), "row_key").select("domain", buckets_of(F.col("text"), settings).alias("buckets"))
     lessons = staged(lessons, "mix-lessons")
     sizes = {r["domain"]: r["n"] for r in lessons.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     every = sum(sizes.values())
     names = settings.names
     prior = {n: (sizes.get(n, 0) + 1.0) / (every + len(names)) for n in names}
-    seen = words_of(lessons, settings).distinct().join(lessons.select("row_key", "domain"), "row_key")
-    sums = seen.groupBy("bucket").agg(
+    sums = lessons.select("domain", F.explode("buckets").alias("bucket"))
+    sums = sums.groupBy("bucket").agg(
         F.count("*").alias("n"), *[F.count(F.when(F.col("domain") == n, 1)).alias(f"n_{n}") for n in names]
     )
     columns = []
