@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stridelake.llm import bpe, exact_dedup, language, minhash, mixing, secret_scan, toxicity
+from stridelake.llm import bpe, exact_dedup, imatch, language, minhash, mixing, secret_scan, toxicity
 from stridelake.llm.common import documents, labels
+from stridelake.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,6 +33,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.imatch(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -54,15 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op6_near_dedup": op6_near_dedup,
+    "op7_imatch": op7_imatch,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
 }
-
-ORACLE: dict[str, str] = {
-    "op9_exact_dedup": """
-SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
-""",
-}

@@ -183,7 +183,7 @@ def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     picked = [known.where(F.col("toxic") == c).orderBy(by_hash, "doc_id").limit(settings.per_class) for c in (0, 1)]
     picked = staged(picked[0].unionByName(picked[1]), "toxic-picked")
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
-    return narrow.join(picked, "doc_id")
+    return narrow.join(F.broadcast(picked), "doc_id")  # at most twice `per_class` rows of an id and a label
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
