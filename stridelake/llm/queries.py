@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stridelake.llm import bpe, exact_dedup, imatch, language, minhash, mixing, secret_scan, toxicity
+from stridelake.llm import bpe, exact_dedup, imatch, language, minhash, mixing, passages, secret_scan, toxicity
 from stridelake.llm.common import documents, labels
 from stridelake.llm.oracle import ORACLE
 
@@ -29,6 +29,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(documents(spark, sf_dir), repo="source", owner="source")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(documents(spark, sf_dir))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op4_secret_scan": op4_secret_scan,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_imatch": op7_imatch,
     "op8_mixing": op8_mixing,
