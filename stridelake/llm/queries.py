@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stridelake.llm import bpe, exact_dedup, imatch, language, minhash, mixing, passages, secret_scan, toxicity
+from stridelake.llm import bpe, exact_dedup, imatch, language, minhash, mixing, passages, secret_scan, surrogates, toxicity
 from stridelake.llm.common import documents, labels
 from stridelake.llm.oracle import ORACLE
 
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(documents(spark, sf_dir))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The table names one origin for each document: its source stands for repository and owner.
     return secret_scan.find_secrets(documents(spark, sf_dir), repo="source", owner="source")
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_secret_scan": op4_secret_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
