@@ -21,28 +21,36 @@ NOTIFICATION_ID = "UNIQUE-NOTIFICATION-ID"
 PAYLOAD_PREFIX = "Time for a juice nearby!"
 
 MICROS = 1_000_000
+DAY_MICROS = 86_400 * MICROS
 
 
 def daily_label(steps: Column) -> Column:
+    """Null without a count: no total is no label."""
     return (
         F.when(steps < MEDIUM_FROM, DAILY_LOW)
         .when(steps < HIGH_FROM, DAILY_MEDIUM)
-        .otherwise(DAILY_HIGH)
+        .when(steps >= HIGH_FROM, DAILY_HIGH)
     )
 
 
+def _day_start_micros(timestamp: Column) -> Column:
+    micros = F.unix_micros(timestamp)
+    return micros - F.pmod(micros, F.lit(DAY_MICROS))
+
+
 def utc_day(timestamp: Column) -> Column:
-    """First instant of the UTC day (the session time zone is UTC)."""
-    return F.date_trunc("day", timestamp)
+    """First instant of the UTC day, whatever the session's time zone is."""
+    return F.timestamp_micros(_day_start_micros(timestamp))
 
 
 def day_number(timestamp: Column) -> Column:
-    """Days since 1970-01-01, the form that range frames and offsets can use."""
-    return F.unix_date(F.to_date(timestamp))
+    """Days since 1970-01-01 in UTC, the form that range frames and offsets can use."""
+    return (_day_start_micros(timestamp) / F.lit(DAY_MICROS)).cast("int")
 
 
-def day_of(number: Column) -> Column:
-    return F.date_from_unix_date(number)
+def day_of(timestamp: Column) -> Column:
+    """The UTC day as a date."""
+    return F.date_from_unix_date(day_number(timestamp))
 
 
 def is_week_active(label: Column) -> Column:

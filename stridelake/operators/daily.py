@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from stridelake.functions.rules import DAILY_HIGH, DAILY_LOW, DAILY_MEDIUM, daily_label, day_number, utc_day
+from stridelake.functions.rules import DAILY_HIGH, DAILY_LOW, DAILY_MEDIUM, daily_label, day_number, day_of
+
+
+LABELS = (DAILY_LOW, DAILY_MEDIUM, DAILY_HIGH)
+
+
+def counted(activity: DataFrame) -> DataFrame:
+    """The records that count: those with a key and a time. A missing step count is zero."""
+    return activity.where("key IS NOT NULL AND timestamp IS NOT NULL").withColumn(
+        "steps", F.coalesce("steps", F.lit(0))
+    )
 
 
 def daily_steps(activity: DataFrame) -> DataFrame:
@@ -17,7 +27,7 @@ def daily_steps(activity: DataFrame) -> DataFrame:
     reducer as one row a day from each task.
     """
     by_user = (
-        activity.where(F.col("timestamp").isNotNull())
+        counted(activity)
         .groupBy("key", "userId", day_number(F.col("timestamp")).alias("day_no"))
         .agg(F.sum("steps").cast("bigint").alias("steps"), F.max("arrival_seq").alias("_last"))
     )
@@ -37,7 +47,7 @@ def daily_steps(activity: DataFrame) -> DataFrame:
 def day_totals(activity: DataFrame) -> DataFrame:
     """`daily_steps` without the user id, for what only needs totals and labels: one hash aggregate."""
     return (
-        activity.where(F.col("timestamp").isNotNull())
+        counted(activity)
         .groupBy("key", day_number(F.col("timestamp")).alias("day_no"))
         .agg(F.sum("steps").cast("bigint").alias("steps"))
         .select(
@@ -53,7 +63,8 @@ def daily_steps_stream(activity: DataFrame, grace: str = "1 hour") -> DataFrame:
     """
     window = F.window("timestamp", "1 day")
     return (
-        activity.withWatermark("timestamp", grace)
+        counted(activity)
+        .withWatermark("timestamp", grace)
         .groupBy("key", window)
         .agg(
             F.sum("steps").cast("bigint").alias("steps"),
@@ -63,7 +74,7 @@ def daily_steps_stream(activity: DataFrame, grace: str = "1 hour") -> DataFrame:
             "key",
             "userId",
             "steps",
-            F.to_date(utc_day(F.col("window.start"))).alias("day"),
+            day_of(F.col("window.start")).alias("day"),
             daily_label(F.col("steps")).alias("label"),
         )
     )
@@ -77,6 +88,6 @@ def observed(daily: DataFrame, observation: Observation | str) -> DataFrame:
         F.sum("steps").alias("steps"),
         *[
             F.count_if(F.col("label") == label).alias(label)
-            for label in (DAILY_LOW, DAILY_MEDIUM, DAILY_HIGH)
+            for label in LABELS
         ],
     )

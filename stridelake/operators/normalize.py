@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from stridelake.schemas import ENVELOPE_FIELDS
 
 
-def normalize_ios(decoded: DataFrame) -> DataFrame:
-    """`decoded` has the envelope and a `record` in the iOS layout."""
+def normalize_ios(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`decoded` has the envelope and a `record` in the iOS layout; columns to `keep` come along."""
     return decoded.select(
         *ENVELOPE_FIELDS,
+        *keep,
         F.col("record.UserId").alias("userId"),
         F.col("record.UserFirstName").alias("firstName"),
         F.col("record.UserLastName").alias("lastName"),
@@ -23,10 +24,11 @@ def normalize_ios(decoded: DataFrame) -> DataFrame:
     )
 
 
-def normalize_android(decoded: DataFrame) -> DataFrame:
+def normalize_android(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Same for the Android layout; a record without `Location` has null coordinates."""
     return decoded.select(
         *ENVELOPE_FIELDS,
+        *keep,
         F.col("record.Person.Id").alias("userId"),
         F.col("record.Person.FirstName").alias("firstName"),
         F.col("record.Person.LastName").alias("lastName"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.functions.rules import NOTIFICATION_ID, is_week_active, payload, unique_notification_id
+from stridelake.functions.rules import NOTIFICATION_ID, day_of, is_week_active, payload, unique_notification_id
 
 
 def join_label(timeline: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def notification_fields(rows: DataFrame, unique_ids: bool = False) -> DataFrame:
     """The notification for each row of `candidates`, or for those the debounce kept.
 
     The stamp is the time of the activity, not the wall clock, so that a replay gives the same rows.
-    The id is the fixed one unless `unique_ids`, which the delivery needs to recognize repeats.
+    The id is the fixed one unless `unique_ids`; the delivery goes by key and offset and needs neither.
     """
     notification_id = (
         unique_notification_id(F.col("key"), F.col("timestamp"), F.col("arrival_seq"))
@@ -45,11 +45,13 @@ def notification_fields(rows: DataFrame, unique_ids: bool = False) -> DataFrame:
 
 
 def undelivered(notifications: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
-    """Each notification id once, without those already in `delivered` (notificationId, day).
+    """Each notification once, without those already in `delivered` (key, arrival_seq, day).
 
-    A repeated id carries the timestamp it had, so one day of the outbox is enough to look for it.
+    A notification is known by its key and the offset of its activity, whatever its id is. A repeated one carries
+    the timestamp it had, so one day of the outbox is enough to look for it.
     """
-    todo = notifications.dropDuplicates(["notificationId"]).withColumn("day", F.to_date("timestamp"))
+    same = ["key", "arrival_seq"]
+    todo = notifications.dropDuplicates(same).withColumn("day", day_of(F.col("timestamp")))
     if delivered is None:
         return todo
-    return todo.join(delivered.select("notificationId", "day"), ["notificationId", "day"], "left_anti")
+    return todo.join(delivered.select(*same, "day"), [*same, "day"], "left_anti")

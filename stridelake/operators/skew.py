@@ -28,24 +28,14 @@ def block_of(policy: SkewPolicy, seq: str = "arrival_seq") -> Column:
     return F.floor(F.col(seq) / F.lit(policy.block_rows)).cast("bigint")
 
 
-SAMPLE_PER_HOT_KEY = 1000
-
-
 def hot_keys(rows: DataFrame, policy: SkewPolicy) -> DataFrame | None:
-    """Keys at or above about `hot_rows` rows; None when there is none.
+    """Keys with more than `hot_rows` rows, counted exactly; None when there is none.
 
-    The keys are counted in a sample of the rows, of which a key at the limit has a thousand and needs half:
-    keys above the limit are found, and there can be no more than (all rows / half the limit) of them. The
-    sample decides only which way a key is worked on, and both ways give the same rows. Input that is no
-    longer than the limit cannot contain a hot key and costs one row count.
+    The count reads the key column alone and sums before it shuffles. There can be no more such keys than all rows
+    over the limit. Records without a key are no key.
     """
-    if rows.count() <= policy.hot_rows:
-        return None
-    fraction = min(1.0, SAMPLE_PER_HOT_KEY / max(policy.hot_rows, 1))
-    keys, limit = rows.select("key"), policy.hot_rows
-    if fraction < 1.0:
-        keys, limit = keys.sample(fraction), SAMPLE_PER_HOT_KEY // 2
-    hot = staged(keys.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-keys")
+    counts = rows.where("key IS NOT NULL").groupBy("key").count()
+    hot = staged(counts.where(F.col("count") > policy.hot_rows).select("key"), "hot-keys")
     return None if hot.isEmpty() else hot
 
 

@@ -62,13 +62,13 @@ def timeline(
 ) -> DataFrame:
     """One row for each activity, with TIMELINE_FIELDS.
 
-    `activity` carries `day_no` and `on_time` (see `event_time.with_lateness`). Records that are not on time
+    Records without a key or a time are left out, and a missing step count is zero. `activity` carries `day_no` and `on_time` (see `event_time.with_lateness`). Records that are not on time
     change nothing and have null `steps` (the running total), `day_label` and `week_label`.
     `label_seen` is the label as of the key's previous activity, or the current one with `fresh_label`;
     null when the key has no label yet. `block` is null except for the keys in `hot`.
     """
-    rows = activity.where("timestamp IS NOT NULL").selectExpr(
-        "key", "arrival_seq", "userId", "timestamp", "day_no", "on_time", "steps AS walked"
+    rows = activity.where("key IS NOT NULL AND timestamp IS NOT NULL").selectExpr(
+        "key", "arrival_seq", "userId", "timestamp", "day_no", "on_time", "coalesce(steps, 0) AS walked"
     )
     if hot is None:
         labelled = _regular(rows, fresh_label)

@@ -24,7 +24,12 @@ class Settings:
 
 
 class Replay:
-    """The steps of one replay. Each returns a lazy DataFrame; hot keys are looked up once, up front."""
+    """The steps of one replay.
+
+    Building it counts the rows of each key, and the first step that needs them writes the day closings; both are
+    written once and used by all steps. What a step returns is lazy but for the tables that hot keys need.
+    Records without a key move the clock of their partition and take no other part, see `without_key`.
+    """
 
     def __init__(self, activity: DataFrame, settings: Settings = Settings()):
         if not 0 <= settings.grace_seconds <= DAY_SECONDS:
@@ -32,10 +37,18 @@ class Replay:
         self.settings = settings
         self.activity = activity
         self.hot = hot_keys(activity, settings.skew)
+        self._dated: DataFrame | None = None
+
+    def without_key(self) -> DataFrame:
+        """The records that no sum, label or notification can belong to."""
+        return self.activity.where("key IS NULL")
 
     def dated(self) -> DataFrame:
         """Activity with `day_no` and `on_time`."""
-        return with_lateness(self.activity, self.settings.grace_seconds)
+        if self._dated is None:
+            dated = with_lateness(self.activity, self.settings.grace_seconds)
+            self._dated = dated.where("key IS NOT NULL")
+        return self._dated
 
     def timeline(self) -> DataFrame:
         settings = self.settings

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stridelake.functions.rules import daily_label, utc_day
 from stridelake.operators import daily, event_time, history, latest, normalize, notify
 from stridelake.operators.debounce import debounce
+from stridelake.operators.skew import SkewPolicy
 from stridelake.plans.pipeline import Replay, Settings
-from stridelake.session import new_path, use_utc
+from stridelake.schemas import NOTIFICATION_ROW
+from stridelake.session import new_path, staged, use_utc
 from stridelake.sources import activity_json as codec
 from stridelake.sources import events as feed
 from stridelake.sources import streams
@@ -22,6 +24,9 @@ from stridelake.streaming import sinks
 # Candidates of this data are more than ten seconds apart; six hours makes the debounce work.
 SIX_HOURS = 6 * 3600
 SLOW = Settings(debounce_seconds=SIX_HOURS)
+# The way of hot keys, for every key: blocks that a small table has several of.
+BLOCKS = SkewPolicy(hot_rows=0, block_rows=500)
+SLOW_BLOCKS = Settings(debounce_seconds=SIX_HOURS, skew=BLOCKS)
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +41,13 @@ def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.late_activity(_events(spark, sf_dir))
+    """The late feed, numbered once for all the passes over it."""
+    return staged(feed.late_activity(_events(spark, sf_dir)), "late-feed")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.files(use_utc(spark), f"{sf_dir}/events*", EVENTS)
+    """The finished table in one micro-batch, so that it doesn't matter how it is cut into files."""
+    return streams.files(use_utc(spark), f"{sf_dir}/events.parque[t]", EVENTS, files_per_batch=None)
 
 
 def _plain_times(df: DataFrame) -> DataFrame:
@@ -161,8 +168,13 @@ def daily_steps(spark, sf_dir):
 
 
 def daily_metrics(spark, sf_dir):
-    """The daily rows with their label counts observed on the way."""
-    return daily.observed(daily.daily_steps(_activity(spark, sf_dir)), "daily_metrics")
+    """What is observed while the daily rows pass: their number, all steps, and the count of each label."""
+    seen = Observation("daily_metrics")
+    rows = daily.observed(daily.daily_steps(_activity(spark, sf_dir)), seen)
+    rows.write.format("noop").mode("overwrite").save()
+    names = ["rows", "steps", *daily.LABELS]
+    schema = ", ".join(f"{name} bigint" for name in names)
+    return spark.createDataFrame([tuple(seen.get[name] for name in names)], schema)
 
 
 def _day_changes(timeline: DataFrame) -> DataFrame:
@@ -255,6 +267,26 @@ def late_notifications(spark, sf_dir):
     return _plain_times(Replay(_late(spark, sf_dir), SLOW).notifications())
 
 
+def notifications_in_blocks(spark, sf_dir):
+    return _plain_times(Replay(_activity(spark, sf_dir), SLOW_BLOCKS).notifications())
+
+
+def late_notifications_in_blocks(spark, sf_dir):
+    return _plain_times(Replay(_late(spark, sf_dir), SLOW_BLOCKS).notifications())
+
+
+def late_label_changelog_in_blocks(spark, sf_dir):
+    return _week_changes(Replay(_late(spark, sf_dir), SLOW_BLOCKS).timeline())
+
+
+def notifications_of_keyed(spark, sf_dir):
+    """Records without a key, or without a count, among the others: every ninth and every fifth."""
+    rows = _activity(spark, sf_dir)
+    rows = rows.withColumn("key", F.when(F.col("arrival_seq") % 9 != 0, F.col("key")))
+    rows = rows.withColumn("steps", F.when(F.col("arrival_seq") % 5 != 0, F.col("steps")))
+    return _plain_times(Replay(rows, SLOW).notifications())
+
+
 def outbox(spark, sf_dir):
     settings = Settings(debounce_seconds=SIX_HOURS, unique_ids=True)
     sent = Replay(_activity(spark, sf_dir), settings).notifications()
@@ -276,7 +308,11 @@ def stream_normalized(spark, sf_dir):
 def stream_daily_steps(spark, sf_dir):
     base = new_path(spark, "stream-daily")
     activity = feed.activity(_event_stream(spark, sf_dir))
-    running.start_daily(activity, base, new_path(spark, "stream-checkpoint"), once=True).awaitTermination()
+    query = running.start_daily(activity, base, new_path(spark, "stream-checkpoint"), once=True)
+    query.awaitTermination()
+    dropped = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+    if dropped:
+        raise RuntimeError(f"{dropped} rows came behind the watermark")
     log = sinks.read_log(spark, base, "daily_totals")
     last = log.groupBy("key", "day").agg(F.max_by(F.struct("userId", "steps", "label"), "batch_id").alias("last"))
     return last.select("key", "day", "last.*")
@@ -290,6 +326,38 @@ def stream_changes(spark, sf_dir):
     return _plain_times(sinks.read_log(spark, base, sinks.CHANGES).drop("batch_id"))
 
 
+def _run_job(spark, sf_dir, settings: Settings) -> str:
+    """The job over both feeds, with documents of another kind among the iOS ones; the folder of its tables."""
+    base = new_path(spark, "stream-job")
+    events = _event_stream(spark, sf_dir)
+    ios = feed.ios_feed(events).unionByName(feed.foreign_feed(events))
+    running.run_job(ios, feed.android_feed(events), base, settings)
+    return base
+
+
+def stream_quarantine(spark, sf_dir):
+    base = new_path(spark, "stream-job")
+    events = _event_stream(spark, sf_dir)
+    ios = feed.ios_feed(events).unionByName(feed.foreign_feed(events))
+    running.start_ingest(ios, feed.android_feed(events), base, f"{base}/_ingest", once=True).awaitTermination()
+    return sinks.read_log(spark, base, sinks.QUARANTINE).drop("batch_id")
+
+
+def stream_labels(spark, sf_dir):
+    return sinks.current(spark, _run_job(spark, sf_dir, SLOW), sinks.LABELS)
+
+
+def stream_notifications(spark, sf_dir):
+    log = sinks.read_log(spark, _run_job(spark, sf_dir, SLOW), sinks.NOTIFICATIONS)
+    return _plain_times(log.drop("batch_id"))
+
+
+def stream_end_to_end(spark, sf_dir):
+    """From raw documents to the outbox."""
+    base = _run_job(spark, sf_dir, Settings(debounce_seconds=SIX_HOURS, unique_ids=True))
+    return _plain_times(spark.read.schema(f"{NOTIFICATION_ROW}, day date").parquet(f"{base}/outbox"))
+
+
 QUERIES: dict[str, Query] = {
     "decode_ios": decode_ios,
     "decode_android": decode_android,
@@ -321,8 +389,16 @@ QUERIES: dict[str, Query] = {
     "notifications": notifications,
     "notifications_six_hours": notifications_six_hours,
     "late_notifications": late_notifications,
+    "notifications_in_blocks": notifications_in_blocks,
+    "late_notifications_in_blocks": late_notifications_in_blocks,
+    "late_label_changelog_in_blocks": late_label_changelog_in_blocks,
+    "notifications_of_keyed": notifications_of_keyed,
     "outbox": outbox,
     "stream_normalized": stream_normalized,
     "stream_daily_steps": stream_daily_steps,
     "stream_changes": stream_changes,
+    "stream_quarantine": stream_quarantine,
+    "stream_labels": stream_labels,
+    "stream_notifications": stream_notifications,
+    "stream_end_to_end": stream_end_to_end,
 }

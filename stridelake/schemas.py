@@ -27,10 +27,10 @@ NORMALIZED = (
 
 ACTIVITY = f"{ENVELOPE}, {NORMALIZED}"
 
-DAILY = "key string, userId string, steps bigint, timestamp timestamp, label string"
-
 NOTIFICATION = "userId string, notificationId string, payload string, timestamp timestamp"
 
+NOTIFICATION_ROW = f"key string, arrival_seq bigint, {NOTIFICATION}"
+
 NORMALIZED_FIELDS = [field.split()[0] for field in NORMALIZED.split(", ")]
 ENVELOPE_FIELDS = [field.split()[0] for field in ENVELOPE.split(", ")]
 ACTIVITY_FIELDS = ENVELOPE_FIELDS + NORMALIZED_FIELDS

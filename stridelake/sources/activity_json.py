@@ -18,6 +18,7 @@ from stridelake.schemas import ANDROID_RECORD, ENVELOPE_FIELDS, IOS_RECORD, NORM
 REQUIRED = {
     IOS_RECORD: (["PhysicalActivity"], "event_timestamp"),
     ANDROID_RECORD: (["Person", "Activity"], "ts"),
+    NORMALIZED: ([], "timestamp"),
 }
 # Measures that read as zero when absent; all other fields stay null.
 ZERO_WHEN_ABSENT = {
@@ -29,6 +30,7 @@ ZERO_WHEN_ABSENT = {
     "Yoga_minutes",
     "Sleep_hours",
     "walking_steps",
+    "steps",
 }
 ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
 
@@ -106,20 +108,20 @@ def encode_normalized(activity: DataFrame) -> DataFrame:
 
 
 def decode_normalized(feed: DataFrame) -> DataFrame:
-    """The way back from `encode_normalized`; a record without a value keeps its place with null fields."""
-    layout = ", ".join(f"{name} {'string' if name == 'timestamp' else kind}" for name, kind in _normalized_types())
-    raw = F.col("_raw")
-    return feed.select(*ENVELOPE_FIELDS, F.explode(F.array(F.from_json("value", layout))).alias("_raw")).select(
-        *ENVELOPE_FIELDS,
-        *[
-            (_instant(raw[name]) if name == "timestamp" else raw[name]).alias(name)
-            for name in NORMALIZED_FIELDS
-        ],
+    """The way back from `encode_normalized`; a record without a value keeps its place with null fields.
+
+    Missing steps are zero. Faulty values are left out; `quarantined(check_normalized(feed))` has them.
+    """
+    usable = check_normalized(feed).where(F.coalesce(F.col("fault") == NO_BODY, F.lit(True)))
+    good = F.col("fault").isNull()
+    return usable.select(
+        *ENVELOPE_FIELDS, *[F.when(good, F.col("record")[name]).alias(name) for name in NORMALIZED_FIELDS]
     )
 
 
-def _normalized_types() -> list[tuple[str, str]]:
-    return [tuple(field.split()) for field in NORMALIZED.split(", ")]
+def check_normalized(feed: DataFrame, strict: bool = False) -> DataFrame:
+    """`decode` for normalized documents."""
+    return decode(feed, NORMALIZED, strict)
 
 
 def _as_text(struct: T.StructType) -> T.StructType:

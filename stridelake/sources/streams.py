@@ -21,10 +21,22 @@ RECORDS_PER_BATCH = 5_000_000
 
 
 def files(
-    spark: SparkSession, path: str, schema: str = FEED, form: str = "parquet", files_per_batch: int = FILES_PER_BATCH
+    spark: SparkSession,
+    path: str,
+    schema: str = FEED,
+    form: str = "parquet",
+    files_per_batch: int | None = FILES_PER_BATCH,
 ) -> DataFrame:
-    """Stream of the files in a folder, which have to land in arrival order."""
-    return spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", files_per_batch).load(path)
+    """Stream of the files in a folder, which have to land in arrival order.
+
+    With None all files that are there make one micro-batch, inside which the order of files does not matter: the way
+    to run a finished table through a stream. Otherwise records that a later file brings behind their key's newest
+    are set aside by the keyed operator, see `streaming.stateful`.
+    """
+    reader = spark.readStream.schema(schema).format(form)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
 def kafka(

@@ -27,13 +27,15 @@ DAY_US = 86_400 * MICROS
 
 @dataclass
 class KeyState:
-    """Totals of the days kept, in day order; label; newest event time; time of the last notification."""
+    """Totals of the days kept, in day order; label; newest event time; time of the last notification;
+    offset of the last record applied."""
 
     days: list[int] = field(default_factory=list)
     totals: list[int] = field(default_factory=list)
     label: str | None = None
     newest_us: int | None = None
     kept_us: int | None = None
+    last_seq: int | None = None
 
 
 def step_label(steps: int) -> str:

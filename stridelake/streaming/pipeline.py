@@ -9,8 +9,17 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from stridelake.operators.daily import daily_steps_stream, observed
 from stridelake.operators.normalize import merge, normalize_android, normalize_ios
 from stridelake.plans.pipeline import Settings
-from stridelake.sources.activity_json import accepted, decode_android, decode_ios, encode_normalized
-from stridelake.streaming.sinks import deliver_to, write_batch, write_changes
+from stridelake.schemas import NOTIFICATION_ROW
+from stridelake.sources.activity_json import (
+    accepted,
+    decode_android,
+    decode_ios,
+    decode_normalized,
+    encode_normalized,
+)
+from stridelake.sources.streams import FEED, files
+from stridelake.streaming import sinks
+from stridelake.streaming.sinks import deliver_to, write_batch, write_changes, write_checked
 from stridelake.streaming.stateful import changes
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -24,6 +33,40 @@ def normalized(ios_feed: DataFrame, android_feed: DataFrame, strict: bool = Fals
     return merge(ios, android)
 
 
+def checked(ios_feed: DataFrame, android_feed: DataFrame, strict: bool = False) -> DataFrame:
+    """Both feeds as one stream with the text and the fault of each record, decoded once."""
+    keep = ("value", "fault")
+    return merge(
+        normalize_ios(decode_ios(ios_feed, strict), keep), normalize_android(decode_android(android_feed, strict), keep)
+    )
+
+
+def start_ingest(
+    ios_feed: DataFrame, android_feed: DataFrame, base: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Write good records as normalized documents and the others, with text and fault, to the quarantine table."""
+    writer = checked(ios_feed, android_feed).writeStream.foreachBatch(write_checked(base))
+    return _start(writer, checkpoint, once)
+
+
+def run_job(ios_feed: DataFrame, android_feed: DataFrame, base: str, settings: Settings = Settings()) -> None:
+    """The whole job over what the feeds hold now: ingest, changes, delivery, each until its input is used up.
+
+    Run again, it goes on from where it stopped. Tables and checkpoints are folders under `base`, the delivered
+    notifications in `base/outbox`. What a run has to read is one micro-batch of each query.
+    """
+    spark = ios_feed.sparkSession
+
+    def table(name: str, schema: str) -> DataFrame:
+        return files(spark, f"{base}/{name}/*", schema, files_per_batch=None)
+
+    start_ingest(ios_feed, android_feed, base, f"{base}/_ingest", once=True).awaitTermination()
+    activity = decode_normalized(table(sinks.NORMALIZED, FEED))
+    start_changes(activity, base, f"{base}/_changes", settings, once=True).awaitTermination()
+    sent = table(sinks.NOTIFICATIONS, NOTIFICATION_ROW)
+    start_delivery(sent, f"{base}/outbox", f"{base}/_delivery", once=True).awaitTermination()
+
+
 def start_normalization(activity: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Write the normalized stream as JSON documents in the feed layout."""
     writer = encode_normalized(activity).writeStream.format("parquet").outputMode("append").option("path", path)
@@ -49,14 +92,20 @@ def start_changes(
     once: bool = False,
 ) -> StreamingQuery:
     """Labels, daily totals and notifications from the keyed operator."""
-    activity.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     rows = changes(activity, settings.grace_seconds, settings.debounce_seconds, settings.fresh_label, idle_days)
     writer = rows.writeStream.outputMode("update").foreachBatch(write_changes(base, settings.unique_ids))
-    return _start(writer, checkpoint, once)
+    # A query takes the settings of the session as they are when it starts; the session gets its own back.
+    conf = activity.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return _start(writer, checkpoint, once)
+    finally:
+        conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
 
 
 def start_delivery(notifications: DataFrame, outbox: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append each notification to the outbox once; needs unique notification ids."""
+    """Append each notification to the outbox once."""
     return _start(notifications.writeStream.foreachBatch(deliver_to(outbox)), checkpoint, once)
 
 

@@ -10,14 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from stridelake.functions.rules import day_of
 from stridelake.operators.latest import latest
 from stridelake.operators.notify import notification_fields, undelivered
+from stridelake.sources.activity_json import encode_normalized, quarantined
 
 LABELS = "weekly_labels"
 DAILY = "daily_steps"
 NOTIFICATION_TABLE = "notification_table"
 NOTIFICATIONS = "notifications"
 CHANGES = "changes"
+BEHIND = "behind"
+NORMALIZED = "normalized"
+QUARANTINE = "quarantine"
+
+
+PATH_NOT_FOUND = "PATH_NOT_FOUND"
+
+
+def read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The table at the path; None while there is no such path. All other faults are raised."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as fault:
+        if fault.getCondition() != PATH_NOT_FOUND:
+            raise
+        return None
 
 
 def write_batch(rows: DataFrame, base: str, table: str, batch_id: int) -> None:
@@ -29,16 +48,35 @@ def read_log(spark: SparkSession, base: str, table: str, schema: str | None = No
     return reader.parquet(f"{base}/{table}")
 
 
+def write_checked(base: str):
+    """`foreachBatch` function for checked records: good ones as documents, faulty ones to the quarantine."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            write_batch(encode_normalized(batch.where("fault IS NULL")), base, NORMALIZED, batch_id)
+            write_batch(quarantined(batch), base, QUARANTINE, batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
 def write_changes(base: str, unique_ids: bool = False):
     """`foreachBatch` function for the keyed operator: one pass over its output, several tables.
 
-    Labels and daily totals are compacted inside the batch before they are written; notifications go to the
+    Records that came behind later ones of their key are set aside in a table of their own. Labels and daily totals
+    are compacted inside the batch before they are written; notifications go to the
     lookup table and downstream.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        everything = batch.persist()
         try:
+            batch = everything
+            if "behind" in batch.columns:
+                write_batch(everything.where("behind"), base, BEHIND, batch_id)
+                batch = everything.where("NOT behind").drop("behind")
             write_batch(batch, base, CHANGES, batch_id)
             on_time = batch.where("on_time")
             labels = latest(on_time.select("key", "arrival_seq", "week_label"))
@@ -52,7 +90,7 @@ def write_changes(base: str, unique_ids: bool = False):
             write_batch(notifications, base, NOTIFICATION_TABLE, batch_id)
             write_batch(notifications, base, NOTIFICATIONS, batch_id)
         finally:
-            batch.unpersist()
+            everything.unpersist()
 
     return write
 
@@ -74,9 +112,8 @@ def compact(spark: SparkSession, base: str, table: str, key: str = "key") -> int
 def current(spark: SparkSession, base: str, table: str, key: str = "key") -> DataFrame:
     """Last row of each key: the newest compaction and the batches since."""
     log = read_log(spark, base, table)
-    try:
-        compacted = spark.read.parquet(f"{base}/{table}_compacted")
-    except AnalysisException:
+    compacted = read_if_there(spark, f"{base}/{table}_compacted")
+    if compacted is None:
         return latest(log.drop("batch_id"), key=key)
     upto = compacted.agg(F.max("upto")).first()[0]
     newer = log.where(F.col("batch_id") > upto).drop("batch_id")
@@ -84,21 +121,20 @@ def current(spark: SparkSession, base: str, table: str, key: str = "key") -> Dat
 
 
 def deliver_to(outbox: str):
-    """`foreachBatch` function that appends what the outbox does not hold yet, by notification id.
+    """`foreachBatch` function that appends what the outbox does not hold yet, by key and offset.
 
-    The outbox is partitioned by day, and a repeated id has the day it had, so only the days between the
+    The outbox is partitioned by day, and a repeated one has the day it had, so only the days between the
     first and the last of the batch are read. Repeating a batch finds its own rows and appends nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first, last = batch.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+        day = day_of(F.col("timestamp"))
+        first, last = batch.agg(F.min(day), F.max(day)).first()
         if first is None:
             return
-        try:
-            delivered = batch.sparkSession.read.schema("notificationId string, day date").parquet(outbox)
+        delivered = read_if_there(batch.sparkSession, outbox, "key string, arrival_seq bigint, day date")
+        if delivered is not None:
             delivered = delivered.where(F.col("day").between(F.lit(first), F.lit(last)))
-        except AnalysisException:
-            delivered = None
         undelivered(batch, delivered).write.mode("append").partitionBy("day").parquet(outbox)
 
     return write

@@ -9,22 +9,30 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import astuple
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stridelake.functions.rules import DEBOUNCE_SECONDS, GRACE_SECONDS
+from stridelake.functions.rules import DAY_MICROS, DEBOUNCE_SECONDS, GRACE_SECONDS
+from stridelake.operators.daily import counted
 from stridelake.streaming.fold import KeyState, apply_activity, step_label
 
-STATE = "days array<int>, totals array<bigint>, label string, newest_us bigint, kept_us bigint"
+STATE = "days array<int>, totals array<bigint>, label string, newest_us bigint, kept_us bigint, last_seq bigint"
 CHANGES = (
     "key string, arrival_seq bigint, userId string, time_us bigint, day_no int, on_time boolean, "
-    "steps bigint, day_label string, week_label string, label_seen string, notified boolean"
+    "steps bigint, day_label string, week_label string, label_seen string, notified boolean, behind boolean"
 )
 
 
+@cache
+def quiet() -> None:
+    """Once in a worker: Spark joins frames without rows to the output of each group, and pandas warns about that."""
+    warnings.filterwarnings("ignore", category=FutureWarning, message=".*DataFrame concatenation.*")
+
+
 def changes(
     activity: DataFrame,
     grace_seconds: int = GRACE_SECONDS,
@@ -34,11 +42,12 @@ def changes(
 ) -> DataFrame:
     """One row for each activity of a stream: the columns of the batch timeline, and `notified`.
 
-    A `stream_time` column, when there is one, is the clock for the grace period. `idle_days` drops the
+    A record whose offset is not above the last one applied to its key came behind it: it changes nothing and is
+    marked `behind`. A `stream_time` column, when there is one, is the clock for the grace period. `idle_days` drops the
     state of keys that have been silent for so long; by default state is kept for ever.
     """
     stream_us = F.unix_micros("stream_time") if "stream_time" in activity.columns else F.lit(None).cast("bigint")
-    rows = activity.where(F.col("timestamp").isNotNull())
+    rows = counted(activity)
     timeout = GroupStateTimeout.NoTimeout
     if idle_days is not None:
         # The watermark trails by the idle time itself, so it never drops a record that still counts.
@@ -55,8 +64,7 @@ def changes(
     )
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        # Spark itself joins frames without rows to the output of each group; pandas warns about that.
-        warnings.filterwarnings("ignore", category=FutureWarning, message=".*DataFrame concatenation.*")
+        quiet()
         if group.hasTimedOut:
             group.remove()
             return
@@ -67,13 +75,17 @@ def changes(
         for seq, user, time_us, clock, steps in zip(
             rows["arrival_seq"].tolist(), rows["userId"].tolist(), rows["time_us"].tolist(), clocks, rows["steps"].tolist()
         ):
+            day_no = time_us // DAY_MICROS
+            if state.last_seq is not None and seq <= state.last_seq:
+                out.append((key[0], seq, user, time_us, day_no, False, None, None, None, None, False, True))
+                continue
+            state.last_seq = seq
             stream = None if clock is pd.NA else clock
             on_time, total, label, seen, notified = apply_activity(
                 state, time_us, steps, stream, grace_seconds, debounce_seconds, fresh_label
             )
             day_label = step_label(total) if on_time else None
-            day_no = time_us // 86_400_000_000
-            out.append((key[0], seq, user, time_us, day_no, on_time, total, day_label, label, seen, notified))
+            out.append((key[0], seq, user, time_us, day_no, on_time, total, day_label, label, seen, notified, False))
         group.update(astuple(state))
         if idle_days is not None:
             group.setTimeoutTimestamp(state.newest_us // 1000 + idle_days * 86_400_000)
@@ -93,9 +105,10 @@ def changes(
         "week_label",
         "label_seen",
         "notified",
+        "behind",
     )
 
 
 def _from_store(stored: tuple) -> tuple:
-    days, totals, label, newest_us, kept_us = stored
-    return list(days), list(totals), label, newest_us, kept_us
+    days, totals, *rest = stored
+    return list(days), list(totals), *rest

