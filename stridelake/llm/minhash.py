@@ -153,7 +153,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFram
     leaders = salted.select("leader", "salt").distinct()
     leaders = leaders.select("leader", "salt", F.col("leader").alias("member"), F.col("leader").alias("doc_id"))
     wanted = staged(members.unionByName(leaders.withColumn("place", F.lit(0))), "near-wanted")
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted_ids = staged(wanted.select("doc_id").distinct(), "near-wanted-ids")
+    texts = docs.select("doc_id", "text").join(wanted_ids, "doc_id", "left_semi")
     return (
         wanted.join(texts, "doc_id")
         .select("leader", "salt", "place", "member", "text")
