@@ -173,13 +173,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     text have the same fate, and each counts in group_size. Other columns are not read. An empty table gives no rows.
     """
     rows = staged(flagged(docs), "exact-flagged")
-    suspects = rows.where("suspect").select("digest").distinct()
+    # Eight bytes for each suspect text; what else has the same eight is cleared up with the rest below.
+    suspects = staged(rows.where("suspect").select(F.xxhash64("digest").alias("head")).distinct(), "exact-suspects")
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text")).withColumn(
-        "digest", F.unhex(F.sha2("text", 256))
+        "head", F.xxhash64(F.unhex(F.sha2("text", 256)))
     )
     # Grouping by the text itself is the comparison of bytes; map-side sums send each text once from each task.
     classes = (
-        texts.join(suspects, "digest", "left_semi")
+        texts.join(suspects, "head", "left_semi")
         .groupBy("text")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select(F.unhex(F.sha2("text", 256)).alias("digest"), "keep_id", "group_size")
@@ -199,11 +200,20 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_largest(docs: DataFrame) -> DataFrame:
     """The documents that `exact_dedup` keeps, with all their columns."""
-    dropped = staged(
-        exact_dedup(docs.select("doc_id", "text")).where("NOT kept").select("doc_id", "text_sha256").distinct(),
-        "exact-dropped",
-    ).select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_sha256"))
-    same = docs["doc_id"].cast("bigint").eqNullSafe(dropped["dropped_id"]) & (
-        F.sha2(text_of(docs), 256) == dropped["dropped_sha256"]
+    found = staged(exact_dedup(docs.select("doc_id", "text")).select("doc_id", "kept", "text_sha256"), "exact-found")
+    by_id = found.groupBy("doc_id").agg(F.bool_or("kept").alias("some_kept"), F.bool_and("kept").alias("all_kept"))
+    # Nearly always an id stays or goes whole, and a list of numbers says which.
+    gone = by_id.where("doc_id IS NOT NULL AND NOT some_kept").select(F.col("doc_id").alias("gone_id"))
+    gone = staged(gone, "exact-gone")
+    left = docs.join(gone, docs["doc_id"].cast("bigint") == gone["gone_id"], "left_anti")
+    # Ids with several texts, and rows without an id, are told apart by the text.
+    split = by_id.where("NOT all_kept AND (doc_id IS NULL OR some_kept)").select("doc_id")
+    partly = found.where("NOT kept").join(split, found["doc_id"].eqNullSafe(split["doc_id"]), "left_semi").distinct()
+    partly = partly.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256"))
+    partly = staged(partly, "exact-partly")
+    if partly.isEmpty():
+        return left
+    same = docs["doc_id"].cast("bigint").eqNullSafe(partly["gone_id"]) & (
+        F.sha2(text_of(docs), 256) == partly["gone_sha256"]
     )
-    return docs.join(dropped, same, "left_anti")
+    return left.join(partly, same, "left_anti")
