@@ -52,6 +52,8 @@ def lexicon(docs: DataFrame, settings: Settings) -> DataFrame:
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).where("term <> ''").groupBy("term")
     counts = counts.agg(F.count("*").alias("n"))
     band = counts.where((F.col("n") >= settings.rarest * every) & (F.col("n") <= settings.commonest * every))
+    # Written first: what follows depends on the term alone and would be computed for each of its occurrences.
+    band = staged(band.select("term"), "imatch-band")
     # A subset draws a term by MD5 of both; each draw is kept as a key of the subset's number and the term.
     keys = []
     for k in range(settings.subsets):
@@ -60,7 +62,7 @@ def lexicon(docs: DataFrame, settings: Settings) -> DataFrame:
         keys.append(F.when(drawn < F.lit(int(share * 65536)), F.concat(F.lit(f"{k:02d}"), "term")))
     drawn = F.array_compact(F.array(*keys))
     # The empty term is in each text and has no subset, so that texts without other terms keep their row.
-    known = band.select("term", drawn.alias("keys")).where(F.size("keys") > 0)
+    known = band.select("term", drawn.alias("keys"))
     none = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.array(F.lit("")).alias("keys"))
     return staged(known.unionByName(none), "imatch-lexicon")
 
