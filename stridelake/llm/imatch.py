@@ -69,29 +69,26 @@ def lexicon(docs: DataFrame, settings: Settings) -> DataFrame:
 
 def fingerprints(texts: DataFrame, lexicon_terms: DataFrame, settings: Settings) -> DataFrame:
     """One hash for each subset of the lexicon (empty where the text has none of its terms) as `prints`, with the
-    row's keys. Every row comes out, those without terms too."""
+    row's keys. Every row comes out, those without terms too: the empty term carries what belongs to the row."""
     kept = ["doc_id", "n_chars", "edited_sha256"]
-    every = F.array_union(terms(F.col("text")), F.array(F.lit("")))
-    found = texts.select("row_key", "is_edited", *kept, F.explode(every).alias("term"))
+    every = F.concat(terms(F.col("text")), F.array(F.lit("")))
+    found = texts.select("row_key", "is_edited", F.struct(*kept).alias("row"), F.explode(every).alias("term"))
+    found = found.withColumn("row", F.when(F.col("term") == "", F.col("row")))
     # The lexicon is bounded by the terms of an average document over `rarest`, see Settings.
     known = found.join(F.broadcast(lexicon_terms), "term")
-    held = (
-        known.select("row_key", "is_edited", *kept, F.explode("keys").alias("key"))
-        .groupBy("row_key", "is_edited")
-        .agg(*[F.first(c).alias(c) for c in kept], F.sort_array(F.collect_list("key")).alias("held"))
-        .withColumn("codes", F.transform("held", lambda key: F.substring(key, 1, 2)))
+    keys = known.select("row_key", "is_edited", "row", F.explode("keys").alias("key"))
+    own = F.array_join(F.sort_array(F.collect_list("key")), " ")
+    hashes = keys.groupBy("row_key", "is_edited", F.substring("key", 1, 2).alias("code")).agg(
+        F.substring(F.md5(own.cast("binary")), 1, settings.digits).alias("hash"),
+        F.first("row", ignorenulls=True).alias("row"),
+    )
+    by_row = hashes.groupBy("row_key", "is_edited").agg(
+        F.map_from_entries(F.collect_list(F.struct("code", "hash"))).alias("hash_of"),
+        F.first("row", ignorenulls=True).alias("row"),
     )
     numbers = F.array(*[F.lit(f"{k:02d}") for k in range(settings.subsets)])
-
-    def print_of(code: Column) -> Column:
-        first = F.array_position("codes", code).cast("int")
-        count = F.size("held") + 2 - first - F.array_position(F.reverse("codes"), code).cast("int")
-        own = F.slice("held", F.greatest(first, F.lit(1)), F.when(first == 0, 0).otherwise(count))
-        return F.when(first == 0, "").otherwise(
-            F.substring(F.md5(F.array_join(own, " ").cast("binary")), 1, settings.digits)
-        )
-
-    return held.select("row_key", "is_edited", *kept, F.transform(numbers, print_of).alias("prints"))
+    prints = F.transform(numbers, lambda code: F.coalesce(F.col("hash_of")[code], F.lit("")))
+    return by_row.select("row_key", "is_edited", "row.*", prints.alias("prints"))
 
 
 def likeness(one: Column, other: Column, settings: Settings) -> Column:
