@@ -61,4 +61,28 @@ JOIN likeness a ON a.doc_id = p.doc_id AND a.other = 'changed'
 JOIN likeness b ON b.doc_id = p.doc_id AND b.other = 'following'
 """
 
-ORACLE: dict[str, str] = {"op9_exact_dedup": EXACT_DEDUP, "op7_imatch": IMATCH}
+NEAR_DEDUP = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM split WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * shared.n >= 75 * (p.n + q.n - shared.n)),
+reach AS (
+  SELECT doc_id AS id, doc_id AS other FROM documents
+  UNION SELECT reach.id, links.y FROM reach JOIN links ON links.x = reach.other)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) r ON r.id = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op9_exact_dedup": EXACT_DEDUP, "op6_near_dedup": NEAR_DEDUP, "op7_imatch": IMATCH}
