@@ -101,6 +101,10 @@ LATE_TIMELINE = (LATE, TIMED, CHAIN)
 NORMALIZED = """SELECT key, partition_id, arrival_seq, "userId", "firstName", "lastName", steps, latitude, longitude,
   pincode, "timestamp" FROM activity"""
 
+CHANGES = """SELECT t.key, t.arrival_seq, t."userId", t."timestamp", t.day, t.on_time, t.total AS steps, t.day_label,
+  t.week_label, t.label_seen, k.key IS NOT NULL AS notified
+FROM timeline t LEFT JOIN kept k ON k.key = t.key AND k.arrival_seq = t.arrival_seq"""
+
 ORACLE: dict[str, str] = {
     "decode_ios": _with(ACTIVITY)
     + """SELECT key, partition_id, arrival_seq, "userId" AS user_id, 'male' AS gender, CAST(175 AS DOUBLE) AS height,
@@ -205,10 +209,8 @@ WHERE back <= 7 GROUP BY key""",
   'Time for a juice nearby!' || "userId" AS payload, "timestamp", CAST("timestamp" AS DATE) AS day FROM kept""",
     "stream_normalized": _with(ACTIVITY) + NORMALIZED,
     "stream_daily_steps": _with(ACTIVITY, DAILY) + 'SELECT key, "userId", steps, day, label FROM labelled',
-    "stream_changes": _recursive(*TIMELINE, SEEN, _kept(21600))
-    + """SELECT t.key, t.arrival_seq, t."userId", t."timestamp", t.day, t.on_time, t.total AS steps, t.day_label,
-  t.week_label, t.label_seen, k.key IS NOT NULL AS notified
-FROM timeline t LEFT JOIN kept k ON k.key = t.key AND k.arrival_seq = t.arrival_seq""",
+    "stream_changes": _recursive(*TIMELINE, SEEN, _kept(21600)) + CHANGES,
+    "stream_late_changes": _recursive(*LATE_TIMELINE, SEEN, _kept(21600)) + CHANGES,
 }
 
 # The same rows by another way: the blocks of hot keys, and the running job.

@@ -13,13 +13,13 @@ from stridelake.operators import daily, event_time, history, latest, normalize,
 from stridelake.operators.debounce import debounce
 from stridelake.operators.skew import SkewPolicy
 from stridelake.plans.pipeline import Replay, Settings
-from stridelake.schemas import NOTIFICATION_ROW
+from stridelake.schemas import ACTIVITY, ACTIVITY_FIELDS, NOTIFICATION_ROW
 from stridelake.session import new_path, staged, use_utc
 from stridelake.sources import activity_json as codec
 from stridelake.sources import events as feed
 from stridelake.sources import streams
+from stridelake.streaming import clock, sinks
 from stridelake.streaming import pipeline as running
-from stridelake.streaming import sinks
 
 # Candidates of this data are more than ten seconds apart; six hours makes the debounce work.
 SIX_HOURS = 6 * 3600
@@ -326,6 +326,17 @@ def stream_changes(spark, sf_dir):
     return _plain_times(sinks.read_log(spark, base, sinks.CHANGES).drop("batch_id"))
 
 
+def stream_late_changes(spark, sf_dir):
+    """The late feed: the first query adds each partition's clock, the second one goes by it."""
+    base, source = new_path(spark, "stream-late"), new_path(spark, "late-files")
+    feed.late_activity(_events(spark, sf_dir)).select(*ACTIVITY_FIELDS).write.parquet(source)
+    late = streams.files(spark, source, ACTIVITY, files_per_batch=None)
+    clock.start_clock(late, base, f"{base}/_clock", once=True).awaitTermination()
+    clocked = streams.files(spark, f"{base}/{clock.CLOCKED}/*", clock.CLOCKED_ROW, files_per_batch=None)
+    running.start_changes(clocked, base, f"{base}/_changes", SLOW, once=True).awaitTermination()
+    return _plain_times(sinks.read_log(spark, base, sinks.CHANGES).drop("batch_id"))
+
+
 def _run_job(spark, sf_dir, settings: Settings) -> str:
     """The job over both feeds, with documents of another kind among the iOS ones; the folder of its tables."""
     base = new_path(spark, "stream-job")
@@ -397,6 +408,7 @@ QUERIES: dict[str, Query] = {
     "stream_normalized": stream_normalized,
     "stream_daily_steps": stream_daily_steps,
     "stream_changes": stream_changes,
+    "stream_late_changes": stream_late_changes,
     "stream_quarantine": stream_quarantine,
     "stream_labels": stream_labels,
     "stream_notifications": stream_notifications,

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from stridelake.functions.rules import day_number, utc_day
 from stridelake.operators.daily import daily_steps
+from stridelake.operators.event_time import with_event_time
 from stridelake.plans import queries
 from stridelake.plans.oracle import ORACLE
 from stridelake.plans.pipeline import Replay, Settings
-from stridelake.schemas import ACTIVITY
+from stridelake.schemas import ACTIVITY, ACTIVITY_FIELDS
 from stridelake.sources.activity_json import check_normalized, decode_normalized, quarantined
 from stridelake.sources.streams import FEED, files
-from stridelake.streaming import pipeline, sinks
+from stridelake.sources.events import late_activity, read_events
+from stridelake.streaming import clock, pipeline, sinks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -55,6 +57,20 @@ def test_records_behind_are_set_aside(spark, tmp_path, activity):
     assert read(sinks.BEHIND) == {5, 6} and read(sinks.CHANGES) == {0, 1, 2, 3, 4, 7, 8}
 
 
+def test_the_clock_goes_on_from_batch_to_batch(spark, tmp_path):
+    rows = late_activity(read_events(spark, SMALL)).select(*ACTIVITY_FIELDS)
+    base, source = str(tmp_path / "out"), str(tmp_path / "in")
+    for low in range(0, 300, 100):
+        rows.where(f"arrival_seq > {low} AND arrival_seq <= {low + 100}").coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        stream = files(spark, source, ACTIVITY, files_per_batch=1)
+        clock.start_clock(stream, base, str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    got = sinks.read_log(spark, base, clock.CLOCKED)
+    want = with_event_time(rows).select(*ACTIVITY_FIELDS, "stream_time")
+    assert got.select("batch_id").distinct().count() == 3
+    assert got.drop("batch_id").exceptAll(want).isEmpty() and got.count() == want.count()
+
+
 def test_records_without_key_or_count(activity):
     week = [("u", at(d), None if d == 3 else 2000) for d in range(8)]
     replay = Replay(activity(*week, (None, at(1), 50), (None, at(2), 50)))
