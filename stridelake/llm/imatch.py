@@ -70,7 +70,7 @@ def lexicon(docs: DataFrame, settings: Settings) -> DataFrame:
 def fingerprints(texts: DataFrame, lexicon_terms: DataFrame, settings: Settings) -> DataFrame:
     """One hash for each subset of the lexicon (empty where the text has none of its terms) as `prints`, with the
     row's keys. Every row comes out, those without terms too: the empty term carries what belongs to the row."""
-    kept = ["doc_id", "n_chars", "edited_sha256"]
+    kept = ["doc_id", "next_id", "n_chars", "edited_sha256"]
     every = F.concat(terms(F.col("text")), F.array(F.lit("")))
     found = texts.select("row_key", "is_edited", F.struct(*kept).alias("row"), F.explode(every).alias("term"))
     found = found.withColumn("row", F.when(F.col("term") == "", F.col("row")))
@@ -129,20 +129,27 @@ def next_ids(ids: DataFrame) -> DataFrame:
     )
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """row_key, doc_id, text. The key is the id where ids tell the rows apart; if any is null or repeated, rows are
+    numbered, and written so that they keep their number."""
+    ids = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"))
+    unclear = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1")
+    narrow = [docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text")]
+    if unclear.isEmpty():
+        return docs.select(docs["doc_id"].cast("bigint").alias("row_key"), *narrow)
+    return staged(docs.select(F.monotonically_increasing_id().alias("row_key"), *narrow), "imatch-rows")
+
+
 def imatch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row for each document: doc_id, next_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document by doc_id, the first one following the last. A null text counts as empty; a text without lexicon terms
     has a fingerprint of empty parts and is like nothing (likeness 0). Null ids come first in the order, and equal
     ids in that of the rows. Extra columns are not read.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_key"),
-        docs["doc_id"].cast("bigint").alias("doc_id"),
-        text_of(docs).alias("text"),
-    )
-    rows = staged(rows, "imatch-rows")
+    rows = keyed_rows(docs)
     follow = staged(next_ids(rows.select("doc_id", "row_key")), "imatch-next")
     # What the text before needs of each text: half of that one's length from the start.
     sizes = rows.select("row_key", F.length("text").alias("n_chars"))
@@ -150,11 +157,12 @@ def imatch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.col("row_key").alias("before_key"), F.col("next_key").alias("row_key"), F.expr("n_chars div 2").alias("half")
     )
     heads = rows.join(needs, "row_key").select(
-        F.col("before_key").alias("row_key"), F.expr("substring(text, 1, int(half))").alias("head")
-    )
+        F.col("before_key").alias("row_key"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, int(half))").alias("head")
+    )  # with doc_id, as below, so that one shuffle of the texts serves both joins
     edited = rows.join(heads, "row_key").select(
         "row_key",
         "doc_id",
+        "next_id",
         F.length("text").cast("bigint").alias("n_chars"),
         "text",
         F.concat(F.expr("substring(text, 1, int(length(text) - length(text) div 2))"), F.col("head")).alias("edited"),
@@ -162,6 +170,7 @@ def imatch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     versions = edited.select(
         "row_key",
         "doc_id",
+        "next_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         F.explode(
@@ -170,11 +179,12 @@ def imatch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")),
             )
         ).alias("version"),
-    ).select("row_key", "doc_id", "n_chars", "edited_sha256", "version.*")
+    ).select("row_key", "doc_id", "next_id", "n_chars", "edited_sha256", "version.*")
     prints = fingerprints(versions, lexicon(rows, settings), settings)
     none = F.array_repeat(F.lit(""), settings.subsets)
     by_row = prints.groupBy("row_key").agg(
         F.max("doc_id").alias("doc_id"),
+        F.max("next_id").alias("next_id"),
         F.max("n_chars").alias("n_chars"),
         F.max("edited_sha256").alias("edited_sha256"),
         F.coalesce(F.max(F.when(~F.col("is_edited"), F.col("prints"))), none).alias("own"),
@@ -187,6 +197,7 @@ def imatch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .join(following, "next_key")
         .select(
             "doc_id",
+            "next_id",
             "n_chars",
             "edited_sha256",
             F.array_join("own", ".").alias("fingerprint"),

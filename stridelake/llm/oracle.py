@@ -38,7 +38,7 @@ prints AS (
   LEFT JOIN hashes h ON h.doc_id = v.doc_id AND h.is_edited = v.is_edited AND h.k = v.k
   GROUP BY v.doc_id, v.is_edited),
 pairs AS (
-  SELECT e.doc_id, n, sha256(edited) AS edited_sha256, a.prints AS own, b.prints AS changed, c.prints AS following
+  SELECT e.doc_id, e.next_id, n, sha256(edited) AS edited_sha256, a.prints AS own, b.prints AS changed, c.prints AS following
   FROM edited e
   JOIN prints a ON a.doc_id = e.doc_id AND NOT a.is_edited
   JOIN prints b ON b.doc_id = e.doc_id AND b.is_edited
@@ -53,7 +53,7 @@ scored AS (
 likeness AS (
   SELECT doc_id, other, CASE WHEN bool_or(equal) THEN 1.0 ELSE max(same::DOUBLE / greatest(used, 4)) END AS likeness
   FROM scored GROUP BY doc_id, other)
-SELECT p.doc_id, p.n AS n_chars, edited_sha256, array_to_string(own, '.') AS fingerprint,
+SELECT p.doc_id, p.next_id, p.n AS n_chars, edited_sha256, array_to_string(own, '.') AS fingerprint,
        array_to_string(changed, '.') AS edited_fingerprint,
        a.likeness::DOUBLE AS near_edited, b.likeness::DOUBLE AS near_next
 FROM pairs p
