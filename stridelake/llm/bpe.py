@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import text_of
+from stridelake.llm.common import bounded_batches, text_of
 
 #: Pieces up to this many bytes are remembered, and so many of them in each of two generations in a worker.
 SHORT = 48
@@ -247,4 +247,5 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))

@@ -13,6 +13,7 @@ from stridelake.session import staged
 WORD_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FINAL_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 HALF = np.uint64(32)
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send rows to Python workers in batches of about `BATCH_BYTES`, however long the texts are.
+
+    The default counts rows, and ten thousand long texts fill a worker. It is a setting of the session, read when a
+    query runs, and changes no result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_of(df: DataFrame) -> Column:
     """The text, a null one counting as empty."""
     return F.coalesce(df["text"].cast("string"), F.lit(""))

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import fold, in_fold, sample_by_class
+from stridelake.llm.common import bounded_batches, fold, in_fold, sample_by_class
 
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -223,6 +223,7 @@ def identified(docs: DataFrame, network: Network | None) -> Column:
     """A struct column (lang_pred, score) from the column `text`. `und` with score 0 for texts without a letter."""
     if network is None:
         return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    bounded_batches(docs.sparkSession)
     # Plain values only: what is broadcast is unpickled where this package need not be installed.
     plain = (network.settings.__dict__, network.names, network.weights)
     shared = docs.sparkSession.sparkContext.broadcast(plain)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import mixed, shingle_set, text_of
+from stridelake.llm.common import bounded_batches, mixed, shingle_set, text_of
 from stridelake.llm.components import components
 from stridelake.session import staged
 
@@ -271,6 +271,7 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     reachable over links. doc_id identifies a document: rows that repeat an id have to repeat its text, and come out
     as often. A row with a null id is linked with nothing, has a null component_id, and is kept.
     """
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     signed = staged(narrow.mapInPandas(_signed(settings), CLASS), "near-signed")
     with_set = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")

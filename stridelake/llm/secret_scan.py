@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import text_of
+from stridelake.llm.common import bounded_batches, text_of
 from stridelake.session import staged
 
 ASSIGN = re.compile(
@@ -139,6 +139,7 @@ def find_secrets(
     random, `unclear` the rest. A null text counts as empty, has no spans and the digest of the empty string. Rows
     with null or repeated ids are answered one by one; their uses count each.
     """
+    bounded_batches(docs.sparkSession)
     scanned = staged(scan(docs, repo, owner, settings), "secret-scan")
     uses = scanned.select("row_key", F.explode("found").alias("x")).select("row_key", "x.*")
     kind = (

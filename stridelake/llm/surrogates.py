@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import text_of
+from stridelake.llm.common import bounded_batches, text_of
 from stridelake.session import staged
 
 #: First names that are known and drawn from, by script and gender.
@@ -281,6 +281,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"corpus") -> DataFrame:
     The same key gives the same surrogates for the same corpus. A null text counts as empty. Null and repeated ids
     are kept as they are: rows are told apart by id and text. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     keyed = narrow.withColumn("text_key", F.xxhash64("text"))
     schema = "doc_id bigint, text_key bigint, kind string, value string"

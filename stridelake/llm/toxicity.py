@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import fold, in_fold, text_of
+from stridelake.llm.common import bounded_batches, fold, in_fold, text_of
 from stridelake.session import staged
 
 WORD = re.compile(r"\w+")
@@ -243,6 +243,7 @@ def scored(docs: DataFrame, model: Model | None):
     """A double column: the score of the column `text`, null counting as empty; 0 without a model."""
     if model is None:
         return F.lit(0.0)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.most))
 
     @F.pandas_udf("double")
