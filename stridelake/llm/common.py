@@ -38,6 +38,17 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
+def digest_of(df: DataFrame) -> Column:
+    """SHA-256 of the text: with the id it tells documents apart where ids alone don't."""
+    return F.unhex(F.sha2(text_of(df), 256))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` without the rows of the documents in `gone` (gone_id, gone_digest); a null id is an id here."""
+    same = docs["doc_id"].cast("bigint").eqNullSafe(gone["gone_id"]) & (digest_of(docs) == gone["gone_digest"])
+    return docs.join(gone, same, "left_anti")
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id is in no fold (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

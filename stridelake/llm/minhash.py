@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import bounded_batches, mixed, shingle_set, text_of
+from stridelake.llm.common import bounded_batches, digest_of, mixed, shingle_set, text_of, without
 from stridelake.llm.components import components
 from stridelake.session import staged
 
@@ -315,7 +315,24 @@ def near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents that `near_dedup` keeps, with all their columns; rows with a null id stay."""
-    found = near_dedup(docs.select("doc_id", "text"), settings)
-    dropped = staged(found.where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "near-dropped")
-    return docs.join(dropped, docs["doc_id"].cast("bigint") == dropped["dropped_id"], "left_anti")
+    """The documents that `near_dedup` keeps, with all their columns; rows with a null id stay.
+
+    Where an id is repeated, its different texts are documents of their own, in order of their digests.
+    """
+    ids = docs.select(docs["doc_id"].cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
+    if ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        found = near_dedup(docs.select("doc_id", "text"), settings)
+        dropped = staged(found.where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "near-dropped")
+        return docs.join(dropped, docs["doc_id"].cast("bigint") == dropped["dropped_id"], "left_anti")
+    # Documents are numbered in the order of their ids, by ranges.
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("gone_id"), digest_of(docs).alias("gone_digest"))
+    rows = staged(rows.where("gone_id IS NOT NULL").distinct(), "near-documents")
+    order = ["gone_id", "gone_digest"]
+    numbers = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = staged(numbers.withColumn("number", F.monotonically_increasing_id()), "near-numbers")
+    texts = docs.select(
+        docs["doc_id"].cast("bigint").alias("gone_id"), digest_of(docs).alias("gone_digest"), text_of(docs).alias("text")
+    ).join(numbers, order)
+    found = near_dedup(texts.select(F.col("number").alias("doc_id"), "text"), settings)
+    dropped = staged(found.where("NOT kept").select(F.col("doc_id").alias("number")).distinct(), "near-dropped")
+    return without(docs, staged(numbers.join(dropped, "number", "left_semi").select(*order), "near-gone"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import text_of
+from stridelake.llm.common import digest_of, text_of, without
 from stridelake.session import staged
 
 
@@ -116,32 +116,37 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataF
     return weights.select("bucket", *[f"w_{n}" for n in names]), base
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """row_key, doc_id, n_tokens, posterior (array in order of the domains' names) for each row of docs."""
+def posteriors(
+    docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), with_digest: bool = False
+) -> DataFrame:
+    """row_key, doc_id, n_tokens, posterior (array in order of the domains' names) for each row of docs, and the digest
+    of its text if wanted."""
     weights, prior = learn(docs, labels, settings)
     names = settings.names
     keyed = docs.select(
         F.monotonically_increasing_id().alias("row_key"),
         docs["doc_id"].cast("bigint").alias("doc_id"),
         text_of(docs).alias("text"),
+        *([digest_of(docs).alias("digest")] if with_digest else []),
     )
+    own = ["doc_id", "digest"] if with_digest else ["doc_id"]
     # One pass over the texts: a row for each word that speaks, and one for the document with its number of words.
-    parsed = keyed.select("row_key", "doc_id", tokens(F.col("text")).alias("all_words"))
+    parsed = keyed.select("row_key", *own, tokens(F.col("text")).alias("all_words"))
     parsed = parsed.select(
-        "row_key", "doc_id", F.size("all_words").alias("size"), F.explode_outer(F.array_distinct("all_words")).alias("word")
+        "row_key", *own, F.size("all_words").alias("size"), F.explode_outer(F.array_distinct("all_words")).alias("word")
     )
     marked = parsed.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(settings.buckets)).cast("int"))
     # The table of weights has at most `buckets` rows, whatever the size of the corpus.
     scored = marked.join(F.broadcast(weights), "bucket", "left")
     sums = scored.groupBy("row_key").agg(
-        F.first("doc_id").alias("doc_id"),
+        *[F.first(c).alias(c) for c in own],
         F.max("size").cast("bigint").alias("n_tokens"),
         *[F.sum(F.coalesce(f"w_{n}", F.lit(0.0))).alias(f"s_{n}") for n in names],
     )
     logits = [F.col(f"s_{n}") + F.lit(prior[n]) for n in names]
     odds = [1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x)))) for x in logits]
     total = sum(odds[1:], odds[0])
-    return sums.select("row_key", "doc_id", "n_tokens", F.array(*[o / total for o in odds]).alias("posterior"))
+    return sums.select("row_key", *own, "n_tokens", F.array(*[o / total for o in odds]).alias("posterior"))
 
 
 def _replayed(steps: list[list[float]], max_rate: float | None) -> Column:
@@ -230,7 +235,11 @@ def mix(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     each run. A null or empty text has no tokens and the posteriors of no evidence. A null doc_id is treated alike.
     Without labels the posteriors follow the even prior. An empty table gives no rows.
     """
-    table = staged(posteriors(docs, labels, settings).drop("row_key"), "mix-posteriors")
+    return _mixed(posteriors(docs, labels, settings), settings)
+
+
+def _mixed(found: DataFrame, settings: Settings) -> DataFrame:
+    table = staged(found.drop("row_key"), "mix-posteriors")
     steps, _, _ = fit_rates(table, settings)
     rate = table.withColumn("rate", _replayed(steps, settings.max_rate))
     return rate.select(
@@ -239,6 +248,7 @@ def mix(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         *[F.col("posterior")[i].alias(f"p_{n}") for i, n in enumerate(settings.names)],
         "rate",
         F.floor(F.col("rate") + share_of(F.col("doc_id"))).cast("int").alias("copies"),
+        *[c for c in table.columns if c == "digest"],
     )
 
 
@@ -250,9 +260,16 @@ def share_of(doc_id: Column) -> Column:
 def keep_by_rate(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that the mix takes, with all their columns, none of them twice: rates are bounded by one.
 
-    The domain with the largest weight stays whole, and the others come down to their share of it.
+    The domain with the largest weight stays whole, and the others come down to their share of it. Where ids are null
+    or repeated, a document is told by its id and its text.
     """
     bounded = replace(settings, max_rate=1.0, total="largest")
-    rates = mix(docs.select("doc_id", "text"), labels, bounded)
-    dropped = staged(rates.where("copies = 0").select(F.col("doc_id").alias("dropped_id")).distinct(), "mix-dropped")
-    return docs.join(dropped, docs["doc_id"].cast("bigint").eqNullSafe(dropped["dropped_id"]), "left_anti")
+    ids = docs.select(docs["doc_id"].cast("bigint").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    clear = ids.where("doc_id IS NULL OR n > 1").isEmpty()
+    rates = _mixed(posteriors(docs.select("doc_id", "text"), labels, bounded, with_digest=not clear), bounded)
+    dropped = rates.where("copies = 0").withColumnRenamed("doc_id", "gone_id")
+    if clear:
+        dropped = staged(dropped.select("gone_id").distinct(), "mix-dropped")
+        return docs.join(dropped, docs["doc_id"].cast("bigint") == dropped["gone_id"], "left_anti")
+    dropped = dropped.select("gone_id", F.col("digest").alias("gone_digest")).distinct()
+    return without(docs, staged(dropped, "mix-dropped"))

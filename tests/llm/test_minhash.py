@@ -104,3 +104,13 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     want = {i: 100 for i in range(100, 161)} | {j: 1 for j in range(1, 40)} | {50: 50, 51: 50}
     assert got == want
+
+
+def test_repeated_ids_with_different_texts_are_told_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (2, text(1) + " more"), (2, text(2)), (2, text(2)), (3, text(3)), (3, text(4) + " more"), (4, text(4))]
+    rows += [(None, text(1)), (None, text(9)), (5, text(2) + " more"), (6, None), (6, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, n_shingles string").repartition(3)
+    kept = [tuple(r)[:2] for r in M.keep_one_of_each(df).collect()]
+    gone = [(2, text(1) + " more"), (4, text(4)), (5, text(2) + " more")]
+    assert sorted(map(str, kept)) == sorted(str(r) for r in rows if r not in gone)

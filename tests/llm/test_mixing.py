@@ -94,3 +94,13 @@ def test_keep_by_rate(spark):
     bad = [i for i, t in rows if "trash" in t or "scum" in t]
     assert np.mean([i in ids for i in good]) > 0.9 and np.mean([i in ids for i in bad]) < 0.6
     assert X.keep_by_rate(docs.limit(0), table, GOOD).count() == 0
+
+
+def test_null_and_repeated_ids_are_told_apart_by_text(spark):
+    rows, labels = corpus()
+    rows += [(i, f"the of and {w} {w}{n}") for n in range(40) for i in (None, 5000) for w in ("fine", "scum")]
+    docs, table = tables(spark, rows, labels)
+    kept = [(r.doc_id, r.text) for r in X.keep_by_rate(docs, table, GOOD).collect()]
+    clean = [r for r in rows if r[0] in (None, 5000) and "fine" in r[1]]
+    assert sum(r in kept for r in clean) == len(clean)
+    assert sum("scum" in t for _, t in kept) < sum("scum" in t for _, t in rows)
