@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidates in each text. A candidate's value leaves the scan as a hash only. The hashes are counted over
-the corpus by distinct repositories and owners: what many owners have is a copied example, what one owner alone has
-and looks random is a live credential of that owner.
+the corpus by uses, distinct repositories and owners: what many owners have is a copied example, what one owner alone
+has in few places and looks random is a live credential of that owner. What one or two owners have in many
+repositories or many times is unclear.
 """
 
 from __future__ import annotations
@@ -44,10 +45,13 @@ SCAN = f"row_key bigint, doc_id bigint, repo string, owner string, found array<{
 
 @dataclass(frozen=True)
 class Settings:
-    """A value with `shared_owners` owners or more is an example. One that looks random has at least `entropy` bits a
-    character, a letter and a digit, and no placeholder in it."""
+    """A value with `shared_owners` owners or more is an example. A live one has one owner, fewer than `copied_repos`
+    repositories and fewer than `copied_uses` uses. One that looks random has at least `entropy` bits a character, a
+    letter and a digit, and no placeholder in it."""
 
     shared_owners: int = 3
+    copied_repos: int = 10
+    copied_uses: int = 100
     entropy: float = 2.8
 
 
@@ -132,19 +136,20 @@ def find_secrets(
     docs: DataFrame, repo: str = "source", owner: str = "source", settings: Settings = Settings()
 ) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_unclear,
-    live_spans, most_owners.
+    live_spans, most_owners, most_repos, most_uses (of any of its values).
 
     Base spans (assign, access, hex) are never taken away; the other kinds add to `spans`. Of all spans, `live` are
-    those of one owner that look random, `example` those of `shared_owners` owners or more and those that don't look
+    those of one owner in few places that look random, `example` those of `shared_owners` owners or more and those that don't look
     random, `unclear` the rest. A null text counts as empty, has no spans and the digest of the empty string. Rows
     with null or repeated ids are answered one by one; their uses count each.
     """
     bounded_batches(docs.sparkSession)
     scanned = staged(scan(docs, repo, owner, settings), "secret-scan")
     uses = scanned.select("row_key", F.explode("found").alias("x")).select("row_key", "x.*")
+    few = (F.col("repos") < settings.copied_repos) & (F.col("uses") < settings.copied_uses)
     kind = (
         F.when((F.col("owners") >= settings.shared_owners) | ~F.col("random"), "example")
-        .when(F.col("owners") == 1, "live")
+        .when((F.col("owners") == 1) & few, "live")
         .otherwise("unclear")
     )
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).alias("order")
@@ -155,7 +160,7 @@ def find_secrets(
         .agg(
             *[F.count(F.when(kind == k, 1)).alias(f"n_{k}") for k in ("live", "example", "unclear")],
             F.array_sort(F.collect_list(live)).alias("live"),
-            F.max("owners").alias("most_owners"),
+            *[F.max(k).alias(f"most_{k}") for k in ("owners", "repos", "uses")],
         )
     )
     base = F.filter("found", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -172,5 +177,5 @@ def find_secrets(
         _listed(F.col("found")).alias("spans"),
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in ("live", "example", "unclear")],
         F.coalesce(_listed(F.col("live")), F.lit("")).alias("live_spans"),
-        F.coalesce("most_owners", F.lit(0)).cast("bigint").alias("most_owners"),
+        *[F.coalesce(f"most_{k}", F.lit(0)).cast("bigint").alias(f"most_{k}") for k in ("owners", "repos", "uses")],
     )

@@ -63,3 +63,15 @@ def test_looks_random():
     rng = random.Random(0)
     assert S.looks_random("".join(rng.choice("0123456789abcdef") for _ in range(40)))
     assert not S.looks_random("example1234") and not S.looks_random("aaaaaaaaaaaa1") and not S.looks_random("12345678901234567")
+
+
+def test_repositories_and_uses_decide_apart_from_owners(spark):
+    many, few, often = "7h3Kd93mfQ02xPz8s1", "q8Lw5Zt2Rb6Yn4Kc9", "m3Vx7Jp1Hd5Gf8Ws2"
+    rows = [(i, f"token={many}", f"r{i}", "one") for i in range(10)]
+    rows += [(20 + i, f"token={few}", f"r{i}", "one") for i in range(9)]
+    rows += [(100 + i, f"token={often}", "r1", "one") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, repo string, owner string").repartition(3)
+    got = {r.doc_id: r for r in S.find_secrets(df, repo="repo", owner="owner").collect()}
+    assert (got[0].n_live, got[0].n_unclear, got[0].most_owners, got[0].most_repos, got[0].most_uses) == (0, 1, 1, 10, 10)
+    assert (got[20].n_live, got[20].most_repos, got[20].most_uses) == (1, 9, 9)
+    assert (got[100].n_live, got[100].n_unclear, got[100].most_repos, got[100].most_uses) == (0, 1, 1, 100)
