@@ -85,4 +85,25 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) r ON r.id = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op9_exact_dedup": EXACT_DEDUP, "op6_near_dedup": NEAR_DEDUP, "op7_imatch": IMATCH}
+LINE_DEDUP = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (
+  SELECT key, max(doc_id) AS keep_id FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT k.doc_id, pos, line, coalesce(k.doc_id <> s.keep_id, FALSE) AS dropped
+  FROM keyed k LEFT JOIN shared s ON s.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op12_line_dedup": LINE_DEDUP,
+    "op9_exact_dedup": EXACT_DEDUP,
+    "op6_near_dedup": NEAR_DEDUP,
+    "op7_imatch": IMATCH,
+}
