@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from stridelake.llm import (
+    alignment,
     bpe,
     conversations,
     exact_dedup,
@@ -72,6 +73,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    first, second = files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model")
+    return alignment.align(documents(spark, sf_dir), first, files.PATTERN, second, digest=True)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(documents(spark, sf_dir))
 
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op11_token_alignment": op11_token_alignment,
     "op12_line_dedup": op12_line_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
