@@ -20,7 +20,7 @@ import re
 import sys
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -41,10 +41,10 @@ SHARD_PAIRS = 1 << 21
 HELD_PAIRS = 1 << 21
 #: Bytes of vectors that a task sums before it hands them on.
 HELD_BYTES = 64 << 20
-#: Units a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1 << 17, 64
-#: Distinct units counted before their pairs are, and units of texts that are looked up together.
-FRESH_UNITS, BATCH_UNITS = 1 << 16, 1 << 19
+#: Units a worker remembers in each of two generations, and the longest of them.
+REMEMBERED, LONGEST = 1 << 18, 64
+#: Characters of texts that are worked on together, and of new units that are encoded together.
+BATCH_CHARS, ENCODED_CHARS = 4 << 20, 1 << 18
 
 BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
 SPACE_MARK = "▁"
@@ -59,8 +59,9 @@ RESULT = (
 )
 DIGEST = RESULT.replace("groups string", "groups_sha256 string")
 
-#: Tokens of a unit laid over each other: counts of both, groups as text, and the pair of each link.
-Unit = tuple[int, int, int, str, np.ndarray]
+#: Tokens of a unit laid over each other: numbers of tokens of both, groups and links, the groups as text with a `;`
+#: behind each, and the pairs of the links as 64-bit numbers.
+Unit = tuple[int, int, int, int, str, bytes]
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -117,50 +118,109 @@ class Pieces:
         return self.model.encode(text)
 
 
+class Recent:
+    """What has been worked out for units, in two generations of `REMEMBERED`."""
+
+    def __init__(self, work: Callable[[list[str]], Iterator]):
+        self.work, self.young, self.old = work, {}, {}
+
+    def of(self, units: Iterable[str]) -> dict:
+        """The value of each distinct unit; those that are not remembered are worked out together."""
+        units = set(units)
+        found = {unit: self.young[unit] for unit in units if unit in self.young}
+        again = {unit: self.old[unit] for unit in units if unit not in found and unit in self.old}
+        missing = [unit for unit in units if unit not in found and unit not in again]
+        again.update(zip(missing, self.work(missing)))
+        found.update(again)
+        if len(self.young) + len(again) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young.update((unit, value) for unit, value in again.items() if len(unit) <= LONGEST)
+        return found
+
+
 class Aligner:
     def __init__(self, first: bytes, pattern: str, second: bytes):
         self.a, self.b = ByteLevel(first, pattern), Pieces(second)
-        self.recent: dict[str, Unit | None] = {}
-        self.older: dict[str, Unit | None] = {}
+        self.lengths_a, self.lengths_b = (
+            np.array([len(coder.bytes_of.get(i, b"")) for i in range(coder.size)], np.int64) for coder in (self.a, self.b)
+        )
+        # Each id as text with the two signs that can follow it.
+        self.written = np.array(
+            [f"{i}{sign}" for size, signs in ((self.a.size, ",|"), (self.b.size, ",;")) for sign in signs for i in range(size)],
+            object,
+        )
+        self.recent = Recent(self._worked_out)
 
     def units(self, text: str) -> list[str]:
         """Space + text, cut where neither tokenizer's tokens go across."""
         return BETWEEN_WORDS.split(f" {text}") if self.b.by_words else [f" {text}"]
 
-    def unit(self, unit: str) -> Unit | None:
-        """The unit's tokens over each other; None if those of either are not the unit's bytes."""
-        if unit in self.recent:
-            return self.recent[unit]
-        known = self.older[unit] if unit in self.older else self._aligned(unit)
-        if len(unit) <= LONGEST:
-            if len(self.recent) >= REMEMBERED:
-                self.older, self.recent = self.recent, {}
-            self.recent[unit] = known
-        return known
-
-    def _aligned(self, unit: str) -> Unit | None:
-        a, b, data = self.a.encode(unit), self.b.encode(unit[1:]), unit.encode()
-        tokens_a, tokens_b = [self.a.bytes_of[i] for i in a], [self.b.bytes_of[i] for i in b]
-        if b"".join(tokens_a) != data or b"".join(tokens_b) != data:
-            return None
+    def of(self, units: Iterable[str]) -> dict[str, Unit | None]:
+        """Each unit's tokens over each other; None where those of either are not the unit's bytes."""
+        return self.recent.of(units)
+
+    def _worked_out(self, units: list[str]) -> list[Unit | None]:
+        out, part, held = [], [], 0
+        for unit in units:
+            part.append(unit)
+            held += len(unit)
+            if held >= ENCODED_CHARS:
+                out += self._encoded(part)
+                part, held = [], 0
+        return out + self._encoded(part)
+
+    def _encoded(self, units: list[str]) -> list[Unit | None]:
+        """The units put together as one text and encoded at once, which gives the tokens of each one alone.
+
+        Only a unit with white space at its second or last place must stand alone, and one that can't be encoded.
+        """
+        if len(units) > 1:
+            alone = [unit[1:2].isspace() or unit[-1].isspace() for unit in units]
+            if any(alone):
+                plain = iter(self._encoded([unit for unit, single in zip(units, alone) if not single]))
+                return [self._encoded([unit])[0] if single else next(plain) for unit, single in zip(units, alone)]
+        text = "".join(units)
+        if not text:
+            return [None] * len(units)
+        a, b, data = self.a.encode(text), self.b.encode(text[1:]), text.encode()
+        if b"".join(map(self.a.bytes_of.__getitem__, a)) != data or b"".join(map(self.b.bytes_of.__getitem__, b)) != data:
+            if len(units) == 1:
+                return [None]
+            half = len(units) // 2
+            return self._encoded(units[:half]) + self._encoded(units[half:])
+        return self._laid_over(units, np.array(a, np.int64), np.array(b, np.int64), len(data))
+
+    def _laid_over(self, units: list[str], a: np.ndarray, b: np.ndarray, size: int) -> list[Unit]:
+        ends_a, ends_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+        ends_a[np.cumsum(self.lengths_a[a])] = True
+        ends_b[np.cumsum(self.lengths_b[b])] = True
+        # Up to and with each byte: the tokens of both that have ended, and the places where both end.
+        done_a, done_b, done = np.cumsum(ends_a), np.cumsum(ends_b), np.cumsum(ends_a & ends_b)
         # Between two neighbouring ends lies one token of each, and two tokens that overlap do so in one such place.
-        links, groups, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        end_a, end_b, size = len(tokens_a[0]), len(tokens_b[0]), self.b.size
-        while True:
-            links.append(a[i] * size + b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[from_a : i + 1])) + "|" + ",".join(map(str, b[from_b : j + 1])))
-                from_a, from_b = i + 1, j + 1
-                if from_a == len(a):
-                    break
-            if step_a:
-                i += 1
-                end_a += len(tokens_a[i])
-            if step_b:
-                j += 1
-                end_b += len(tokens_b[j])
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, np.uint64)
+        cuts = np.flatnonzero(ends_a | ends_b)
+        links = a[done_a[cuts] - ends_a[cuts]] * self.b.size + b[done_b[cuts] - ends_b[cuts]]
+        both = np.flatnonzero(ends_a & ends_b)
+        # In the text a group's tokens of the first tokenizer stand before those of the second.
+        at_a, at_b = np.flatnonzero(ends_a), np.flatnonzero(ends_b)
+        last_a, last_b = (ends_a & ends_b)[at_a], (ends_a & ends_b)[at_b]
+        before_b = np.concatenate(([0], done_b[both]))[done[at_a] - last_a]
+        upto_a = done_a[both][done[at_b] - last_b]
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + before_b] = a + self.a.size * last_a
+        order[np.arange(len(b)) + upto_a] = b + 2 * self.a.size + self.b.size * last_b
+        written = self.written[order].tolist()
+        stops = np.cumsum([len(unit.encode()) for unit in units])
+        if not (ends_a & ends_b)[stops].all():
+            raise ValueError("a token goes across the units of a text")
+        counts = [np.diff(done_of[stops], prepend=0) for done_of in (done_a, done_b, done)]
+        n_links = counts[0] + counts[1] - counts[2]
+        packed = links.astype(np.uint64).tobytes()
+        link_ends, text_ends = np.cumsum(n_links).tolist(), (done_a + done_b)[stops].tolist()
+        out, from_link, from_text = [], 0, 0
+        for n_a, n_b, n_groups, n, link_end, text_end in zip(*(c.tolist() for c in counts), n_links.tolist(), link_ends, text_ends):
+            out.append((n_a, n_b, n_groups, n, "".join(written[from_text:text_end]), packed[8 * from_link : 8 * link_end]))
+            from_link, from_text = link_end, text_end
+        return out
 
 
 def _kept_by_worker() -> dict:
@@ -223,41 +283,43 @@ def count_pairs(docs: DataFrame, open_aligner: Callable[[], Aligner]) -> DataFra
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner, node = open_aligner(), TaskContext.get().partitionId()
-        pairs, counts, fresh = np.zeros(0, np.uint64), np.zeros(0, np.int64), Counter()
-
-        def merged():
-            keys, weights = [pairs], [counts]
-            for unit, times in fresh.items():
-                links = aligner.unit(unit)[4]
-                keys.append(links)
-                weights.append(np.full(len(links), times, np.int64))
-            distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.zeros(len(distinct), np.int64)
-            np.add.at(sums, place, np.concatenate(weights))
-            return distinct, sums
-
-        def rows():
-            slot = slots_of(pairs)
-            for number in np.unique(slot).tolist():
-                own = slot == number
-                yield node, number, pairs[own].tobytes(), counts[own].tobytes()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        for frame in frames:
-            for text in frame["text"]:
-                units = aligner.units(text) if text else []
-                if all(aligner.unit(unit) is not None for unit in set(units)):
-                    fresh.update(units)
-                if len(fresh) >= FRESH_UNITS:
-                    (pairs, counts), fresh = merged(), Counter()
-            if len(pairs) >= HELD_PAIRS:
-                yield _frame(list(rows()), COUNTED)
-                pairs, counts = pairs[:0], counts[:0]
-        pairs, counts = merged()
-        yield _frame(list(rows()), COUNTED)
+        def rows(pairs: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+            slot = slots_of(pairs)
+            parts = [(number, slot == number) for number in np.unique(slot).tolist()]
+            return _frame([(node, k, pairs[own].tobytes(), counts[own].tobytes()) for k, own in parts], COUNTED)
+
+        for _, texts in _batches(frames, aligner):
+            known = aligner.of(chain.from_iterable(texts))
+            whole = [units for units in texts if _is_whole(units, known)]
+            times = Counter(chain.from_iterable(whole))
+            links = np.frombuffer(b"".join(known[unit][5] for unit in times), np.uint64)
+            weights = np.repeat(list(times.values()), [known[unit][3] for unit in times]) if times else []
+            held.append(_summed([(links, np.array(weights, np.int64))]))
+            if sum(len(pairs) for pairs, _ in held) > 2 * HELD_PAIRS:
+                held = [_summed(held)]
+            if len(held) == 1 and len(held[0][0]) > HELD_PAIRS:
+                yield rows(*held.pop())
+        if held:
+            yield rows(*_summed(held))
 
     return _narrow(docs).mapInPandas(work, COUNTED)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of all parts, sorted, and the sum of their counts."""
+    pairs, counts = (np.concatenate(column) for column in zip(*parts))
+    order = np.argsort(pairs, kind="stable")
+    pairs, counts = pairs[order], counts[order]
+    starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else []
+    return (pairs[starts], np.add.reduceat(counts, starts)) if len(pairs) else (pairs, counts)
+
+
+def _is_whole(units: list[str], known: dict) -> bool:
+    return bool(units) and None not in map(known.__getitem__, units)
+
+
 def _tree(rows: DataFrame, layout: str, combine: Callable[[pd.Series], bytes]) -> DataFrame:
     """Combine the rows (node, slot or shard, blob) of each slot, `FAN` nodes at a time, until one node is left."""
     node, part, blob = (field.split()[0] for field in layout.split(", "))
@@ -402,51 +464,53 @@ def align(docs: DataFrame, first: str, pattern: str, second: str, digest: bool =
             found[own] = counts[table.numbers(distinct[own])]
         return found[place]
 
-    def figures(aligner: Aligner, units: list[str]) -> dict[str, tuple[int, ...]]:
-        """For each unit its tokens, groups, links, best links, and the sum of its links' counts."""
-        parts = [aligner.unit(unit) for unit in units]
-        links = np.concatenate([part[4] for part in parts])
+    def figures(aligner: Aligner, units: list[str]) -> list[tuple]:
+        """For each unit its tokens of both, groups, links, best links, the sum of its links' counts, and its text."""
+        if not units:
+            return []
+        known = aligner.of(units)
+        parts = [known[unit] for unit in units]
+        links = np.frombuffer(b"".join(part[5] for part in parts), np.uint64)
         found = look_up(links)
         is_best = found == best_of.value[(links % np.uint64(size)).astype(np.int64)]
-        starts = np.concatenate(([0], np.cumsum([len(part[4]) for part in parts])[:-1])).astype(np.int64)
+        starts = np.cumsum([0, *(part[3] for part in parts[:-1])])
         n_best, sums = np.add.reduceat(is_best.astype(np.int64), starts), np.add.reduceat(found, starts)
-        return {
-            unit: (part[0], part[1], part[2], len(part[4]), good, total, part[3])
-            for unit, part, good, total in zip(units, parts, n_best.tolist(), sums.tolist())
-        }
+        return [(*part[:4], good, total, part[4]) for part, good, total in zip(parts, n_best.tolist(), sums.tolist())]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = open_aligner()
-        for frame in frames:
-            for ids, texts in _bounded(frame, aligner):
-                whole = [all(aligner.unit(u) is not None for u in set(units)) for units in texts]
-                seen = list(dict.fromkeys(chain.from_iterable(u for u, good in zip(texts, whole) if good)))
-                known = figures(aligner, seen) if seen else {}
-                out = []
-                for doc_id, units, good in zip(ids, texts, whole):
-                    if not units or not good:
-                        out.append((doc_id, 0, 0, 0, 0, 0, 0, ""))
-                        continue
-                    *sums, groups = zip(*map(known.__getitem__, units))
-                    text = ";".join(groups)
-                    out.append((doc_id, *map(sum, sums), hashlib.sha256(text.encode()).hexdigest() if digest else text))
-                result = _frame(out, layout)
-                yield result.assign(doc_id=result["doc_id"].astype("Int64"))
+        aligner, kept = open_aligner(), _kept_by_worker()
+        if kept.get("run") != run:
+            kept["run"], kept["figures"] = run, Recent(lambda units: figures(aligner, units))
+        for ids, texts in _batches(frames, aligner):
+            # Pairs have counts where a whole text holds them.
+            coded = aligner.of(chain.from_iterable(texts))
+            texts = [units if _is_whole(units, coded) else [] for units in texts]
+            known = kept["figures"].of(chain.from_iterable(texts))
+            out = []
+            for doc_id, units in zip(ids, texts):
+                if not units:
+                    out.append((doc_id, 0, 0, 0, 0, 0, 0, ""))
+                    continue
+                *sums, groups = zip(*map(known.__getitem__, units))
+                text = "".join(groups)[:-1]
+                out.append((doc_id, *map(sum, sums), hashlib.sha256(text.encode()).hexdigest() if digest else text))
+            result = _frame(out, layout)
+            yield result.assign(doc_id=result["doc_id"].astype("Int64"))
 
     return _narrow(docs).mapInPandas(work, layout)
 
 
-def _bounded(frame: pd.DataFrame, aligner: Aligner) -> Iterator[tuple[list, list[list[str]]]]:
-    """Ids and units of the frame's rows, in parts of about `BATCH_UNITS` units."""
+def _batches(frames: Iterator[pd.DataFrame], aligner: Aligner) -> Iterator[tuple[list, list[list[str]]]]:
+    """Ids and units of the texts, in parts of about `BATCH_CHARS`."""
     ids, texts, held = [], [], 0
-    for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"]):
-        units = aligner.units(text) if text else []
-        ids.append(doc_id)
-        texts.append(units)
-        held += len(units)
-        if held >= BATCH_UNITS:
-            yield ids, texts
-            ids, texts, held = [], [], 0
+    for frame in frames:
+        for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"]):
+            ids.append(doc_id)
+            texts.append(aligner.units(text) if text else [])
+            held += len(text)
+            if held >= BATCH_CHARS:
+                yield ids, texts
+                ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
 

@@ -119,8 +119,9 @@ def test_long_text_and_empty_table(spark, libraries):
     assert aligner.b.by_words
     text = "ab" * 60_000 + " c" * 1000
     a, b = tokens(libraries, text)
-    parts = [aligner.unit(unit) for unit in aligner.units(text)]
-    assert (sum(p[0] for p in parts), sum(p[1] for p in parts)) == (len(a), len(b))
+    units = aligner.units(text)
+    known = aligner.of(units)
+    assert (sum(known[u][0] for u in units), sum(known[u][1] for u in units)) == (len(a), len(b))
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert A.align(df, FIRST, P.PATTERN, SECOND).count() == 0
 
@@ -128,5 +129,11 @@ def test_long_text_and_empty_table(spark, libraries):
 def test_remembered_units(libraries, monkeypatch):
     monkeypatch.setattr(A, "REMEMBERED", 2)
     aligner = A.Aligner(open(FIRST, "rb").read(), P.PATTERN, open(SECOND, "rb").read())
-    text = "one two three one four two five one"
-    assert sum(aligner.unit(u)[0] for u in aligner.units(text)) == len(tokens(libraries, text)[0])
+    monkeypatch.setattr(A, "ENCODED_CHARS", 10)
+    for text in ("one two three", "three one", "three four  two\n five one ", "one ▁ two", "six"):
+        units, (a, b) = aligner.units(text), tokens(libraries, text)
+        known = aligner.of(units)
+        if not a:
+            assert None in map(known.get, units)
+            continue
+        assert [sum(known[u][i] for u in units) for i in (0, 1)] == [len(a), len(b)]
