@@ -14,14 +14,14 @@ depend on the unit alone, so each worker remembers those of recent units.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import sys
 import uuid
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Collection, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -44,7 +44,7 @@ HELD_BYTES = 64 << 20
 #: Units a worker remembers in each of two generations, and the longest of them.
 REMEMBERED, LONGEST = 1 << 18, 64
 #: Characters of texts that are worked on together, and of new units that are encoded together.
-BATCH_CHARS, ENCODED_CHARS = 4 << 20, 1 << 18
+BATCH_CHARS, ENCODED_CHARS = 4 << 20, 1 << 15
 
 BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
 SPACE_MARK = "▁"
@@ -59,9 +59,12 @@ RESULT = (
 )
 DIGEST = RESULT.replace("groups string", "groups_sha256 string")
 
-#: Tokens of a unit laid over each other: numbers of tokens of both, groups and links, the groups as text with a `;`
-#: behind each, and the pairs of the links as 64-bit numbers.
-Unit = tuple[int, int, int, int, str, bytes]
+#: A unit with white space at its second or last place, in units between zero bytes.
+ODD_UNIT = re.compile(r"\s\0|\0 \s")
+
+#: Tokens of a unit laid over each other: numbers of tokens of both, groups and links, the pairs of the links as 64-bit
+#: numbers, and, where it is asked for, the groups as text with a `;` behind each.
+Unit = tuple[int, int, int, int, bytes, str]
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -91,11 +94,12 @@ class ByteLevel:
             # Ids in the order of the merges are ranks, and the ranks' library is several times faster.
             ranks = {token: id_ for id_, token in self.bytes_of.items()}
             coder = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            self.encode = coder.encode_ordinary
+            # Its tokens are cut out of the text's bytes.
+            self.encode, self.exact = coder.encode_ordinary, True
         else:
             coder = Tokenizer.from_str(data.decode())
             coder.encode_special_tokens = True
-            self.encode = lambda text: coder.encode(text, add_special_tokens=False).ids
+            self.encode, self.exact = lambda text: coder.encode(text, add_special_tokens=False).ids, False
 
 
 class Pieces:
@@ -121,21 +125,24 @@ class Pieces:
 class Recent:
     """What has been worked out for units, in two generations of `REMEMBERED`."""
 
-    def __init__(self, work: Callable[[list[str]], Iterator]):
+    def __init__(self, work: Callable[[list[str]], list]):
         self.work, self.young, self.old = work, {}, {}
 
-    def of(self, units: Iterable[str]) -> dict:
-        """The value of each distinct unit; those that are not remembered are worked out together."""
-        units = set(units)
-        found = {unit: self.young[unit] for unit in units if unit in self.young}
-        again = {unit: self.old[unit] for unit in units if unit not in found and unit in self.old}
-        missing = [unit for unit in units if unit not in found and unit not in again]
-        again.update(zip(missing, self.work(missing)))
-        found.update(again)
-        if len(self.young) + len(again) > REMEMBERED:
+    def of(self, units: Collection[str]) -> list:
+        """The value of each of the distinct units; those that are not remembered are worked out together."""
+        young, old, unknown = self.young, self.old, object()
+        values = [young.get(unit, unknown) for unit in units]
+        late = [(i, unit, old.get(unit, unknown)) for i, unit in enumerate(units) if values[i] is unknown]
+        missing = [(i, unit) for i, unit, value in late if value is unknown]
+        fresh = [(i, unit, value) for i, unit, value in late if value is not unknown]
+        fresh += [(*place, value) for place, value in zip(missing, self.work([unit for _, unit in missing]))]
+        if len(young) + len(fresh) > REMEMBERED:
             self.old, self.young = self.young, {}
-        self.young.update((unit, value) for unit, value in again.items() if len(unit) <= LONGEST)
-        return found
+        for i, unit, value in fresh:
+            values[i] = value
+            if len(unit) <= LONGEST:
+                self.young[unit] = value
+        return values
 
 
 class Aligner:
@@ -149,78 +156,75 @@ class Aligner:
             [f"{i}{sign}" for size, signs in ((self.a.size, ",|"), (self.b.size, ",;")) for sign in signs for i in range(size)],
             object,
         )
-        self.recent = Recent(self._worked_out)
+        self.recent = Recent(self.aligned)
 
     def units(self, text: str) -> list[str]:
         """Space + text, cut where neither tokenizer's tokens go across."""
         return BETWEEN_WORDS.split(f" {text}") if self.b.by_words else [f" {text}"]
 
-    def of(self, units: Iterable[str]) -> dict[str, Unit | None]:
+    def aligned(self, units: list[str], with_text: bool = False) -> list[Unit | None]:
         """Each unit's tokens over each other; None where those of either are not the unit's bytes."""
-        return self.recent.of(units)
-
-    def _worked_out(self, units: list[str]) -> list[Unit | None]:
         out, part, held = [], [], 0
         for unit in units:
             part.append(unit)
             held += len(unit)
             if held >= ENCODED_CHARS:
-                out += self._encoded(part)
+                out += self._encoded(part, with_text)
                 part, held = [], 0
-        return out + self._encoded(part)
+        return out + self._encoded(part, with_text)
 
-    def _encoded(self, units: list[str]) -> list[Unit | None]:
+    def _encoded(self, units: list[str], with_text: bool) -> list[Unit | None]:
         """The units put together as one text and encoded at once, which gives the tokens of each one alone.
 
         Only a unit with white space at its second or last place must stand alone, and one that can't be encoded.
         """
-        if len(units) > 1:
-            alone = [unit[1:2].isspace() or unit[-1].isspace() for unit in units]
-            if any(alone):
-                plain = iter(self._encoded([unit for unit, single in zip(units, alone) if not single]))
-                return [self._encoded([unit])[0] if single else next(plain) for unit, single in zip(units, alone)]
+        if not units:
+            return []
         text = "".join(units)
-        if not text:
-            return [None] * len(units)
+        if len(units) > 1 and ODD_UNIT.search("\0" + "\0".join(units) + "\0"):
+            return self._halves(units, with_text)
         a, b, data = self.a.encode(text), self.b.encode(text[1:]), text.encode()
-        if b"".join(map(self.a.bytes_of.__getitem__, a)) != data or b"".join(map(self.b.bytes_of.__getitem__, b)) != data:
-            if len(units) == 1:
-                return [None]
-            half = len(units) // 2
-            return self._encoded(units[:half]) + self._encoded(units[half:])
-        return self._laid_over(units, np.array(a, np.int64), np.array(b, np.int64), len(data))
-
-    def _laid_over(self, units: list[str], a: np.ndarray, b: np.ndarray, size: int) -> list[Unit]:
+        whole = b"".join(map(self.b.bytes_of.__getitem__, b)) == data
+        if not whole or not (self.a.exact or b"".join(map(self.a.bytes_of.__getitem__, a)) == data):
+            return [None] if len(units) == 1 else self._halves(units, with_text)
+        return self._laid_over(units, np.array(a, np.int64), np.array(b, np.int64), len(data), with_text)
+
+    def _halves(self, units: list[str], with_text: bool) -> list[Unit | None]:
+        half = len(units) // 2
+        return self._encoded(units[:half], with_text) + self._encoded(units[half:], with_text)
+
+    def _laid_over(self, units: list[str], a: np.ndarray, b: np.ndarray, size: int, with_text: bool) -> list[Unit]:
         ends_a, ends_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
         ends_a[np.cumsum(self.lengths_a[a])] = True
         ends_b[np.cumsum(self.lengths_b[b])] = True
+        meet = ends_a & ends_b
+        stops = np.cumsum([len(unit.encode()) for unit in units])
+        if not meet[stops].all():
+            raise ValueError("a token goes across the units of a text")
         # Up to and with each byte: the tokens of both that have ended, and the places where both end.
-        done_a, done_b, done = np.cumsum(ends_a), np.cumsum(ends_b), np.cumsum(ends_a & ends_b)
+        done_a, done_b, done = np.cumsum(ends_a), np.cumsum(ends_b), np.cumsum(meet)
         # Between two neighbouring ends lies one token of each, and two tokens that overlap do so in one such place.
         cuts = np.flatnonzero(ends_a | ends_b)
         links = a[done_a[cuts] - ends_a[cuts]] * self.b.size + b[done_b[cuts] - ends_b[cuts]]
-        both = np.flatnonzero(ends_a & ends_b)
-        # In the text a group's tokens of the first tokenizer stand before those of the second.
-        at_a, at_b = np.flatnonzero(ends_a), np.flatnonzero(ends_b)
-        last_a, last_b = (ends_a & ends_b)[at_a], (ends_a & ends_b)[at_b]
+        counts = [np.diff(done_of[stops], prepend=0) for done_of in (done_a, done_b, done)]
+        n_links = counts[0] + counts[1] - counts[2]
+        packed, link_ends = links.astype(np.uint64).tobytes(), (8 * np.cumsum(n_links)).tolist()
+        parts = [packed[start:end] for start, end in zip([0, *link_ends], link_ends)]
+        texts = self._texts(a, b, ends_a, ends_b, done_a, done_b, done, stops) if with_text else [""] * len(units)
+        return list(zip(*(c.tolist() for c in counts), n_links.tolist(), parts, texts))
+
+    def _texts(self, a, b, ends_a, ends_b, done_a, done_b, done, stops) -> list[str]:
+        """The groups of each unit: of a group's tokens, those of the first tokenizer stand before the others."""
+        meet = ends_a & ends_b
+        both, at_a, at_b = np.flatnonzero(meet), np.flatnonzero(ends_a), np.flatnonzero(ends_b)
+        last_a, last_b = meet[at_a], meet[at_b]
         before_b = np.concatenate(([0], done_b[both]))[done[at_a] - last_a]
         upto_a = done_a[both][done[at_b] - last_b]
         order = np.empty(len(a) + len(b), np.int64)
         order[np.arange(len(a)) + before_b] = a + self.a.size * last_a
         order[np.arange(len(b)) + upto_a] = b + 2 * self.a.size + self.b.size * last_b
-        written = self.written[order].tolist()
-        stops = np.cumsum([len(unit.encode()) for unit in units])
-        if not (ends_a & ends_b)[stops].all():
-            raise ValueError("a token goes across the units of a text")
-        counts = [np.diff(done_of[stops], prepend=0) for done_of in (done_a, done_b, done)]
-        n_links = counts[0] + counts[1] - counts[2]
-        packed = links.astype(np.uint64).tobytes()
-        link_ends, text_ends = np.cumsum(n_links).tolist(), (done_a + done_b)[stops].tolist()
-        out, from_link, from_text = [], 0, 0
-        for n_a, n_b, n_groups, n, link_end, text_end in zip(*(c.tolist() for c in counts), n_links.tolist(), link_ends, text_ends):
-            out.append((n_a, n_b, n_groups, n, "".join(written[from_text:text_end]), packed[8 * from_link : 8 * link_end]))
-            from_link, from_text = link_end, text_end
-        return out
+        written, ends = self.written[order].tolist(), (done_a + done_b)[stops].tolist()
+        return ["".join(written[start:end]) for start, end in zip([0, *ends], ends)]
 
 
 def _kept_by_worker() -> dict:
@@ -247,11 +251,10 @@ class Table:
         self.hashed = PerfectHash(list(row["sizes"]), np.frombuffer(row["words"], np.uint64))
         self.pairs = np.frombuffer(row["pairs"], np.uint64)
 
-    def numbers(self, pairs: np.ndarray) -> np.ndarray:
+    def find(self, pairs: np.ndarray) -> np.ndarray:
+        """The number of each pair, -1 where the key at that number is another one."""
         found = self.hashed.find(pairs)
-        if (found < 0).any() or (self.pairs[found] != pairs).any():
-            raise KeyError("a pair of the second pass is not among those of the first")
-        return found
+        return np.where((found >= 0) & (self.pairs[found] == pairs), found, -1)
 
 
 def _opened(run: str, shard: int, tables: list) -> tuple:
@@ -274,8 +277,12 @@ def _read(part):
     return value
 
 
+def columns_of(layout: str) -> list[str]:
+    return [part.split()[0] for part in layout.split(", ")]
+
+
 def _frame(rows: list[tuple], layout: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[part.split()[0] for part in layout.split(", ")])
+    return pd.DataFrame(rows, columns=columns_of(layout))
 
 
 def count_pairs(docs: DataFrame, open_aligner: Callable[[], Aligner]) -> DataFrame:
@@ -290,17 +297,18 @@ def count_pairs(docs: DataFrame, open_aligner: Callable[[], Aligner]) -> DataFra
             parts = [(number, slot == number) for number in np.unique(slot).tolist()]
             return _frame([(node, k, pairs[own].tobytes(), counts[own].tobytes()) for k, own in parts], COUNTED)
 
-        for _, texts in _batches(frames, aligner):
-            known = aligner.of(chain.from_iterable(texts))
-            whole = [units for units in texts if _is_whole(units, known)]
-            times = Counter(chain.from_iterable(whole))
-            links = np.frombuffer(b"".join(known[unit][5] for unit in times), np.uint64)
-            weights = np.repeat(list(times.values()), [known[unit][3] for unit in times]) if times else []
-            held.append(_summed([(links, np.array(weights, np.int64))]))
-            if sum(len(pairs) for pairs, _ in held) > 2 * HELD_PAIRS:
-                held = [_summed(held)]
-            if len(held) == 1 and len(held[0][0]) > HELD_PAIRS:
-                yield rows(*held.pop())
+        with _without_collector():
+            for _, index, places, lengths in _batches(frames, aligner):
+                known = aligner.recent.of(index)
+                times = np.bincount(places[_in_whole(known, places, lengths)], minlength=len(known))
+                used = np.flatnonzero(times).tolist()
+                links = np.frombuffer(b"".join(known[i][4] for i in used), np.uint64)
+                weights = np.repeat(times[used], [known[i][3] for i in used]) if used else times[:0]
+                held.append(_summed([(links, weights)]))
+                if sum(len(pairs) for pairs, _ in held) > 2 * HELD_PAIRS:
+                    held = [_summed(held)]
+                if len(held) == 1 and len(held[0][0]) > HELD_PAIRS:
+                    yield rows(*held.pop())
         if held:
             yield rows(*_summed(held))
 
@@ -316,8 +324,25 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return (pairs[starts], np.add.reduceat(counts, starts)) if len(pairs) else (pairs, counts)
 
 
-def _is_whole(units: list[str], known: dict) -> bool:
-    return bool(units) and None not in map(known.__getitem__, units)
+def _in_whole(known: list[Unit | None], places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which units stand in texts whose units can all be encoded."""
+    bad = np.array([value is None for value in known], bool)
+    if not bad.any():
+        return np.ones(len(places), bool)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    return ~np.isin(text, text[bad[places]])
+
+
+@contextmanager
+def _without_collector() -> Iterator[None]:
+    """Python's search for reference cycles walks through all that is remembered, again and again, and finds none."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
 
 
 def _tree(rows: DataFrame, layout: str, combine: Callable[[pd.Series], bytes]) -> DataFrame:
@@ -390,7 +415,10 @@ def dense_counts(counted: DataFrame, run: str, tables: list) -> DataFrame:
                         yield _frame([(node, k, v.tobytes()) for k, v in sums.items()], DENSE)
                         sums = {}
                     sums[shard] = np.zeros(len(table.pairs), np.int64)
-                sums[shard][table.numbers(np.frombuffer(blob, np.uint64))] += np.frombuffer(counts, np.int64)
+                numbers = table.find(np.frombuffer(blob, np.uint64))
+                if (numbers < 0).any():
+                    raise KeyError("a counted pair is not among the hashed ones")
+                sums[shard][numbers] += np.frombuffer(counts, np.int64)
         yield _frame([(node, k, v.tobytes()) for k, v in sums.items()], DENSE)
 
     def add(blobs: pd.Series) -> bytes:
@@ -455,64 +483,80 @@ def align(docs: DataFrame, first: str, pattern: str, second: str, digest: bool =
     layout = DIGEST if digest else RESULT
 
     def look_up(links: np.ndarray) -> np.ndarray:
-        """The corpus count of each link's pair, one shard at a time."""
+        """The corpus count of each link's pair, one shard at a time; -1 for a pair that no whole text holds."""
         distinct, place = np.unique(links, return_inverse=True)
-        shard, found = slots_of(distinct) * shards // SLOTS, np.zeros(len(distinct), np.int64)
+        shard, found = slots_of(distinct) * shards // SLOTS, np.full(len(distinct), -1, np.int64)
         for number in np.unique(shard).tolist():
+            if both[number][0] is None:
+                continue
             table, counts = _opened(run, number, both)
-            own = shard == number
-            found[own] = counts[table.numbers(distinct[own])]
+            own = np.flatnonzero(shard == number)
+            numbers = table.find(distinct[own])
+            found[own[numbers >= 0]] = counts[numbers[numbers >= 0]]
         return found[place]
 
-    def figures(aligner: Aligner, units: list[str]) -> list[tuple]:
+    def figures(aligner: Aligner, units: list[str]) -> list[tuple | None]:
         """For each unit its tokens of both, groups, links, best links, the sum of its links' counts, and its text."""
-        if not units:
-            return []
-        known = aligner.of(units)
-        parts = [known[unit] for unit in units]
-        links = np.frombuffer(b"".join(part[5] for part in parts), np.uint64)
+        parts = aligner.aligned(units, with_text=True)
+        known = [part for part in parts if part is not None]
+        if not known:
+            return parts
+        links = np.frombuffer(b"".join(part[4] for part in known), np.uint64)
         found = look_up(links)
         is_best = found == best_of.value[(links % np.uint64(size)).astype(np.int64)]
-        starts = np.cumsum([0, *(part[3] for part in parts[:-1])])
-        n_best, sums = np.add.reduceat(is_best.astype(np.int64), starts), np.add.reduceat(found, starts)
-        return [(*part[:4], good, total, part[4]) for part, good, total in zip(parts, n_best.tolist(), sums.tolist())]
+        starts = np.cumsum([0, *(part[3] for part in known[:-1])])
+        sums = [np.add.reduceat(v, starts).tolist() for v in (is_best.astype(np.int64), found, (found < 0).astype(np.int64))]
+        rows = iter([(*part[:4], *more, part[5]) for part, *more in zip(known, *sums)])
+        return [None if part is None else next(rows) for part in parts]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner, kept = open_aligner(), _kept_by_worker()
         if kept.get("run") != run:
             kept["run"], kept["figures"] = run, Recent(lambda units: figures(aligner, units))
-        for ids, texts in _batches(frames, aligner):
-            # Pairs have counts where a whole text holds them.
-            coded = aligner.of(chain.from_iterable(texts))
-            texts = [units if _is_whole(units, coded) else [] for units in texts]
-            known = kept["figures"].of(chain.from_iterable(texts))
-            out = []
-            for doc_id, units in zip(ids, texts):
-                if not units:
-                    out.append((doc_id, 0, 0, 0, 0, 0, 0, ""))
-                    continue
-                *sums, groups = zip(*map(known.__getitem__, units))
-                text = "".join(groups)[:-1]
-                out.append((doc_id, *map(sum, sums), hashlib.sha256(text.encode()).hexdigest() if digest else text))
-            result = _frame(out, layout)
-            yield result.assign(doc_id=result["doc_id"].astype("Int64"))
+        with _without_collector():
+            for ids, index, places, lengths in _batches(frames, aligner):
+                known = kept["figures"].of(index)
+                whole = _in_whole(known, places, lengths)
+                numbers = np.array([(0,) * 7 if row is None else row[:7] for row in known], np.int64).reshape(-1, 7)[places]
+                if (numbers[whole, 6] > 0).any():
+                    raise KeyError("a pair of the second pass is not among those of the first")
+                numbers[~whole] = 0
+                ends = np.cumsum(lengths)
+                running = np.concatenate((np.zeros((1, 7), np.int64), np.cumsum(numbers, axis=0)))
+                totals = running[ends] - running[ends - lengths]
+                texts = ["" if row is None else row[7] for row in known]
+                groups = []
+                for start, end in zip((ends - lengths).tolist(), ends.tolist()):
+                    good = end > start and whole[start]
+                    text = "".join(map(texts.__getitem__, places[start:end].tolist()))[:-1] if good else ""
+                    groups.append(hashlib.sha256(text.encode()).hexdigest() if digest and good else text)
+                columns = columns_of(layout)
+                result = pd.DataFrame(totals[:, :6], columns=columns[1:7]).assign(**{columns[7]: groups})
+                result.insert(0, "doc_id", pd.array(ids, "Int64"))
+                yield result
 
     return _narrow(docs).mapInPandas(work, layout)
 
 
-def _batches(frames: Iterator[pd.DataFrame], aligner: Aligner) -> Iterator[tuple[list, list[list[str]]]]:
-    """Ids and units of the texts, in parts of about `BATCH_CHARS`."""
-    ids, texts, held = [], [], 0
+def _batches(frames: Iterator[pd.DataFrame], aligner: Aligner) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
+    """Parts of about `BATCH_CHARS`: ids, the distinct units, the unit at each place of all texts, units of each text."""
+    ids, places, lengths, index, held = [], [], [], {}, 0
+
+    def part():
+        return ids, list(index), np.array(places, np.int64), np.array(lengths, np.int64)
+
     for frame in frames:
         for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"]):
+            units = aligner.units(text) if text else []
             ids.append(doc_id)
-            texts.append(aligner.units(text) if text else [])
+            lengths.append(len(units))
+            places += [index.setdefault(unit, len(index)) for unit in units]
             held += len(text)
             if held >= BATCH_CHARS:
-                yield ids, texts
-                ids, texts, held = [], [], 0
+                yield part()
+                ids, places, lengths, index, held = [], [], [], {}, 0
     if ids:
-        yield ids, texts
+        yield part()
 
 
 def _narrow(docs: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def test_long_text_and_empty_table(spark, libraries):
     text = "ab" * 60_000 + " c" * 1000
     a, b = tokens(libraries, text)
     units = aligner.units(text)
-    known = aligner.of(units)
+    known = dict(zip(units, aligner.recent.of(units)))
     assert (sum(known[u][0] for u in units), sum(known[u][1] for u in units)) == (len(a), len(b))
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert A.align(df, FIRST, P.PATTERN, SECOND).count() == 0
@@ -132,7 +132,7 @@ def test_remembered_units(libraries, monkeypatch):
     monkeypatch.setattr(A, "ENCODED_CHARS", 10)
     for text in ("one two three", "three one", "three four  two\n five one ", "one ▁ two", "six"):
         units, (a, b) = aligner.units(text), tokens(libraries, text)
-        known = aligner.of(units)
+        known = dict(zip(units, aligner.recent.of(units)))
         if not a:
             assert None in map(known.get, units)
             continue
