@@ -9,6 +9,7 @@ then the states are handed back down. No task holds more than one block or one g
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,13 +32,10 @@ def entry_states(rows: DataFrame, seconds: int) -> DataFrame:
     """(key, block, _state) for all blocks of `rows`, which has key, block, arrival_seq and `_us`."""
 
     def block_steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = pdf.sort_values("arrival_seq")["_us"].to_numpy()
-        return _frame(pdf["key"].iloc[0], pdf["block"].iloc[0], *steps_of(us, seconds))
+        return _frame(pdf["key"].iloc[0], pdf["block"].iloc[0], *steps_of(pdf["_us"].to_numpy(), seconds))
 
-    steps = staged(
-        rows.select("key", "block", "arrival_seq", "_us").groupBy("key", "block").applyInPandas(block_steps, STEPS),
-        "debounce-steps",
-    )
+    narrow = rows.select("key", "block", "arrival_seq", "_us")
+    steps = staged(_by_group(narrow, ["key", "block"], ["arrival_seq"], block_steps, STEPS), "debounce-steps")
     top = steps.agg(F.max("block")).first()[0]
     levels = 0 if not top else math.ceil(math.log(top + 1, GROUP))
     return _states(steps, levels)
@@ -46,11 +44,42 @@ def entry_states(rows: DataFrame, seconds: int) -> DataFrame:
 def _states(steps: DataFrame, levels: int) -> DataFrame:
     if levels <= 1:
         start = F.lit(NOTHING_KEPT).cast("bigint")
-        return steps.withColumn("_state", start).groupBy("key").applyInPandas(_walk, STATES)
+        return _by_group(steps.withColumn("_state", start), ["key"], ["block", "low"], _walk, STATES)
     parents = steps.withColumn("parent", F.floor(F.col("block") / GROUP).cast("bigint"))
-    composed = staged(parents.groupBy("key", "parent").applyInPandas(_compose_group, STEPS), "debounce-steps")
+    order = ["block", "low"]
+    composed = staged(_by_group(parents, ["key", "parent"], order, _compose_group, STEPS), "debounce-steps")
     above = _states(composed, levels - 1).withColumnRenamed("block", "parent")
-    return parents.join(above, ["key", "parent"]).groupBy("key", "parent").applyInPandas(_walk, STATES)
+    return _by_group(parents.join(above, ["key", "parent"]), ["key", "parent"], order, _walk, STATES)
+
+
+def _by_group(
+    rows: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], layout: str
+) -> DataFrame:
+    """`work` on the sorted rows of each group, many groups to a batch; a task holds one group at a time."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            names = [batch[key].to_numpy() for key in keys]
+            changed = np.zeros(len(batch) - 1, dtype=bool)
+            for name in names:
+                changed |= name[1:] != name[:-1]
+            cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(batch)]
+            done = []
+            for start, end in zip(cuts, cuts[1:]):
+                part = batch.iloc[start:end]
+                if held and any(held[0][key].iloc[0] != part[key].iloc[0] for key in keys):
+                    done.append(work(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+                held.append(part)
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield work(pd.concat(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, layout)
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -16,6 +16,20 @@ def latest(log: DataFrame, order: str = "arrival_seq", key: str = "key") -> Data
     )
 
 
+def present(rows: DataFrame, key: str = "key", order: str = "arrival_seq") -> DataFrame:
+    """Rows of keys that are in the table: a row whose values are all null stands for a deleted key."""
+    values = [name for name in rows.columns if name not in (key, order)]
+    return rows.where(" OR ".join(f"`{name}` IS NOT NULL" for name in values))
+
+
+def current_rows(log: DataFrame, order: str = "change_seq", key: str = "key") -> DataFrame:
+    """The table that a log of changes with deletes stands for: the last change of each key, unless it deletes it.
+
+    A key can be deleted and come back. Changes without a key belong to no row.
+    """
+    return present(latest(log.where(F.col(key).isNotNull()), order, key), key, order)
+
+
 def latest_labels(timeline: DataFrame) -> DataFrame:
     """The compacted label table: current weekly label of every key that has one."""
     changes = timeline.where(F.col("week_label").isNotNull())

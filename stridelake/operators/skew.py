@@ -1,8 +1,9 @@
 """Keeping every task bounded when one key or one source partition holds much of the data.
 
-Rows of a source partition have unique offsets, so `offset div block_rows` cuts them into blocks of at
-most `block_rows` rows. A running value over a long group is then the running value inside the block,
-combined with a carry: the same value over all earlier blocks, which comes from one summary row a block.
+Rows of a source partition have unique offsets, so `offset div block_rows` cuts a partition into ranges of at most
+`block_rows` rows. The blocks of a key are neighbouring ranges with about so many rows of its own. A running value over
+a long group is then the running value inside the block, combined with a carry: the same value over all earlier
+blocks, which comes from one summary row a block.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from stridelake.session import staged
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """A key with more than `hot_rows` rows is worked on in blocks of `block_rows` offsets."""
+    """A key with more than `hot_rows` rows is worked on in blocks of about `block_rows` of them."""
 
     hot_rows: int = 1_000_000
     block_rows: int = 1_000_000
@@ -28,6 +29,20 @@ def block_of(policy: SkewPolicy, seq: str = "arrival_seq") -> Column:
     return F.floor(F.col(seq) / F.lit(policy.block_rows)).cast("bigint")
 
 
+def in_blocks(rows: DataFrame, policy: SkewPolicy, seq: str = "arrival_seq") -> DataFrame:
+    """Add `block`: 0, 1, ... along the key's own rows, however thinly they lie in their source partition.
+
+    The rows of each (key, range of offsets) are counted; a block takes ranges until it has `block_rows` rows and so
+    has fewer than twice as many.
+    """
+    ranged = rows.withColumn("_range", block_of(policy, seq))
+    before = W.partitionBy("key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = ranged.groupBy("key", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(policy.block_rows)).cast("bigint")
+    blocks = staged(counts.select("key", "_range", own.alias("block")), "key-blocks")
+    return ranged.join(blocks, ["key", "_range"]).drop("_range")
+
+
 def hot_keys(rows: DataFrame, policy: SkewPolicy) -> DataFrame | None:
     """Keys with more than `hot_rows` rows, counted exactly; None when there is none.
 
@@ -62,19 +77,26 @@ def running_max(rows: DataFrame, group: str, value: Column, policy: SkewPolicy)
 def number_in_order(rows: DataFrame, group: str, time: str, tie: str, bucket: str = "minute") -> DataFrame:
     """Add `arrival_seq`: 1, 2, ... in (time, tie) order inside each group.
 
-    Rows are numbered inside time buckets; the offset of a bucket is the count of the buckets before it.
     `bucket` is a `date_trunc` unit and has to be narrow enough for one task to sort one bucket of a group.
     """
-    cut = rows.withColumn("_bucket", F.date_trunc(bucket, F.col(time)))
+    return ranked(rows, group, [time, tie], F.date_trunc(bucket, F.col(time)), "arrival_seq")
+
+
+def ranked(rows: DataFrame, group: str, order: list[str], bucket: Column, name: str) -> DataFrame:
+    """Add `name`: 1, 2, ... in order inside each group. `bucket` may not be null and must not fall along the order.
+
+    Rows are numbered inside buckets; the offset of a bucket is the count of the buckets before it.
+    """
+    cut = rows.withColumn("_bucket", bucket)
     before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(group, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = W.partitionBy(group, "_bucket").orderBy(time, tie)
+    inside = W.partitionBy(group, "_bucket").orderBy(*order)
     return (
         cut.join(offsets, [group, "_bucket"])
-        .withColumn("arrival_seq", F.col("_offset") + F.row_number().over(inside))
+        .withColumn(name, F.col("_offset") + F.row_number().over(inside))
         .drop("_bucket", "_offset")
     )

@@ -26,7 +26,7 @@ from stridelake.functions.rules import (
     WEEK_NONE,
     daily_label,
 )
-from stridelake.operators.skew import SkewPolicy, block_of
+from stridelake.operators.skew import SkewPolicy, in_blocks
 from stridelake.session import staged
 
 TIMELINE_FIELDS = [
@@ -100,7 +100,7 @@ def _regular(rows: DataFrame, fresh_label: bool) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, policy: SkewPolicy, fresh_label: bool) -> DataFrame:
-    rows = rows.withColumn("block", block_of(policy))
+    rows = in_blocks(rows, policy)
 
     # The next day's first record is what turns later records of a day into late ones.
     by_day = W.partitionBy("key").orderBy("day_no")
