@@ -32,6 +32,13 @@ activity AS (
          CAST(user_id AS VARCHAR) AS "userId", CAST(round(value * 40) AS INTEGER) AS steps, ts AS "timestamp"
   FROM arrivals)"""
 
+_DELAY = "greatest(" + ", ".join(
+    f"CASE WHEN event_id % {n} = 0 THEN {hours} ELSE 0 END" for n, hours in ((17, 3), (13, 40), (29, 100), (31, 190))
+) + ")"
+VERY_LATE = LATE.replace(
+    "CASE WHEN event_id % 17 = 0 THEN INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END", f"to_hours(CAST({_DELAY} AS INTEGER))"
+)
+
 TIMED = """clocked AS (
   SELECT *, CAST("timestamp" AS DATE) AS day,
          max("timestamp") OVER (PARTITION BY partition_id ORDER BY arrival_seq ROWS UNBOUNDED PRECEDING) AS clock
@@ -63,6 +70,25 @@ timeline AS (
            ROWS UNBOUNDED PRECEDING) AS label_now
   FROM running)"""
 
+# The days kept are walked record by record: a new one takes the place of the oldest, whichever it is.
+WALK = """numbered AS (
+  SELECT key, arrival_seq, day, row_number() OVER (PARTITION BY key ORDER BY arrival_seq) AS n FROM timed WHERE on_time),
+walk AS (
+  SELECT key, arrival_seq, n, [day] AS kept FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT r.key, r.arrival_seq, r.n, CASE WHEN list_contains(w.kept, r.day) THEN w.kept
+    ELSE list_sort(list_append(CASE WHEN len(w.kept) >= 7 THEN w.kept[2:] ELSE w.kept END, r.day)) END
+  FROM walk w JOIN numbered r ON r.key = w.key AND r.n = w.n + 1),
+standing AS (
+  SELECT r.key, r.arrival_seq, q.day, sum(q.steps) AS total
+  FROM timed r JOIN timed q ON q.key = r.key AND q.arrival_seq <= r.arrival_seq
+  WHERE r.on_time AND q.on_time GROUP BY ALL),
+walked AS (
+  SELECT w.key, w.arrival_seq, CASE WHEN len(any_value(w.kept)) < 7 OR max(s.day) - min(s.day) > 6 THEN ''
+    WHEN bool_and(s.total >= 1000) THEN 'medium_or_high' ELSE 'low' END AS week_label
+  FROM walk w JOIN standing s ON s.key = w.key AND s.arrival_seq = w.arrival_seq AND list_contains(w.kept, s.day)
+  GROUP BY w.key, w.arrival_seq)"""
+
 DAILY = """daily AS (
   SELECT key, arg_max("userId", arrival_seq) AS "userId", CAST(sum(steps) AS BIGINT) AS steps,
          CAST("timestamp" AS DATE) AS day
@@ -71,6 +97,35 @@ labelled AS (
   SELECT *, CASE WHEN steps < 1000 THEN 'daily_low_stepper' WHEN steps < 5000 THEN 'daily_medium_stepper'
                  ELSE 'daily_high_stepper' END AS label FROM daily)"""
 
+# Tables given as logs of changes.
+LABEL_LOG = """labels_given AS (
+  SELECT CAST(user_id + 1 AS VARCHAR) AS key, event_id AS change_seq, ts + INTERVAL 90 SECOND AS at,
+         CASE event_type WHEN 'signup' THEN 'medium_or_high' WHEN 'purchase' THEN 'low' WHEN 'click' THEN '' END AS label
+  FROM events WHERE event_type IN ('signup', 'purchase', 'click', 'error'))"""
+SENT_LOG = """sent_given AS (
+  SELECT CAST(user_id + 2 AS VARCHAR) AS key, event_id AS change_seq, ts + INTERVAL 45 SECOND AS at,
+         CASE event_type WHEN 'signup' THEN ts + INTERVAL 45 SECOND END AS sent_at
+  FROM events WHERE event_type IN ('signup', 'error'))"""
+
+
+def _as_of(name: str, records: str, log: str, value: str, time: str = '"timestamp"') -> str:
+    """Each record with the value of the last change at or before its time."""
+    return f"""{name} AS (
+  SELECT * EXCLUDE (back) FROM (
+    SELECT r.*, l.{value}, row_number() OVER (
+      PARTITION BY r.key, r.arrival_seq ORDER BY l.at DESC NULLS LAST, l.change_seq DESC) AS back
+    FROM {records} r LEFT JOIN {log} l ON l.key = r.key AND l.at <= r.{time}) WHERE back = 1)"""
+
+
+GIVEN = (
+    ACTIVITY,
+    LABEL_LOG,
+    SENT_LOG,
+    _as_of("labelled_given", "activity", "labels_given", "label"),
+    "wanted AS (SELECT * FROM labelled_given WHERE label = 'medium_or_high')",
+    _as_of("with_last", "wanted", "sent_given", "sent_at"),
+)
+
 SEEN = "candidate AS MATERIALIZED (SELECT * FROM timeline WHERE label_seen = 'medium_or_high')"
 NOTIFICATION = """key, arrival_seq, "userId", 'UNIQUE-NOTIFICATION-ID' AS "notificationId",
   'Time for a juice nearby!' || "userId" AS payload, "timestamp\""""
@@ -98,6 +153,12 @@ def _recursive(*parts: str) -> str:
 
 TIMELINE = (ACTIVITY, TIMED, CHAIN)
 LATE_TIMELINE = (LATE, TIMED, CHAIN)
+
+
+def _very_late(hours: int, chain: str = CHAIN) -> tuple[str, ...]:
+    return (VERY_LATE, TIMED.replace("INTERVAL 1 HOUR", f"INTERVAL {hours} HOUR"), chain)
+
+
 NORMALIZED = """SELECT key, partition_id, arrival_seq, "userId", "firstName", "lastName", steps, latitude, longitude,
   pincode, "timestamp" FROM activity"""
 
@@ -213,6 +274,33 @@ WHERE back <= 7 GROUP BY key""",
     "stream_late_changes": _recursive(*LATE_TIMELINE, SEEN, _kept(21600)) + CHANGES,
 }
 
+ORACLE |= {
+    "steps_changelog_30h": _with(*_very_late(30))
+    + 'SELECT key, arrival_seq, "userId", day, total AS steps, day_label FROM timeline WHERE on_time',
+    "label_changelog_30h": _with(*_very_late(30)) + "SELECT key, arrival_seq, day, week_label FROM timeline WHERE on_time",
+    "label_changelog_72h": _with(*_very_late(72)) + "SELECT key, arrival_seq, day, week_label FROM timeline WHERE on_time",
+    "label_changelog_9d": _recursive(*_very_late(216, WALK))
+    + """SELECT key, arrival_seq, t.day, week_label FROM timed t JOIN walked USING (key, arrival_seq)""",
+    "notifications_72h": _recursive(*_very_late(72), SEEN, _kept(21600)) + f"SELECT {NOTIFICATION} FROM kept",
+    "label_table": _with(LABEL_LOG)
+    + """SELECT key, change_seq, label FROM labels_given
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY change_seq DESC) = 1 AND label IS NOT NULL""",
+    "notification_table": _with(SENT_LOG)
+    + """SELECT key, change_seq, sent_at FROM sent_given
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY change_seq DESC) = 1 AND sent_at IS NOT NULL""",
+    "label_join_given": _with(*GIVEN)
+    + 'SELECT key, arrival_seq, "userId", "timestamp", label FROM labelled_given WHERE label IS NOT NULL',
+    "late_label_join_given": _with(
+        LATE, TIMED, LABEL_LOG, _as_of("labelled_given", "timed", "labels_given", "label", "clock")
+    )
+    + 'SELECT key, arrival_seq, "userId", "timestamp", label FROM labelled_given WHERE label IS NOT NULL',
+    "last_notification_join_given": _with(*GIVEN)
+    + 'SELECT key, arrival_seq, "userId", "timestamp", sent_at FROM with_last',
+    "notifications_given": _with(*GIVEN)
+    + f"""SELECT {NOTIFICATION} FROM with_last WHERE sent_at IS NULL
+  OR abs(floor((epoch_us(sent_at) - epoch_us("timestamp")) / 1000000.0)) > 21600""",
+}
+
 # The same rows by another way: the blocks of hot keys, and the running job.
 for _name, _same_as in {
     "notifications_in_blocks": "notifications_six_hours",
@@ -222,5 +310,10 @@ for _name, _same_as in {
     "stream_labels": "weekly_label_latest",
     "stream_notifications": "notifications_six_hours",
     "stream_end_to_end": "outbox",
+    "label_changelog_72h_in_blocks": "label_changelog_72h",
+    "label_join_given_in_blocks": "label_join_given",
+    "stream_very_late_changes": "label_changelog_9d",
+    "stream_label_table": "label_table",
+    "stream_notifications_given": "notifications_given",
 }.items():
     ORACLE[_name] = ORACLE[_same_as]

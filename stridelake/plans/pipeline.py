@@ -10,6 +10,7 @@ from stridelake.functions.rules import DEBOUNCE_SECONDS, GRACE_SECONDS
 from stridelake.operators import notify
 from stridelake.operators.debounce import debounce
 from stridelake.operators.event_time import DAY_SECONDS, with_lateness
+from stridelake.operators.open_days import timeline_with_open_days
 from stridelake.operators.skew import SkewPolicy, hot_keys
 from stridelake.operators.timeline import timeline
 
@@ -32,8 +33,8 @@ class Replay:
     """
 
     def __init__(self, activity: DataFrame, settings: Settings = Settings()):
-        if not 0 <= settings.grace_seconds <= DAY_SECONDS:
-            raise ValueError("the change stream keeps two days open: grace must be 0 to 86400 seconds")
+        if settings.grace_seconds < 0:
+            raise ValueError("the grace period can't be negative")
         self.settings = settings
         self.activity = activity
         self.hot = hot_keys(activity, settings.skew)
@@ -51,8 +52,13 @@ class Replay:
         return self._dated
 
     def timeline(self) -> DataFrame:
+        """One row for each activity, see `operators.timeline`. Up to a day of grace leaves two days open, more grace
+        more of them."""
         settings = self.settings
-        return timeline(self.dated(), settings.skew, self.hot, settings.fresh_label)
+        open_days = -(-settings.grace_seconds // DAY_SECONDS)
+        if open_days <= 1:
+            return timeline(self.dated(), settings.skew, self.hot, settings.fresh_label)
+        return timeline_with_open_days(self.dated(), open_days, settings.skew, self.hot, settings.fresh_label)
 
     def labelled(self) -> DataFrame:
         return notify.join_label(self.timeline())

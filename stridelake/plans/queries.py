@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from stridelake.functions.rules import daily_label, utc_day
 from stridelake.operators import daily, event_time, history, latest, normalize, notify
+from stridelake.plans import given
 from stridelake.operators.debounce import debounce
 from stridelake.operators.skew import SkewPolicy
 from stridelake.plans.pipeline import Replay, Settings
@@ -19,7 +20,10 @@ from stridelake.sources import activity_json as codec
 from stridelake.sources import events as feed
 from stridelake.sources import streams
 from stridelake.streaming import clock, sinks
+from stridelake.streaming import given as running_given
 from stridelake.streaming import pipeline as running
+from stridelake.streaming.metrics import rows_dropped
+from stridelake.streaming.tables import KeyedTable, start_table
 
 # Candidates of this data are more than ten seconds apart; six hours makes the debounce work.
 SIX_HOURS = 6 * 3600
@@ -27,6 +31,8 @@ SLOW = Settings(debounce_seconds=SIX_HOURS)
 # The way of hot keys, for every key: blocks that a small table has several of.
 BLOCKS = SkewPolicy(hot_rows=0, block_rows=500)
 SLOW_BLOCKS = Settings(debounce_seconds=SIX_HOURS, skew=BLOCKS)
+HOUR = 3600
+LABEL_TABLE = "key string, change_seq bigint, label string"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +51,10 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(feed.late_activity(_events(spark, sf_dir)), "late-feed")
 
 
+def _very_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(feed.very_late_activity(_events(spark, sf_dir)), "very-late-feed")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finished table in one micro-batch, so that it doesn't matter how it is cut into files."""
     return streams.files(use_utc(spark), f"{sf_dir}/events.parque[t]", EVENTS, files_per_batch=None)
@@ -293,6 +303,77 @@ def outbox(spark, sf_dir):
     return _plain_times(notify.undelivered(sent))
 
 
+# More than two days open
+
+
+def steps_changelog_30h(spark, sf_dir):
+    return _day_changes(Replay(_very_late(spark, sf_dir), Settings(grace_seconds=30 * HOUR)).timeline())
+
+
+def label_changelog_30h(spark, sf_dir):
+    return _week_changes(Replay(_very_late(spark, sf_dir), Settings(grace_seconds=30 * HOUR)).timeline())
+
+
+def label_changelog_72h(spark, sf_dir):
+    return _week_changes(Replay(_very_late(spark, sf_dir), Settings(grace_seconds=72 * HOUR)).timeline())
+
+
+def label_changelog_72h_in_blocks(spark, sf_dir):
+    settings = Settings(grace_seconds=72 * HOUR, skew=BLOCKS)
+    return _week_changes(Replay(_very_late(spark, sf_dir), settings).timeline())
+
+
+def label_changelog_9d(spark, sf_dir):
+    """A late day can be older than all seven that are kept: the oldest of them leaves before it enters."""
+    return _week_changes(Replay(_very_late(spark, sf_dir), Settings(grace_seconds=9 * 24 * HOUR)).timeline())
+
+
+def notifications_72h(spark, sf_dir):
+    settings = Settings(grace_seconds=72 * HOUR, debounce_seconds=SIX_HOURS)
+    return _plain_times(Replay(_very_late(spark, sf_dir), settings).notifications())
+
+
+# Tables that are given as logs of changes, with deletes
+
+
+def label_table(spark, sf_dir):
+    return latest.current_rows(feed.label_log(_events(spark, sf_dir)).select("key", "change_seq", "label"))
+
+
+def notification_table(spark, sf_dir):
+    log = feed.sent_log(_events(spark, sf_dir)).select("key", "change_seq", "sent_at")
+    return _plain_times(latest.current_rows(log))
+
+
+def label_join_given(spark, sf_dir):
+    return _plain_times(given.join_given_labels(_activity(spark, sf_dir), feed.label_log(_events(spark, sf_dir))))
+
+
+def label_join_given_in_blocks(spark, sf_dir):
+    labels = feed.label_log(_events(spark, sf_dir))
+    return _plain_times(given.join_given_labels(_activity(spark, sf_dir), labels, policy=BLOCKS))
+
+
+def late_label_join_given(spark, sf_dir):
+    """A late record sees the label as it is when the record arrives, by the clock of its source partition."""
+    records = event_time.with_event_time(_late(spark, sf_dir))
+    labels = feed.label_log(_events(spark, sf_dir)).withColumnRenamed("timestamp", "stream_time")
+    return _plain_times(given.join_given_labels(records, labels, time="stream_time"))
+
+
+def _given(spark, sf_dir) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return given.candidates_with_last(_activity(spark, sf_dir), feed.label_log(events), feed.sent_log(events))
+
+
+def last_notification_join_given(spark, sf_dir):
+    return _plain_times(_given(spark, sf_dir))
+
+
+def notifications_given(spark, sf_dir):
+    return _plain_times(notify.notification_fields(given.far_enough(_given(spark, sf_dir), SIX_HOURS)))
+
+
 # The same as streams, run until the table is used up
 
 
@@ -310,9 +391,8 @@ def stream_daily_steps(spark, sf_dir):
     activity = feed.activity(_event_stream(spark, sf_dir))
     query = running.start_daily(activity, base, new_path(spark, "stream-checkpoint"), once=True)
     query.awaitTermination()
-    dropped = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
-    if dropped:
-        raise RuntimeError(f"{dropped} rows came behind the watermark")
+    if rows_dropped(query):
+        raise RuntimeError(f"{rows_dropped(query)} rows came behind the watermark")
     log = sinks.read_log(spark, base, "daily_totals")
     last = log.groupBy("key", "day").agg(F.max_by(F.struct("userId", "steps", "label"), "batch_id").alias("last"))
     return last.select("key", "day", "last.*")
@@ -327,16 +407,43 @@ def stream_changes(spark, sf_dir):
 
 
 def stream_late_changes(spark, sf_dir):
-    """The late feed: the first query adds each partition's clock, the second one goes by it."""
+    """The late feed by the clock of its source partitions, both in one running query."""
     base, source = new_path(spark, "stream-late"), new_path(spark, "late-files")
     feed.late_activity(_events(spark, sf_dir)).select(*ACTIVITY_FIELDS).write.parquet(source)
-    late = streams.files(spark, source, ACTIVITY, files_per_batch=None)
-    clock.start_clock(late, base, f"{base}/_clock", once=True).awaitTermination()
-    clocked = streams.files(spark, f"{base}/{clock.CLOCKED}/*", clock.CLOCKED_ROW, files_per_batch=None)
-    running.start_changes(clocked, base, f"{base}/_changes", SLOW, once=True).awaitTermination()
+    late = clock.with_clock(streams.files(spark, source, ACTIVITY, files_per_batch=None))
+    running.start_changes(late, base, f"{base}/_changes", SLOW, once=True).awaitTermination()
     return _plain_times(sinks.read_log(spark, base, sinks.CHANGES).drop("batch_id"))
 
 
+def stream_very_late_changes(spark, sf_dir):
+    base, source = new_path(spark, "stream-late"), new_path(spark, "late-files")
+    feed.very_late_activity(_events(spark, sf_dir)).select(*ACTIVITY_FIELDS).write.parquet(source)
+    late = clock.with_clock(streams.files(spark, source, ACTIVITY, files_per_batch=None))
+    settings = Settings(grace_seconds=9 * 24 * HOUR, debounce_seconds=SIX_HOURS)
+    running.start_changes(late, base, f"{base}/_changes", settings, once=True).awaitTermination()
+    return _week_changes(sinks.read_log(spark, base, sinks.CHANGES).drop("batch_id"))
+
+
+def stream_label_table(spark, sf_dir):
+    """The label log in batches, merged one after the other into the current table."""
+    base, source = new_path(spark, "stream-table"), new_path(spark, "label-files")
+    feed.label_log(_events(spark, sf_dir)).select("key", "change_seq", "label").repartition(4).write.parquet(source)
+    table = KeyedTable(spark, base, LABEL_TABLE)
+    changes = streams.files(spark, source, LABEL_TABLE, files_per_batch=1)
+    start_table(changes, table, f"{base}/_checkpoint", once=True).awaitTermination()
+    return table.current()
+
+
+def stream_notifications_given(spark, sf_dir):
+    """Activity and the logs of both tables as three inputs of one query."""
+    base = new_path(spark, "stream-given")
+    labels, sent = (log(_event_stream(spark, sf_dir)) for log in (feed.label_log, feed.sent_log))
+    activity = feed.activity(_event_stream(spark, sf_dir))
+    query = running_given.start_given(activity, labels, sent, base, f"{base}/_checkpoint", SIX_HOURS, once=True)
+    query.awaitTermination()
+    return _plain_times(sinks.read_log(spark, base, sinks.NOTIFICATIONS).drop("batch_id"))
+
+
 def _run_job(spark, sf_dir, settings: Settings) -> str:
     """The job over both feeds, with documents of another kind among the iOS ones; the folder of its tables."""
     base = new_path(spark, "stream-job")
@@ -405,11 +512,27 @@ QUERIES: dict[str, Query] = {
     "late_label_changelog_in_blocks": late_label_changelog_in_blocks,
     "notifications_of_keyed": notifications_of_keyed,
     "outbox": outbox,
+    "steps_changelog_30h": steps_changelog_30h,
+    "label_changelog_30h": label_changelog_30h,
+    "label_changelog_72h": label_changelog_72h,
+    "label_changelog_72h_in_blocks": label_changelog_72h_in_blocks,
+    "label_changelog_9d": label_changelog_9d,
+    "notifications_72h": notifications_72h,
+    "label_table": label_table,
+    "notification_table": notification_table,
+    "label_join_given": label_join_given,
+    "label_join_given_in_blocks": label_join_given_in_blocks,
+    "late_label_join_given": late_label_join_given,
+    "last_notification_join_given": last_notification_join_given,
+    "notifications_given": notifications_given,
     "stream_normalized": stream_normalized,
     "stream_daily_steps": stream_daily_steps,
     "stream_changes": stream_changes,
     "stream_late_changes": stream_late_changes,
     "stream_quarantine": stream_quarantine,
+    "stream_very_late_changes": stream_very_late_changes,
+    "stream_label_table": stream_label_table,
+    "stream_notifications_given": stream_notifications_given,
     "stream_labels": stream_labels,
     "stream_notifications": stream_notifications,
     "stream_end_to_end": stream_end_to_end,

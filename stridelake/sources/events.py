@@ -22,6 +22,13 @@ LOCATED_TYPES = ("click", "view")
 LATE_EVERY = 17
 LATE_HOURS = 3
 BODILESS_TYPE = "error"
+# Given tables: labels of users one further, notifications of users two further, at times of their own.
+LABEL_OF_TYPE = {"signup": "medium_or_high", "purchase": "low", "click": "", "error": None}
+LABEL_USERS_ON, LABEL_SECONDS = 1, 90
+SENT_TYPE, UNSENT_TYPE = "signup", "error"
+SENT_USERS_ON, SENT_SECONDS = 2, 45
+# Delays in hours of every n-th record: some beyond a day, some beyond a week.
+LONG_DELAYS = {17: 3, 13: 40, 29: 100, 31: 190}
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +62,38 @@ def late_activity(events: DataFrame) -> DataFrame:
     return number_in_order(rows, "partition_id", "arrived", "event_id").select("event_id", *ACTIVITY_FIELDS)
 
 
+def very_late_activity(events: DataFrame) -> DataFrame:
+    """The same records with delays of hours to days; where several delays fit, the longest holds."""
+    hours = F.greatest(*[F.when(F.col("arrival_seq") % n == 0, h).otherwise(0) for n, h in LONG_DELAYS.items()])
+    arrived = F.col("timestamp") + F.make_dt_interval(hours=hours)
+    rows = activity(events).withColumn("arrived", arrived).withColumnRenamed("arrival_seq", "event_id")
+    return number_in_order(rows, "partition_id", "arrived", "event_id").select("event_id", *ACTIVITY_FIELDS)
+
+
+def label_log(events: DataFrame) -> DataFrame:
+    """A label table given as a log of changes (key, change_seq, timestamp, label); a null label deletes the row."""
+    kind = F.col("event_type")
+    label = F.coalesce(*[F.when(kind == name, F.lit(text)) for name, text in LABEL_OF_TYPE.items() if text is not None])
+    return _changes(events.where(kind.isin(*LABEL_OF_TYPE)), LABEL_USERS_ON, LABEL_SECONDS, label.alias("label"))
+
+
+def sent_log(events: DataFrame) -> DataFrame:
+    """A notification table given as a log (key, change_seq, timestamp, sent_at); a null `sent_at` deletes the row."""
+    kind = F.col("event_type")
+    at = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.lit(SENT_SECONDS))
+    sent = F.when(kind == SENT_TYPE, at).alias("sent_at")
+    return _changes(events.where(kind.isin(SENT_TYPE, UNSENT_TYPE)), SENT_USERS_ON, SENT_SECONDS, sent)
+
+
+def _changes(events: DataFrame, users_on: int, seconds: int, value) -> DataFrame:
+    return events.select(
+        (F.col("user_id") + users_on).cast("string").alias("key"),
+        F.col("event_id").alias("change_seq"),
+        (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.lit(seconds))).alias("timestamp"),
+        value,
+    )
+
+
 def activity_with_gaps(events: DataFrame) -> DataFrame:
     """Records whose body may be missing: those of one event type have no timestamp and no steps."""
     has_body = F.col("event_type") != BODILESS_TYPE

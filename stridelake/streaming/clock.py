@@ -1,44 +1,72 @@
-"""The clock of each source partition in a running stream: the highest event time seen so far, batch after batch."""
+"""The clock of each source partition in a running stream: the highest event time seen so far, batch after batch.
+
+It is one number of state for each source partition, in the same query as the keyed operator that goes by it: nothing is
+written between the two, and what a batch costs doesn't depend on how many there have been.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from stridelake.operators.skew import SkewPolicy, running_max
-from stridelake.schemas import ACTIVITY, ACTIVITY_FIELDS
-from stridelake.streaming.sinks import read_if_there, write_batch
-
-CLOCKED = "clocked"
-CLOCK = "clock"
-CLOCKED_ROW = f"{ACTIVITY}, stream_time timestamp"
-CLOCK_ROW = "partition_id int, top timestamp, batch_id bigint"
-
-
-def write_clocked(base: str, policy: SkewPolicy = SkewPolicy()):
-    """`foreachBatch` function that adds `stream_time`: the running maximum inside the batch, and what the earlier
-    batches have left, one row for each partition and batch. A repeated batch reads the same earlier ones."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = running_max(batch.select(*ACTIVITY_FIELDS), "partition_id", F.col("timestamp"), policy)
-        rows = rows.withColumnRenamed("running_max", "stream_time")
-        earlier = read_if_there(batch.sparkSession, f"{base}/{CLOCK}", CLOCK_ROW)
-        if earlier is not None:
-            carried = earlier.where(F.col("batch_id") < batch_id).groupBy("partition_id")
-            rows = rows.join(carried.agg(F.max("top").alias("carried")), "partition_id", "left")
-            rows = rows.withColumn("stream_time", F.greatest("stream_time", "carried")).drop("carried")
-        rows = rows.persist()
-        try:
-            write_batch(rows.select(*ACTIVITY_FIELDS, "stream_time"), base, CLOCKED, batch_id)
-            write_batch(rows.groupBy("partition_id").agg(F.max("stream_time").alias("top")), base, CLOCK, batch_id)
-        finally:
-            rows.unpersist()
-
-    return write
-
-
-def start_clock(activity: DataFrame, base: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Write activity with its partition's clock, for the keyed operator to tell late records exactly."""
-    writer = activity.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_clocked(base))
-    return (writer.trigger(availableNow=True) if once else writer).start()
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from stridelake.streaming.stateful import NO_TIME, dealt
+
+CLOCKED = (
+    "key string, partition_id int, arrival_seq bigint, userId string, steps int, time_us bigint, stream_us bigint"
+)
+
+
+class PartitionClock(StatefulProcessor):
+    """Adds to each record the running maximum of the times of its source partition, its own included."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.top = handle.getValueState("clock", "top_us bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.top.get()
+        top = NO_TIME if stored is None else stored[0]
+        for batch in rows:
+            clock = np.maximum.accumulate(np.append(top, batch["time_us"].to_numpy("int64")))[1:]
+            top = int(clock[-1])
+            yield batch.assign(stream_us=clock)
+        self.top.update((top,))
+
+    def close(self) -> None:
+        pass
+
+
+def with_clock(activity: DataFrame) -> DataFrame:
+    """Activity with `stream_time`, the clock for the grace period, of the columns that the keyed operator reads.
+
+    The records of a source partition are sorted by offset inside a micro-batch and walked by one task in batches, as a
+    consumer of the partition would. Records without a key move the clock too; those without a time don't.
+    Starts under `stateful.stream_settings`.
+    """
+    rows = activity.select(
+        "key",
+        "partition_id",
+        "arrival_seq",
+        "userId",
+        F.coalesce("steps", F.lit(0)).cast("int").alias("steps"),
+        F.coalesce(F.unix_micros("timestamp"), F.lit(NO_TIME)).alias("time_us"),
+    )
+    grouped = dealt(rows, "partition_id", "arrival_seq").groupBy("partition_id")
+    clocked = grouped.transformWithStateInPandas(PartitionClock(), CLOCKED, "Append", "None")
+
+    def time(name: str):
+        return F.when(F.col(name) != NO_TIME, F.timestamp_micros(name))
+
+    return clocked.select(
+        "key",
+        "partition_id",
+        "arrival_seq",
+        "userId",
+        "steps",
+        time("time_us").alias("timestamp"),
+        time("stream_us").alias("stream_time"),
+    )

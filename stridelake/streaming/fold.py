@@ -28,7 +28,7 @@ DAY_US = 86_400 * MICROS
 @dataclass
 class KeyState:
     """Totals of the days kept, in day order; label; newest event time; time of the last notification;
-    offset of the last record applied."""
+    offset of the last record applied; totals of days that are still open but not kept any more."""
 
     days: list[int] = field(default_factory=list)
     totals: list[int] = field(default_factory=list)
@@ -36,6 +36,7 @@ class KeyState:
     newest_us: int | None = None
     kept_us: int | None = None
     last_seq: int | None = None
+    open: dict[int, int] = field(default_factory=dict)
 
 
 def step_label(steps: int) -> str:
@@ -43,11 +44,17 @@ def step_label(steps: int) -> str:
 
 
 def add_steps(state: KeyState, day: int, steps: int) -> int:
-    """Add to the day's total and return it; a new day pushes out the oldest one kept, whichever it is."""
+    """Add to the day's total and return it; a new day pushes out the oldest one kept, whichever it is.
+
+    A day that was pushed out while it is open goes on from its total when it comes back.
+    """
     totals = dict(zip(state.days, state.totals))
-    if day not in totals and len(totals) >= HISTORY_DAYS:
-        del totals[min(totals)]
-    totals[day] = totals.get(day, 0) + steps
+    if day not in totals:
+        if len(totals) >= HISTORY_DAYS:
+            oldest = min(totals)
+            state.open[oldest] = totals.pop(oldest)
+        totals[day] = state.open.pop(day, 0)
+    totals[day] += steps
     state.days = sorted(totals)
     state.totals = [totals[d] for d in state.days]
     return totals[day]
@@ -84,12 +91,14 @@ def apply_activity(
     """
     state.newest_us = time_us if state.newest_us is None else max(state.newest_us, time_us)
     clock = state.newest_us if stream_us is None else stream_us
-    day = time_us // DAY_US
-    on_time = (day + 1) * DAY_US > clock - grace_seconds * MICROS
+    day, closed = time_us // DAY_US, clock - grace_seconds * MICROS
+    on_time = (day + 1) * DAY_US > closed
     seen, total, label = state.label, None, None
     if on_time:
         total = add_steps(state, day, steps)
         label = state.label = week_label(state)
+    if state.open:
+        state.open = {d: total for d, total in state.open.items() if (d + 1) * DAY_US > closed}
     if fresh_label:
         seen = state.label
     notified = seen == WEEK_MEDIUM_OR_HIGH and passes_debounce(time_us, state.kept_us, debounce_seconds)

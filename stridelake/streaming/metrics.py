@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+
+def rows_dropped(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark of the query and were left out, over its recent batches."""
+    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
 
 
 class ObservedMetrics(StreamingQueryListener):

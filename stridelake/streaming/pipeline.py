@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from stridelake.functions.rules import day_of
 from stridelake.operators.daily import daily_steps_stream, observed
 from stridelake.operators.normalize import merge, normalize_android, normalize_ios
 from stridelake.plans.pipeline import Settings
@@ -19,11 +21,13 @@ from stridelake.sources.activity_json import (
 )
 from stridelake.sources.streams import FEED, files
 from stridelake.streaming import sinks
-from stridelake.streaming.sinks import deliver_to, write_batch, write_changes, write_checked
-from stridelake.streaming.stateful import changes
+from stridelake.streaming.metrics import rows_dropped
+from stridelake.streaming.sinks import write_batch, write_changes, write_checked
+from stridelake.streaming.stateful import changes, stream_settings
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+#: How far behind the newest one a notification can come again and is still known.
+REPEATED_WITHIN = "30 days"
 
 
 def normalized(ios_feed: DataFrame, android_feed: DataFrame, strict: bool = False) -> DataFrame:
@@ -64,7 +68,10 @@ def run_job(ios_feed: DataFrame, android_feed: DataFrame, base: str, settings: S
     activity = decode_normalized(table(sinks.NORMALIZED, FEED))
     start_changes(activity, base, f"{base}/_changes", settings, once=True).awaitTermination()
     sent = table(sinks.NOTIFICATIONS, NOTIFICATION_ROW)
-    start_delivery(sent, f"{base}/outbox", f"{base}/_delivery", once=True).awaitTermination()
+    delivery = start_delivery(sent, f"{base}/outbox", f"{base}/_delivery", once=True)
+    delivery.awaitTermination()
+    if rows_dropped(delivery):
+        raise RuntimeError(f"{rows_dropped(delivery)} notifications came too late to tell whether they had been sent")
 
 
 def start_normalization(activity: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -93,20 +100,27 @@ def start_changes(
 ) -> StreamingQuery:
     """Labels, daily totals and notifications from the keyed operator."""
     rows = changes(activity, settings.grace_seconds, settings.debounce_seconds, settings.fresh_label, idle_days)
-    writer = rows.writeStream.outputMode("update").foreachBatch(write_changes(base, settings.unique_ids))
-    # A query takes the settings of the session as they are when it starts; the session gets its own back.
-    conf = activity.sparkSession.conf
-    before = conf.get(STATE_STORE, None)
-    conf.set(STATE_STORE, ROCKSDB)
-    try:
+    writer = rows.writeStream.outputMode("append").foreachBatch(write_changes(base, settings.unique_ids))
+    with stream_settings(activity.sparkSession):
         return _start(writer, checkpoint, once)
-    finally:
-        conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
 
 
-def start_delivery(notifications: DataFrame, outbox: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append each notification to the outbox once."""
-    return _start(notifications.writeStream.foreachBatch(deliver_to(outbox)), checkpoint, once)
+def delivered_once(notifications: DataFrame, within: str = REPEATED_WITHIN) -> DataFrame:
+    """The stream with each notification once, known by its key and offset, and its UTC day.
+
+    What has passed is state of the query, so nothing that was delivered is read again. It is forgotten when it lies
+    `within` behind the newest one; rows that come later than that are left out and counted (`metrics.rows_dropped`).
+    """
+    known = notifications.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["key", "arrival_seq"])
+    return known.withColumn("day", day_of(F.col("timestamp")))
+
+
+def start_delivery(
+    notifications: DataFrame, outbox: str, checkpoint: str, once: bool = False, within: str = REPEATED_WITHIN
+) -> StreamingQuery:
+    """Append each notification to the outbox once, by day."""
+    writer = delivered_once(notifications, within).writeStream.format("parquet").outputMode("append")
+    return _start(writer.partitionBy("day").option("path", outbox), checkpoint, once)
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQuery:

@@ -2,35 +2,127 @@
 
 The label table and the notification table are fed by the job's own output, which a streaming plan cannot
 express as joins; per key both are one value of state.
+
+Rows are dealt by key and sorted by (key, offset) before the operator, so a key's rows come as an iterator of
+batches in offset order. Only one batch of them is in memory, however many a micro-batch brings for one key.
 """
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Iterator
-from dataclasses import astuple
-from functools import cache
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stridelake.functions.rules import DAY_MICROS, DEBOUNCE_SECONDS, GRACE_SECONDS
 from stridelake.operators.daily import counted
+from stridelake.schemas import ACTIVITY
 from stridelake.streaming.fold import KeyState, apply_activity, step_label
 
-STATE = "days array<int>, totals array<bigint>, label string, newest_us bigint, kept_us bigint, last_seq bigint"
+#: The state of a key: one value, and a map of the days that are kept or still open.
+KEY_VALUE = "label string, newest_us bigint, kept_us bigint, last_seq bigint"
+DAY, TOTAL = "day int", "total bigint, kept boolean"
 CHANGES = (
     "key string, arrival_seq bigint, userId string, time_us bigint, day_no int, on_time boolean, "
     "steps bigint, day_label string, week_label string, label_seen string, notified boolean, behind boolean"
 )
+CLOCKED_ROW = f"{ACTIVITY}, stream_time timestamp"
+#: Stands for no time where a column of numbers has to stay one.
+NO_TIME = -(2**62)
+
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # The sort below is inside the partitions of each micro-batch, which the check takes for a sort of the stream.
+    "spark.sql.streaming.unsupportedOperationCheck": "false",
+}
+
+
+@contextmanager
+def stream_settings(spark: SparkSession) -> Iterator[None]:
+    """What keyed queries need while they start; a query keeps the settings it has started with."""
+    before = {name: spark.conf.get(name, None) for name in STREAM_SETTINGS}
+    for name, value in STREAM_SETTINGS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def dealt(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of each key in one partition, in order: what the operator's own exchange and sort find done."""
+    return rows.repartition(key).sortWithinPartitions(key, *order)
+
+
+def columns_of(layout: str) -> list[str]:
+    return [field.split()[0] for field in layout.split(", ")]
+
+
+class Changes(StatefulProcessor):
+    """Applies activities to the state of their key, see `fold`."""
+
+    def __init__(self, grace_seconds: int, debounce_seconds: int, fresh_label: bool, idle_days: int | None):
+        self.rules = (grace_seconds, debounce_seconds, fresh_label)
+        self.idle_ms = None if idle_days is None else idle_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("key", KEY_VALUE)
+        self.totals = handle.getMapState("days", DAY, TOTAL)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.value.get()
+        before = {day: tuple(value) for (day,), value in self.totals.iterator()} if stored else {}
+        days = sorted(day for day, (_, kept) in before.items() if kept)
+        state = KeyState(days, [before[day][0] for day in days], *(stored or ()))
+        state.open = {day: total for day, (total, kept) in before.items() if not kept}
+        for batch in rows:
+            yield self._advance(key[0], state, batch)
+        self._store(state, before)
+
+    def _advance(self, key: str, state: KeyState, rows: pd.DataFrame) -> pd.DataFrame:
+        grace, debounce, fresh = self.rules
+        out = []
+        for seq, user, time_us, clock, steps in zip(
+            *(rows[name].tolist() for name in ("arrival_seq", "userId", "time_us", "stream_us", "steps"))
+        ):
+            day_no = time_us // DAY_MICROS
+            if state.last_seq is not None and seq <= state.last_seq:
+                out.append((key, seq, user, time_us, day_no, False, None, None, None, None, False, True))
+                continue
+            state.last_seq = seq
+            on_time, total, label, seen, notified = apply_activity(
+                state, time_us, steps, None if clock == NO_TIME else clock, grace, debounce, fresh
+            )
+            day_label = step_label(total) if on_time else None
+            out.append((key, seq, user, time_us, day_no, on_time, total, day_label, label, seen, notified, False))
+        return pd.DataFrame(out, columns=columns_of(CHANGES)).astype({"steps": "Int64"})
 
+    def _store(self, state: KeyState, before: dict[int, tuple[int, bool]]) -> None:
+        after = {day: (total, True) for day, total in zip(state.days, state.totals)}
+        after.update((day, (total, False)) for day, total in state.open.items())
+        for day in before.keys() - after.keys():
+            self.totals.removeKey((day,))
+        for day, value in after.items():
+            if before.get(day) != value:
+                self.totals.updateValue((day,), value)
+        self.value.update((state.label, state.newest_us, state.kept_us, state.last_seq))
+        if self.idle_ms is not None:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(state.newest_us // 1000 + self.idle_ms)
 
-@cache
-def quiet() -> None:
-    """Once in a worker: Spark joins frames without rows to the output of each group, and pandas warns about that."""
-    warnings.filterwarnings("ignore", category=FutureWarning, message=".*DataFrame concatenation.*")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        self.totals.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def changes(
@@ -40,7 +132,8 @@ def changes(
     fresh_label: bool = False,
     idle_days: int | None = None,
 ) -> DataFrame:
-    """One row for each activity of a stream: the columns of the batch timeline, and `notified`.
+    """One row for each activity of a stream: the columns of the batch timeline, and `notified`. Starts under
+    `stream_settings`.
 
     A record whose offset is not above the last one applied to its key came behind it: it changes nothing and is
     marked `behind`. A `stream_time` column, when there is one, is the clock for the grace period. `idle_days` drops the
@@ -48,51 +141,22 @@ def changes(
     """
     stream_us = F.unix_micros("stream_time") if "stream_time" in activity.columns else F.lit(None).cast("bigint")
     rows = counted(activity)
-    timeout = GroupStateTimeout.NoTimeout
     if idle_days is not None:
         # The watermark trails by the idle time itself, so it never drops a record that still counts.
         rows = rows.withWatermark("timestamp", f"{idle_days} days")
-        timeout = GroupStateTimeout.EventTimeTimeout
     rows = rows.select(
         "key",
         "arrival_seq",
         "userId",
         *(["timestamp"] if idle_days is not None else []),
         F.unix_micros("timestamp").alias("time_us"),
-        stream_us.alias("stream_us"),
+        F.coalesce(stream_us, F.lit(NO_TIME)).alias("stream_us"),
         "steps",
     )
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        quiet()
-        if group.hasTimedOut:
-            group.remove()
-            return
-        state = KeyState(*_from_store(group.get)) if group.exists else KeyState()
-        rows = pd.concat(list(batches)).sort_values("arrival_seq")
-        clocks = rows["stream_us"].astype("Int64").tolist()
-        out = []
-        for seq, user, time_us, clock, steps in zip(
-            rows["arrival_seq"].tolist(), rows["userId"].tolist(), rows["time_us"].tolist(), clocks, rows["steps"].tolist()
-        ):
-            day_no = time_us // DAY_MICROS
-            if state.last_seq is not None and seq <= state.last_seq:
-                out.append((key[0], seq, user, time_us, day_no, False, None, None, None, None, False, True))
-                continue
-            state.last_seq = seq
-            stream = None if clock is pd.NA else clock
-            on_time, total, label, seen, notified = apply_activity(
-                state, time_us, steps, stream, grace_seconds, debounce_seconds, fresh_label
-            )
-            day_label = step_label(total) if on_time else None
-            out.append((key[0], seq, user, time_us, day_no, on_time, total, day_label, label, seen, notified, False))
-        group.update(astuple(state))
-        if idle_days is not None:
-            group.setTimeoutTimestamp(state.newest_us // 1000 + idle_days * 86_400_000)
-        frame = pd.DataFrame(out, columns=[part.split()[0] for part in CHANGES.split(", ")])
-        yield frame.astype({"steps": "Int64"})
-
-    stateful = rows.groupBy("key").applyInPandasWithState(advance, CHANGES, STATE, "update", timeout)
+    processor = Changes(grace_seconds, debounce_seconds, fresh_label, idle_days)
+    time_mode = "None" if idle_days is None else "EventTime"
+    grouped = dealt(rows, "key", "arrival_seq").groupBy("key")
+    stateful = grouped.transformWithStateInPandas(processor, CHANGES, "Append", time_mode)
     return stateful.select(
         "key",
         "arrival_seq",
@@ -107,8 +171,3 @@ def changes(
         "notified",
         "behind",
     )
-
-
-def _from_store(stored: tuple) -> tuple:
-    days, totals, *rest = stored
-    return list(days), list(totals), *rest

@@ -59,6 +59,17 @@ def test_the_oldest_day_leaves_before_a_new_one_enters():
     assert state.days == [2, 11, 12, 13, 14, 15, 16]
 
 
+def test_a_day_that_was_pushed_out_goes_on_from_its_total():
+    state = KeyState(days=list(range(10, 17)), totals=[1000] * 7)
+    add_steps(state, 2, 300)
+    assert state.open == {10: 1000}
+    assert add_steps(state, 10, 5) == 1005
+    assert state.days == list(range(10, 17)) and state.open == {2: 300}
+    # Once it is closed it is forgotten.
+    apply_activity(state, 17 * DAY_US, 10, stream_us=17 * DAY_US)
+    assert state.open == {}
+
+
 @pytest.mark.parametrize("days, result", [([0, 1, 2, 3, 4, 5], True), ([4], True), ([], True), ([0, 1, 2, 5], False)])
 def test_continuity(days, result):
     assert is_continuous(days) is result

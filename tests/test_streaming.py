@@ -12,7 +12,9 @@ from stridelake.sources import events as feeds
 from stridelake.sources.activity_json import decode_normalized, encode_normalized
 from stridelake.sources.streams import FEED, files
 from stridelake.streaming import pipeline, sinks
-from stridelake.streaming.metrics import ObservedMetrics
+from stridelake.streaming.metrics import ObservedMetrics, rows_dropped
+from stridelake.streaming.clock import with_clock
+from stridelake.streaming.stateful import Changes
 
 SETTINGS = Settings(debounce_seconds=3600, unique_ids=True)
 CLOCKED = ACTIVITY + ", stream_time timestamp"
@@ -98,6 +100,33 @@ def test_delivery_stream(spark, tmp_path, activity):
     assert spark.read.parquet(outbox).count() == 2
 
 
+def test_delivery_of_repeated_and_late_batches_reads_no_outbox(spark, tmp_path, activity):
+    """A batch that comes twice, one that comes late with times before it, and one of both."""
+    from stridelake.operators.notify import notification_fields
+    from stridelake.schemas import NOTIFICATION_ROW
+
+    rows = notification_fields(activity(*[(f"u{i % 3}", at(i / 4), 1) for i in range(40)]))
+    source, outbox = str(tmp_path / "in"), str(tmp_path / "outbox")
+    checkpoint = str(tmp_path / "checkpoint")
+
+    def deliver(part):
+        add_file(part, source)
+        stream = files(spark, source, NOTIFICATION_ROW, files_per_batch=1)
+        query = pipeline.start_delivery(stream, outbox, checkpoint, once=True)
+        query.awaitTermination()
+        return rows_dropped(query)
+
+    for part in ("arrival_seq >= 20", "arrival_seq >= 25", "arrival_seq < 10", "arrival_seq < 30"):
+        assert deliver(rows.where(part)) == 0
+    sent = spark.read.parquet(outbox)
+    assert sent.count() == 40 and sent.select("key", "arrival_seq").distinct().count() == 40
+    assert sent.where("day = date'2024-01-01'").count() > 0
+    # Far behind the newest one nothing is known any more: such rows are counted, not sent twice.
+    deliver(notification_fields(activity(("u9", at(100), 1))).selectExpr("* EXCEPT (arrival_seq)", "99L AS arrival_seq"))
+    assert deliver(rows.where("arrival_seq = 0")) == 1
+    assert spark.read.parquet(outbox).count() == 41
+
+
 def test_normalization_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     ios, android, out = (str(tmp_path / name) for name in ("ios", "android", "out"))
@@ -146,3 +175,100 @@ def test_daily_stream_reports_what_it_observed(spark, tmp_path, activity):
         assert listener.failures == []
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_a_key_with_half_of_the_rows_is_never_in_memory_as_a_whole(spark, tmp_path, activity, monkeypatch):
+    """Its rows come in offset order, batch by batch, from files that are cut at random."""
+    rows = [("hot", at(minutes=i // 3), 3) for i in range(4000)] + [(f"k{i % 900}", at(i / 900), 50) for i in range(4000)]
+    table = activity(*sorted(rows, key=lambda row: row[1])).cache()
+    folders = {name: str(tmp_path / name) for name in ("in", "out", "checkpoint")}
+    table.repartition(5).write.parquet(folders["in"])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "100")
+    try:
+        stream = files(spark, folders["in"], ACTIVITY, files_per_batch=None)
+        pipeline.start_changes(stream, folders["out"], folders["checkpoint"], SETTINGS, once=True).awaitTermination()
+    finally:
+        spark.conf.unset(name)
+    log = sinks.read_log(spark, folders["out"], sinks.CHANGES)
+    assert log.select("batch_id").distinct().count() == 1
+    assert sinks.read_log(spark, folders["out"], sinks.BEHIND).count() == 0
+    replay = Replay(table, SETTINGS).timeline().drop("block")
+    assert same(log.select(*replay.columns), replay)
+
+
+def test_rows_of_a_key_are_taken_in_batches():
+    import pandas as pd
+
+    class Value:
+        stored = None
+
+        def get(self):
+            return self.stored
+
+        def update(self, value):
+            self.stored = value
+
+    class Days(dict):
+        def iterator(self):
+            return iter([((day,), value) for day, value in self.items()])
+
+        def updateValue(self, key, value):
+            self[key[0]] = value
+
+        def removeKey(self, key):
+            del self[key[0]]
+
+    taken = []
+
+    def batches():
+        for i in range(50):
+            taken.append(i)
+            yield pd.DataFrame(
+                {"arrival_seq": [i], "userId": ["u"], "time_us": [i * 3_600_000_000], "stream_us": [-(2**62)], "steps": [10]}
+            )
+
+    processor = Changes(3600, 10, False, None)
+    processor.value, processor.totals = Value(), Days()
+    for i, frame in enumerate(processor.handleInputRows(("u",), batches(), None)):
+        assert len(frame) == 1 and len(taken) == i + 1
+    assert processor.totals == {0: (240, True), 1: (240, True), 2: (20, True)}
+
+
+def test_clock_and_changes_in_one_query(spark, tmp_path, activity, clocked):
+    """The clock of the source partition goes on from batch to batch; records without a key move it too."""
+    rows = clocked.drop("stream_time").selectExpr("* EXCEPT (key)", "IF(arrival_seq % 11 = 0, NULL, key) AS key")
+    folders = {name: str(tmp_path / name) for name in ("in", "out", "checkpoint")}
+    for low, high in ((0, 60), (60, 61), (61, 200), (200, 300)):
+        add_file(rows.where(f"arrival_seq >= {low} AND arrival_seq < {high}"), folders["in"])
+        stream = with_clock(files(spark, folders["in"], ACTIVITY, files_per_batch=1))
+        pipeline.start_changes(stream, folders["out"], folders["checkpoint"], SETTINGS, once=True).awaitTermination()
+    replay = Replay(rows, SETTINGS).timeline().drop("block")
+    log = sinks.read_log(spark, folders["out"], sinks.CHANGES)
+    assert log.select("batch_id").distinct().count() == 4
+    assert same(log.select(*replay.columns), replay)
+    assert replay.where("NOT on_time").count() > 0
+
+
+def test_keyed_streams_run_where_workers_cannot_import_the_package(tmp_path):
+    """A fresh process in another folder, without the package on the workers' path."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})\n"
+        "import __spark_entry__ as entry\n"
+        "from stridelake.session import build_session\n"
+        "settings = {'spark.sql.shuffle.partitions': '2', 'spark.ui.enabled': 'false'}\n"
+        "spark = build_session(master='local[2]', **settings)\n"
+        "for name in ('stream_changes', 'stream_late_changes', 'stream_notifications_given'):\n"
+        "    print(name, entry.queries()[name](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert "stream_changes 1000" in done.stdout and "stream_late_changes 1000" in done.stdout

@@ -55,31 +55,30 @@ def test_a_gap_resets_the_label(activity):
     assert Replay(activity(*rows)).timeline().orderBy("arrival_seq").collect()[-1].week_label == ""
 
 
-def test_grace_beyond_a_day_is_refused(activity):
+def test_a_negative_grace_is_refused(activity):
     with pytest.raises(ValueError):
-        Replay(activity(("u", at(), 1)), Settings(grace_seconds=86_401))
+        Replay(activity(("u", at(), 1)), Settings(grace_seconds=-1))
 
 
-def random_rows(seed, keys=6, count=500):
+def random_rows(seed, keys=6, count=500, delays=(0, 0, 0, 0, 1, 3, 26)):
     """Dense records over twelve days: some hours late, some dropped, days with late records only."""
     rng = random.Random(seed)
     now, rows = at(0), []
     for _ in range(count):
         now += timedelta(minutes=rng.choice([1, 5, 30, 90]))
-        back = rng.choice([0, 0, 0, 0, timedelta(hours=1), timedelta(hours=3), timedelta(hours=26)])
-        time = now - back if back else now
+        time = now - timedelta(hours=rng.choice(delays))
         rows.append((f"k{rng.randrange(keys)}", time, rng.choice([0, 300, 700, 2000])))
     return rows
 
 
-def expected(rows, seconds):
+def expected(rows, seconds, grace=3600):
     states, clock, out = {}, None, []
     for seq, (key, time, steps) in enumerate(rows):
         us = round(time.timestamp() * 1_000_000)
         clock = us if clock is None else max(clock, us)
         state = states.setdefault(key, KeyState())
         on_time, total, label, seen, notified = apply_activity(
-            state, us, steps, clock, debounce_seconds=seconds
+            state, us, steps, clock, grace, debounce_seconds=seconds
         )
         out.append((key, seq, us // DAY_US, on_time, total, label, seen, notified))
     return out
@@ -97,14 +96,40 @@ def expected(rows, seconds):
     ids=["regular", "regular again", "blocks of 1", "blocks of 17", "some keys hot"],
 )
 def test_replay_agrees_with_the_per_key_rules(activity, seed, policy):
-    rows = random_rows(seed)
-    replay = Replay(activity(*rows), Settings(debounce_seconds=3600, skew=policy))
+    agrees(activity, random_rows(seed), policy, 3600)
+
+
+LATE_DELAYS = (0, 0, 0, 1, 3, 26, 40, 60, 90, 150, 200, 230)
+
+
+@pytest.mark.parametrize(
+    "days_open, policy",
+    [
+        (2, REGULAR),
+        (3, SkewPolicy(0, 17)),
+        (6, SkewPolicy(140, 50)),
+        (7, REGULAR),
+        (7, SkewPolicy(0, 17)),
+        (9, SkewPolicy(0, 1)),
+        (9, SkewPolicy(140, 50)),
+    ],
+    ids=["2", "3 in blocks", "6 some hot", "7", "7 in blocks", "9 in blocks of 1", "9 some hot"],
+)
+def test_replay_agrees_when_more_days_are_open(activity, days_open, policy):
+    """From seven days on a late day can be older than all that are kept; steps are few, so that labels change."""
+    rows = random_rows(days_open, keys=3, count=600, delays=LATE_DELAYS)
+    agrees(activity, rows, policy, days_open * 86_400 - 7200)
+
+
+def agrees(activity, rows, policy, grace):
+    settings = Settings(grace_seconds=grace, debounce_seconds=3600, skew=policy)
+    replay = Replay(activity(*rows), settings)
     sent = {r.arrival_seq for r in replay.notifications().collect()}
     got = [
         (r.key, r.arrival_seq, (r.day - at().date()).days + at().date().toordinal() - 719163, r.on_time, r.steps,
          r.week_label, r.label_seen, r.arrival_seq in sent)
         for r in replay.timeline().orderBy("arrival_seq").collect()
     ]
-    want = expected(rows, 3600)
+    want = expected(rows, 3600, grace)
     assert got == want
     assert not all(row[3] for row in want) and any(row[7] for row in want)
