@@ -30,6 +30,21 @@ def test_query_equals_sql(spark, duck, name):
     assert compare(spark, duck, name, QUERIES[name], ORACLE[name], SMALL) is None
 
 
+@pytest.mark.parametrize("hidden", ["stridelake.llm", "xxhash", "regex", "ahocorasick", "public_tokenizers"])
+def test_core_queries_need_no_text_operators(hidden):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        f"import sys; sys.modules[{hidden!r}] = None; import __spark_entry__ as e; from stridelake.plans.queries import QUERIES;"
+        "print(set(QUERIES) <= set(e.queries()) and set(QUERIES) <= set(e.oracle_sql()))"
+    )
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.stdout.strip() == "True", done.stderr
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 104
 
