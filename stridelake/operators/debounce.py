@@ -24,20 +24,29 @@ from stridelake.operators.debounce_blocks import NOTHING_KEPT, entry_states
 from stridelake.session import staged
 
 
-def debounce(candidates: DataFrame, seconds: int = DEBOUNCE_SECONDS, blocked: bool = False) -> DataFrame:
+def debounce(
+    candidates: DataFrame, seconds: int = DEBOUNCE_SECONDS, blocked: bool = False, start: DataFrame | None = None
+) -> DataFrame:
     """Rows of `candidates` that are kept. Needs `key`, `arrival_seq`, `timestamp`, `block`.
 
-    `block` is null for keys that one task walks as a whole; pass `blocked` when some rows have one.
+    `block` is null for keys that one task walks as a whole; pass `blocked` when some rows have one. `start` (key,
+    kept_us) has the time last kept for keys whose candidates before are not among the rows.
     """
     if not blocked:
-        return _walked(candidates.withColumn("_state", F.lit(None).cast("bigint")), ["key"], seconds)
+        return _walked(_from(candidates, start), ["key"], seconds)
     # The candidates of hot keys are read twice, for the states and for the walk, so they are written once.
     hot = staged(candidates.where("block IS NOT NULL"), "hot-candidates")
-    states = entry_states(hot.withColumn("_us", F.unix_micros("timestamp")), seconds)
-    regular = debounce(candidates.where("block IS NULL"), seconds)
+    states = entry_states(hot.withColumn("_us", F.unix_micros("timestamp")), seconds, start)
+    regular = debounce(candidates.where("block IS NULL"), seconds, start=start)
     return regular.unionByName(_walked(hot.join(states, ["key", "block"], "left"), ["key", "block"], seconds))
 
 
+def _from(rows: DataFrame, start: DataFrame | None) -> DataFrame:
+    if start is None:
+        return rows.withColumn("_state", F.lit(None).cast("bigint"))
+    return rows.join(start.select("key", F.col("kept_us").alias("_state")), "key", "left")
+
+
 def _walked(rows: DataFrame, groups: list[str], seconds: int) -> DataFrame:
     """Kept rows of each group, which starts with `_state` as the last time kept."""
     fields = [name for name in rows.columns if name != "_state"]
@@ -46,7 +55,7 @@ def _walked(rows: DataFrame, groups: list[str], seconds: int) -> DataFrame:
         "_newest", F.max("_us").over(by_arrival.rowsBetween(W.unboundedPreceding, -1))
     )
     # In a block, rows before it count as well: there only the walk can tell.
-    apart = F.col("_newest").isNull() | (F.col("_us") - F.col("_newest") > seconds * MICROS)
+    apart = F.coalesce(F.col("_us") - F.greatest("_newest", "_state") > seconds * MICROS, F.lit(True))
     # The time goes to Python and back as one number.
     passed = [name for name in fields if name != "timestamp"]
     rows = rows.select(

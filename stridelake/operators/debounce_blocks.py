@@ -28,8 +28,9 @@ STEPS = "key string, block bigint, low bigint, high bigint, kept bigint, same bo
 STATES = "key string, block bigint, _state bigint"
 
 
-def entry_states(rows: DataFrame, seconds: int) -> DataFrame:
-    """(key, block, _state) for all blocks of `rows`, which has key, block, arrival_seq and `_us`."""
+def entry_states(rows: DataFrame, seconds: int, start: DataFrame | None = None) -> DataFrame:
+    """(key, block, _state) for all blocks of `rows`, which has key, block, arrival_seq and `_us`. `start` (key, kept_us)
+    has what was kept before the first block of a key."""
 
     def block_steps(pdf: pd.DataFrame) -> pd.DataFrame:
         return _frame(pdf["key"].iloc[0], pdf["block"].iloc[0], *steps_of(pdf["_us"].to_numpy(), seconds))
@@ -38,17 +39,22 @@ def entry_states(rows: DataFrame, seconds: int) -> DataFrame:
     steps = staged(_by_group(narrow, ["key", "block"], ["arrival_seq"], block_steps, STEPS), "debounce-steps")
     top = steps.agg(F.max("block")).first()[0]
     levels = 0 if not top else math.ceil(math.log(top + 1, GROUP))
-    return _states(steps, levels)
+    return _states(steps, levels, start)
 
 
-def _states(steps: DataFrame, levels: int) -> DataFrame:
+def _states(steps: DataFrame, levels: int, start: DataFrame | None) -> DataFrame:
     if levels <= 1:
-        start = F.lit(NOTHING_KEPT).cast("bigint")
-        return _by_group(steps.withColumn("_state", start), ["key"], ["block", "low"], _walk, STATES)
+        nothing = F.lit(NOTHING_KEPT).cast("bigint")
+        if start is None:
+            first = steps.withColumn("_state", nothing)
+        else:
+            first = steps.join(start.select("key", F.col("kept_us").alias("_state")), "key", "left")
+            first = first.withColumn("_state", F.coalesce("_state", nothing))
+        return _by_group(first, ["key"], ["block", "low"], _walk, STATES)
     parents = steps.withColumn("parent", F.floor(F.col("block") / GROUP).cast("bigint"))
     order = ["block", "low"]
     composed = staged(_by_group(parents, ["key", "parent"], order, _compose_group, STEPS), "debounce-steps")
-    above = _states(composed, levels - 1).withColumnRenamed("block", "parent")
+    above = _states(composed, levels - 1, start).withColumnRenamed("block", "parent")
     return _by_group(parents.join(above, ["key", "parent"]), ["key", "parent"], order, _walk, STATES)
 
 

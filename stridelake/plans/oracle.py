@@ -313,6 +313,7 @@ for _name, _same_as in {
     "label_changelog_72h_in_blocks": "label_changelog_72h",
     "label_join_given_in_blocks": "label_join_given",
     "stream_very_late_changes": "label_changelog_9d",
+    "stream_debounce_in_blocks": "debounce",
     "stream_label_table": "label_table",
     "stream_notifications_given": "notifications_given",
 }.items():

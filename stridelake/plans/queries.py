@@ -19,7 +19,7 @@ from stridelake.session import new_path, staged, use_utc
 from stridelake.sources import activity_json as codec
 from stridelake.sources import events as feed
 from stridelake.sources import streams
-from stridelake.streaming import clock, sinks
+from stridelake.streaming import clock, debounced, sinks
 from stridelake.streaming import given as running_given
 from stridelake.streaming import pipeline as running
 from stridelake.streaming.metrics import rows_dropped
@@ -32,6 +32,7 @@ SLOW = Settings(debounce_seconds=SIX_HOURS)
 BLOCKS = SkewPolicy(hot_rows=0, block_rows=500)
 SLOW_BLOCKS = Settings(debounce_seconds=SIX_HOURS, skew=BLOCKS)
 HOUR = 3600
+CANDIDATE = "key string, arrival_seq bigint, timestamp timestamp"
 LABEL_TABLE = "key string, change_seq bigint, label string"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -424,6 +425,21 @@ def stream_very_late_changes(spark, sf_dir):
     return _week_changes(sinks.read_log(spark, base, sinks.CHANGES).drop("batch_id"))
 
 
+def stream_debounce_in_blocks(spark, sf_dir):
+    """Every activity is a candidate; three batches, in each of them every key in blocks."""
+    base, source = new_path(spark, "stream-debounce"), new_path(spark, "candidate-files")
+    rows = _activity(spark, sf_dir).select("key", "arrival_seq", "timestamp")
+    first, last = rows.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    cuts = [first + (last + 1 - first) * i // 3 for i in range(4)]
+    for low, high in zip(cuts, cuts[1:]):
+        part = rows.where(F.col("arrival_seq").between(low, high - 1))
+        part.coalesce(1).write.mode("append").parquet(source)
+    candidates = streams.files(spark, source, CANDIDATE, files_per_batch=1)
+    query = debounced.start_debounce(candidates, base, f"{base}/_checkpoint", SIX_HOURS, BLOCKS, once=True)
+    query.awaitTermination()
+    return _plain_times(sinks.read_log(spark, base, debounced.KEPT).drop("batch_id"))
+
+
 def stream_label_table(spark, sf_dir):
     """The label log in batches, merged one after the other into the current table."""
     base, source = new_path(spark, "stream-table"), new_path(spark, "label-files")
@@ -531,6 +547,7 @@ QUERIES: dict[str, Query] = {
     "stream_late_changes": stream_late_changes,
     "stream_quarantine": stream_quarantine,
     "stream_very_late_changes": stream_very_late_changes,
+    "stream_debounce_in_blocks": stream_debounce_in_blocks,
     "stream_label_table": stream_label_table,
     "stream_notifications_given": stream_notifications_given,
     "stream_labels": stream_labels,

@@ -51,9 +51,9 @@ class KeyedTable:
         rows = [(b, v, version) for b, v in held.items()]
         self.spark.createDataFrame(rows, HELD).coalesce(1).write.mode("overwrite").parquet(self._slot(version))
 
-    def current(self) -> DataFrame:
-        """The rows of the keys that are there."""
-        return present(self._read(self._held()), self.key, self.order)
+    def current(self, before: int | None = None) -> DataFrame:
+        """The rows of the keys that are there, as of the newest version, or the newest before the given one."""
+        return present(self._read(self._held(before)), self.key, self.order)
 
     def _slot(self, version: int) -> str:
         return f"{self.base}/held/slot={version % 2}"

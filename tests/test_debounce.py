@@ -91,3 +91,32 @@ def test_debounce_agrees_with_a_walk(spark, monkeypatch, block_rows, group, diso
         mine = [(seq, round(time.timestamp() * SECOND)) for seq, (k, time) in enumerate(data) if k == key]
         want |= {(key, mine[i][0]) for i in walk([us for _, us in mine], 10)[0]}
     assert got == want
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 10**6])
+@pytest.mark.parametrize("cuts", [[300], [40, 41, 180, 300]], ids=["one batch", "four batches"])
+def test_stream_in_blocks_equals_one_walk(spark, tmp_path, block_rows, cuts):
+    """The time kept last is handed from batch to batch, whatever blocks a batch is cut into."""
+    from stridelake.operators.skew import SkewPolicy
+    from stridelake.sources.streams import files
+    from stridelake.streaming import debounced, sinks
+
+    rng = random.Random(block_rows)
+    data = [(f"k{rng.randrange(3)}", at(seconds=int(us) / 1e6)) for us in times(rng, 300, 9 * SECOND, 25 * SECOND)]
+    data += [(None, at())]
+    rows = rows_of(spark, data).drop("block")
+    start = 0
+    for cut in cuts:
+        rows.where(f"arrival_seq >= {start} AND arrival_seq < {cut}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = files(spark, f"{tmp_path}/in", "key string, arrival_seq bigint, timestamp timestamp", files_per_batch=1)
+        debounced.start_debounce(
+            stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", 10, SkewPolicy(0, block_rows), once=True
+        ).awaitTermination()
+        start = cut
+    log = sinks.read_log(spark, str(tmp_path / "out"), debounced.KEPT)
+    want = set()
+    for key in ("k0", "k1", "k2"):
+        own = [(seq, round(time.timestamp() * SECOND)) for seq, (name, time) in enumerate(data) if name == key]
+        want |= {own[i][0] for i in walk([us for _, us in own], 10)[0]}
+    assert {r.arrival_seq for r in log.collect()} == want and len(want) < 250
+    assert log.count() == len(want)
