@@ -56,6 +56,16 @@ def day_totals(activity: DataFrame) -> DataFrame:
     )
 
 
+def window_totals(activity: DataFrame, length: str) -> DataFrame:
+    """`day_totals` for windows of another length, such as `1 hour`: key, start, steps, label."""
+    return (
+        counted(activity)
+        .groupBy("key", F.window("timestamp", length).alias("_window"))
+        .agg(F.sum("steps").cast("bigint").alias("steps"))
+        .select("key", F.col("_window.start").alias("start"), "steps", daily_label(F.col("steps")).alias("label"))
+    )
+
+
 def daily_steps_stream(activity: DataFrame, grace: str = "1 hour") -> DataFrame:
     """The same as a streaming aggregate: run it in update mode to get a row for each changed day.
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from stridelake.functions.rules import (
     DAILY_LOW,
     HISTORY_DAYS,
+    MICROS,
     WEEK_LOW,
     WEEK_MEDIUM_OR_HIGH,
     WEEK_NONE,
@@ -51,6 +52,34 @@ def gaps(daily: DataFrame, days: int = HISTORY_DAYS, target_days: int = 1) -> Da
     )
 
 
+def window_labels(windows: DataFrame, target_seconds: float, kept: int = HISTORY_DAYS) -> DataFrame:
+    """The weekly rule for windows of any length: the label of each (key, start) from the last `kept` windows.
+
+    `windows` has one row for each key and window: `key`, `start` (a time), `label` (the daily one). Windows are
+    continuous when no step between neighbours is longer than the target, so shorter steps are continuous too. Returns
+    `widest_seconds` and `continuous` beside the label; a single window has no step and is continuous.
+    """
+    by_start = W.partitionBy("key").orderBy("start")
+    frame, steps = by_start.rowsBetween(1 - kept, 0), by_start.rowsBetween(2 - kept, 0)
+    micros = F.unix_micros("start")
+    stepped = windows.withColumn("_step", micros - F.lag(micros).over(by_start)).select(
+        "key",
+        "start",
+        F.count(F.lit(1)).over(frame).cast("int").alias("windows_kept"),
+        (F.max("_step").over(steps) / MICROS).alias("widest_seconds"),
+        F.count_if(F.col("label") == DAILY_LOW).over(frame).alias("_low"),
+    )
+    continuous = F.coalesce(F.col("widest_seconds") <= target_seconds, F.lit(True))
+    label = (
+        F.when((F.col("windows_kept") < kept) | ~continuous, WEEK_NONE)
+        .when(F.col("_low") == 0, WEEK_MEDIUM_OR_HIGH)
+        .otherwise(WEEK_LOW)
+    )
+    return stepped.select(
+        "key", "start", "windows_kept", "widest_seconds", continuous.alias("continuous"), label.alias("window_label")
+    )
+
+
 def week_labels(daily: DataFrame) -> DataFrame:
     """Weekly label of each (key, day) at the end of that day."""
     kept = W.partitionBy("key").orderBy("day").rowsBetween(1 - HISTORY_DAYS, 0)

@@ -246,6 +246,20 @@ FROM kept WHERE back <= 7 GROUP BY key, day""",
     + """SELECT key, CAST(count(*) AS INTEGER) AS days_kept, bool_and(label <> 'daily_low_stepper') AS all_medium_or_high
 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day DESC) AS back FROM labelled)
 WHERE back <= 7 GROUP BY key""",
+    "hourly_labels": _with(ACTIVITY)
+    + """, hours AS (
+  SELECT key, CAST(date_trunc('hour', "timestamp") AS TIMESTAMP) AS start, sum(steps) AS steps FROM activity GROUP BY ALL),
+kept AS (
+  SELECT a.key, a.start, b.start AS kept_start, b.steps, row_number() OVER (PARTITION BY a.key, a.start ORDER BY b.start DESC) AS back
+  FROM hours a JOIN hours b ON b.key = a.key AND b.start <= a.start),
+stepped AS (
+  SELECT *, epoch_us(kept_start) - epoch_us(lag(kept_start) OVER (PARTITION BY key, start ORDER BY kept_start)) AS step
+  FROM kept WHERE back <= 7)
+SELECT key, start, CAST(count(*) AS INTEGER) AS windows_kept, CAST(max(step) / 1000000 AS DOUBLE) AS widest_seconds,
+  coalesce(max(step) <= 86400000000, true) AS continuous,
+  CASE WHEN count(*) < 7 OR max(step) > 86400000000 THEN '' WHEN bool_and(steps >= 1000) THEN 'medium_or_high'
+       ELSE 'low' END AS window_label
+FROM stepped GROUP BY key, start""",
     "weekly_label_changelog": _with(*TIMELINE)
     + "SELECT key, arrival_seq, day, week_label FROM timeline WHERE on_time",
     "late_label_changelog": _with(*LATE_TIMELINE)

@@ -230,6 +230,12 @@ def weekly_all_match(spark, sf_dir):
     return history.all_match(kept)
 
 
+def hourly_labels(spark, sf_dir):
+    """The same rule over the last seven active hours, which may lie up to a day apart."""
+    hours = daily.window_totals(_activity(spark, sf_dir), "1 hour")
+    return _plain_times(history.window_labels(hours, target_seconds=24 * HOUR))
+
+
 def _week_changes(timeline: DataFrame) -> DataFrame:
     return timeline.where("on_time").select("key", "arrival_seq", "day", "week_label")
 
@@ -514,6 +520,7 @@ QUERIES: dict[str, Query] = {
     "gap_check": gap_check,
     "weekly_label": weekly_label,
     "weekly_all_match": weekly_all_match,
+    "hourly_labels": hourly_labels,
     "weekly_label_changelog": weekly_label_changelog,
     "late_label_changelog": late_label_changelog,
     "label_join": label_join,

@@ -58,3 +58,40 @@ def test_latest_keeps_null_values_of_the_last_row(spark):
         [("a", 1, "x"), ("a", 3, None), ("b", 2, "y")], "key string, arrival_seq long, label string"
     )
     assert {tuple(r) for r in latest(log).collect()} == {("a", 3, None), ("b", 2, "y")}
+
+
+@pytest.mark.parametrize(
+    "steps_ms, low, target_seconds, label",
+    [
+        # Windows of a millisecond, one behind the other, are closer than a day.
+        ([1] * 9, (), 86_400, "medium_or_high"),
+        ([1] * 9, (), 0.001, "medium_or_high"),
+        ([1, 1, 1, 1, 1, 2], (), 0.001, ""),
+        ([1] * 5, (), 86_400, ""),
+        ([1] * 6, (2,), 86_400, "low"),
+        ([5000, *[1] * 6], (), 0.001, "medium_or_high"),
+    ],
+)
+def test_labels_of_windows_of_any_length(spark, steps_ms, low, target_seconds, label):
+    from conftest import at
+
+    places = [0]
+    for step in steps_ms:
+        places.append(places[-1] + step)
+    rows = [("u", at(milliseconds=ms), DAILY_LOW if i in low else DAILY_MEDIUM) for i, ms in enumerate(places)]
+    windows = spark.createDataFrame(rows, "key string, start timestamp, label string")
+    got = history.window_labels(windows, target_seconds).orderBy("start").collect()
+    assert got[-1].window_label == label
+    assert got[0].continuous and got[0].widest_seconds is None and got[-1].windows_kept == min(7, len(places))
+
+
+def test_windows_of_a_day_give_the_weekly_label(spark, activity):
+    from conftest import at
+
+    from stridelake.operators import daily
+
+    rows = activity(*[("u", at(d), s) for d, s in [(0, 2000), (1, 10), (2, 2000), (3, 1000), (4, 1500), (5, 1200), (6, 5000),
+                                                   (7, 2000), (8, 1999), (11, 2000)]])
+    days = history.week_labels(daily.day_totals(rows))
+    windows = history.window_labels(daily.window_totals(rows, "1 day"), 86_400)
+    assert windows.selectExpr("key", "CAST(start AS DATE) AS day", "window_label").exceptAll(days).count() == 0
