@@ -59,3 +59,32 @@ def test_distinct_and_coreferent_in_the_corpus(spark):
     assert re.fullmatch(r"плохо: [А-Я][а-я]+ ([А-Я][а-я]+) и [А-Я][а-я]+ \1\.", new[300])
     assert {r.spans for r in got if r.doc_id == 300} == {"first_m:7:11,last:12:18,first_f:21:25,last:26:32"}
     assert S.pseudonymise(df.limit(0), KEY).count() == 0
+
+
+def test_national_phones_cards_and_long_addresses():
+    text = (
+        "Call 01 23 45 67 89 or 030 1234567, card 3782 822463 10005, host 2001:db8::1 and FE80:0:0:0:1:2:3:4. "
+        "At 10:00:00 std::abs(a::b1) is 1 23 45 67 89."
+    )
+    found = [(k, text[a:b]) for k, _, a, b in S.mentions(text)]
+    assert found == [
+        ("phone", "01 23 45 67 89"), ("phone", "030 1234567"), ("card", "3782 822463 10005"),
+        ("ipv6", "2001:db8::1"), ("ipv6", "FE80:0:0:0:1:2:3:4"),
+    ]
+    new = S.surrogate(KEY, "ipv6", "fe80:0000:0000:0000:0001:0002:0003:0004", 0)
+    assert S.fitted("ipv6", "FE80:0:0:0:1:2:3:4", new).startswith("2001:DB8:")
+    assert re.fullmatch(r"\d\d( \d\d){4}", S.fitted("phone", "01 23 45 67 89", S.surrogate(KEY, "phone", "0123456789", 0)))
+
+
+def test_a_crowded_form_grows(spark, monkeypatch):
+    """More addresses than their form has values, and numbers that are all taken."""
+    monkeypatch.setattr(S, "ROUNDS", 40)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{a}@{b}.de") for a in letters for b in letters] + [("email", f"{a}@{n}.de") for a in letters for n in range(9)]
+    table = S.surrogate_table(spark.createDataFrame(rows, "kind string, value string").repartition(3), KEY).collect()
+    assert len({r.surrogate for r in table}) == len(rows) and not {r.surrogate for r in table} & {v for _, v in rows}
+    monkeypatch.setattr(S, "CROWDED", 2)
+    rows = [("phone", f"{n:02d}") for n in range(100)]
+    table = S.surrogate_table(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()
+    assert len({r.surrogate for r in table}) == 100 and all(len(r.surrogate) > 2 for r in table)
+    assert S.fitted("phone", "0-1", "2345") == "2-345"
