@@ -22,6 +22,7 @@ import sys
 import uuid
 from collections.abc import Callable, Collection, Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,9 @@ REMEMBERED, LONGEST = 1 << 18, 64
 #: Characters of texts that are worked on together, and of new units that are encoded together.
 BATCH_CHARS, ENCODED_CHARS = 4 << 20, 1 << 15
 
-BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
+BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+#: White space beside white space or an end of the text.
+ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z")
 SPACE_MARK = "▁"
 #: Slot of a pair: another level of the hash than the tables use.
 SLOT_LEVEL = 1 << 20
@@ -59,8 +62,8 @@ RESULT = (
 )
 DIGEST = RESULT.replace("groups string", "groups_sha256 string")
 
-#: A unit with white space at its second or last place, in units between zero bytes.
-ODD_UNIT = re.compile(r"\s\0|\0 \s")
+#: A unit with white space at its ends, in units between zero bytes.
+ODD_UNIT = re.compile(r"\s\0|\0\s")
 
 #: Tokens of a unit laid over each other: numbers of tokens of both, groups and links, the pairs of the links as 64-bit
 #: numbers, and, where it is asked for, the groups as text with a `;` behind each.
@@ -159,8 +162,14 @@ class Aligner:
         self.recent = Recent(self.aligned)
 
     def units(self, text: str) -> list[str]:
-        """Space + text, cut where neither tokenizer's tokens go across."""
-        return BETWEEN_WORDS.split(f" {text}") if self.b.by_words else [f" {text}"]
+        """Space + text, cut before spaces where neither tokenizer's tokens go across; the units' first spaces are left
+        out."""
+        if not self.b.by_words:
+            return [text]
+        if ODD_SPACE.search(text) is None:
+            return text.split(" ")
+        # The space before the text makes its first unit as the others are, unless white space follows.
+        return BETWEEN_WORDS.split(text)
 
     def aligned(self, units: list[str], with_text: bool = False) -> list[Unit | None]:
         """Each unit's tokens over each other; None where those of either are not the unit's bytes."""
@@ -176,11 +185,11 @@ class Aligner:
     def _encoded(self, units: list[str], with_text: bool) -> list[Unit | None]:
         """The units put together as one text and encoded at once, which gives the tokens of each one alone.
 
-        Only a unit with white space at its second or last place must stand alone, and one that can't be encoded.
+        Only a unit with white space at its ends must stand alone, and one that can't be encoded.
         """
         if not units:
             return []
-        text = "".join(units)
+        text = f" {' '.join(units)}"
         if len(units) > 1 and ODD_UNIT.search("\0" + "\0".join(units) + "\0"):
             return self._halves(units, with_text)
         a, b, data = self.a.encode(text), self.b.encode(text[1:]), text.encode()
@@ -198,7 +207,7 @@ class Aligner:
         ends_a[np.cumsum(self.lengths_a[a])] = True
         ends_b[np.cumsum(self.lengths_b[b])] = True
         meet = ends_a & ends_b
-        stops = np.cumsum([len(unit.encode()) for unit in units])
+        stops = np.cumsum([len(unit.encode()) + 1 for unit in units])
         if not meet[stops].all():
             raise ValueError("a token goes across the units of a text")
         # Up to and with each byte: the tokens of both that have ended, and the places where both end.
@@ -506,7 +515,7 @@ def align(docs: DataFrame, first: str, pattern: str, second: str, digest: bool =
         is_best = found == best_of.value[(links % np.uint64(size)).astype(np.int64)]
         starts = np.cumsum([0, *(part[3] for part in known[:-1])])
         sums = [np.add.reduceat(v, starts).tolist() for v in (is_best.astype(np.int64), found, (found < 0).astype(np.int64))]
-        rows = iter([(*part[:4], *more, part[5]) for part, *more in zip(known, *sums)])
+        rows = iter([((*part[:4], *more), part[5]) for part, *more in zip(known, *sums)])
         return [None if part is None else next(rows) for part in parts]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -517,14 +526,15 @@ def align(docs: DataFrame, first: str, pattern: str, second: str, digest: bool =
             for ids, index, places, lengths in _batches(frames, aligner):
                 known = kept["figures"].of(index)
                 whole = _in_whole(known, places, lengths)
-                numbers = np.array([(0,) * 7 if row is None else row[:7] for row in known], np.int64).reshape(-1, 7)[places]
+                nothing = ((0,) * 7, "")
+                values, texts = zip(*(row or nothing for row in known)) if known else ((), ())
+                numbers = np.fromiter(chain.from_iterable(values), np.int64).reshape(-1, 7)[places]
                 if (numbers[whole, 6] > 0).any():
                     raise KeyError("a pair of the second pass is not among those of the first")
                 numbers[~whole] = 0
                 ends = np.cumsum(lengths)
                 running = np.concatenate((np.zeros((1, 7), np.int64), np.cumsum(numbers, axis=0)))
                 totals = running[ends] - running[ends - lengths]
-                texts = ["" if row is None else row[7] for row in known]
                 groups = []
                 for start, end in zip((ends - lengths).tolist(), ends.tolist()):
                     good = end > start and whole[start]
