@@ -67,10 +67,14 @@ def lexicon(docs: DataFrame, settings: Settings) -> DataFrame:
     return staged(known.unionByName(none), "imatch-lexicon")
 
 
+#: What belongs to a row; the marks are hashes of its text and its edited text.
+ROW = ["doc_id", "next_id", "n_chars", "edited_sha256", "own_mark", "edited_mark"]
+
+
 def fingerprints(texts: DataFrame, lexicon_terms: DataFrame, settings: Settings) -> DataFrame:
     """One hash for each subset of the lexicon (empty where the text has none of its terms) as `prints`, with the
     row's keys. Every row comes out, those without terms too: the empty term carries what belongs to the row."""
-    kept = ["doc_id", "next_id", "n_chars", "edited_sha256"]
+    kept = ROW
     every = F.concat(terms(F.col("text")), F.array(F.lit("")))
     found = texts.select("row_key", "is_edited", F.struct(*kept).alias("row"), F.explode(every).alias("term"))
     found = found.withColumn("row", F.when(F.col("term") == "", F.col("row")))
@@ -91,9 +95,9 @@ def fingerprints(texts: DataFrame, lexicon_terms: DataFrame, settings: Settings)
     return by_row.select("row_key", "is_edited", "row.*", prints.alias("prints"))
 
 
-def likeness(one: Column, other: Column, settings: Settings) -> Column:
+def likeness(one: Column, other: Column, same_text: Column, settings: Settings) -> Column:
     """Of the sizes of subsets the largest share of equal hashes, among the subsets in which either text has a term
-    (four at least count); 1 for equal fingerprints, 0 if neither has a term."""
+    (four at least count); 1 for equal fingerprints with a term and for equal texts, else 0 if neither has a term."""
     shares = []
     for n in range(len(settings.shares)):
         a = F.slice(one, n * settings.each + 1, settings.each)
@@ -102,7 +106,7 @@ def likeness(one: Column, other: Column, settings: Settings) -> Column:
         same = F.filter(used, lambda p: p["a"] == p["b"])
         shares.append(F.size(same) / F.greatest(F.size(used), F.lit(4)))
     empty = F.array_join(one, "") == ""
-    return F.when((one == other) & ~empty, 1.0).otherwise(F.greatest(*shares)).cast("double")
+    return F.when(same_text | ((one == other) & ~empty), 1.0).otherwise(F.greatest(*shares)).cast("double")
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -146,8 +150,8 @@ def imatch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document by doc_id, the first one following the last. A null text counts as empty; a text without lexicon terms
-    has a fingerprint of empty parts and is like nothing (likeness 0). Null ids come first in the order, and equal
-    ids in that of the rows. Extra columns are not read.
+    has a fingerprint of empty parts and is like nothing but an equal text (likeness 0 and 1). Null ids come first in the order, and equal
+    ids in that of the rows. An empty table gives no rows; extra columns are not read.
     """
     rows = keyed_rows(docs)
     follow = staged(next_ids(rows.select("doc_id", "row_key")), "imatch-next")
@@ -173,25 +177,24 @@ def imatch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "next_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
+        F.xxhash64("text").alias("own_mark"),
+        F.xxhash64("edited").alias("edited_mark"),
         F.explode(
             F.array(
                 F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")),
                 F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")),
             )
         ).alias("version"),
-    ).select("row_key", "doc_id", "next_id", "n_chars", "edited_sha256", "version.*")
+    ).select("row_key", *ROW, "version.*")
     prints = fingerprints(versions, lexicon(rows, settings), settings)
     none = F.array_repeat(F.lit(""), settings.subsets)
     by_row = prints.groupBy("row_key").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("next_id").alias("next_id"),
-        F.max("n_chars").alias("n_chars"),
-        F.max("edited_sha256").alias("edited_sha256"),
+        *[F.max(name).alias(name) for name in ROW],
         F.coalesce(F.max(F.when(~F.col("is_edited"), F.col("prints"))), none).alias("own"),
         F.coalesce(F.max(F.when(F.col("is_edited"), F.col("prints"))), none).alias("edited"),
     )
     by_row = staged(by_row, "imatch-prints")
-    following = by_row.select(F.col("row_key").alias("next_key"), F.col("own").alias("next_own"))
+    following = by_row.select(F.col("row_key").alias("next_key"), F.col("own").alias("next_own"), F.col("own_mark").alias("next_mark"))
     return (
         by_row.join(follow, "row_key")
         .join(following, "next_key")
@@ -202,7 +205,7 @@ def imatch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             "edited_sha256",
             F.array_join("own", ".").alias("fingerprint"),
             F.array_join("edited", ".").alias("edited_fingerprint"),
-            likeness(F.col("own"), F.col("edited"), settings).alias("near_edited"),
-            likeness(F.col("own"), F.col("next_own"), settings).alias("near_next"),
+            likeness(F.col("own"), F.col("edited"), F.col("own_mark") == F.col("edited_mark"), settings).alias("near_edited"),
+            likeness(F.col("own"), F.col("next_own"), F.col("own_mark") == F.col("next_mark"), settings).alias("near_next"),
         )
     )

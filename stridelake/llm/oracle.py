@@ -38,7 +38,7 @@ prints AS (
   LEFT JOIN hashes h ON h.doc_id = v.doc_id AND h.is_edited = v.is_edited AND h.k = v.k
   GROUP BY v.doc_id, v.is_edited),
 pairs AS (
-  SELECT e.doc_id, e.next_id, n, sha256(edited) AS edited_sha256, a.prints AS own, b.prints AS changed, c.prints AS following
+  SELECT e.doc_id, e.next_id, n, sha256(edited) AS edited_sha256, text = edited AS unchanged, text = next_text AS repeated, a.prints AS own, b.prints AS changed, c.prints AS following
   FROM edited e
   JOIN prints a ON a.doc_id = e.doc_id AND NOT a.is_edited
   JOIN prints b ON b.doc_id = e.doc_id AND b.is_edited
@@ -47,9 +47,9 @@ scored AS (
   SELECT p.doc_id, other, s,
          len(list_filter(range(16 * s + 1, 16 * s + 17), lambda i: own[i] <> '' OR o[i] <> '')) AS used,
          len(list_filter(range(16 * s + 1, 16 * s + 17), lambda i: own[i] <> '' AND own[i] = o[i])) AS same,
-         own = o AND array_to_string(own, '') <> '' AS equal
-  FROM (SELECT doc_id, own, 'changed' AS other, changed AS o FROM pairs
-        UNION ALL SELECT doc_id, own, 'following', following FROM pairs) p, range(3) AS sizes(s)),
+         same_text OR (own = o AND array_to_string(own, '') <> '') AS equal
+  FROM (SELECT doc_id, own, 'changed' AS other, changed AS o, unchanged AS same_text FROM pairs
+        UNION ALL SELECT doc_id, own, 'following', following, repeated FROM pairs) p, range(3) AS sizes(s)),
 likeness AS (
   SELECT doc_id, other, CASE WHEN bool_or(equal) THEN 1.0 ELSE max(same::DOUBLE / greatest(used, 4)) END AS likeness
   FROM scored GROUP BY doc_id, other)
