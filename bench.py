@@ -49,8 +49,10 @@ def main() -> None:
                 "queries": times,
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
             }
-        )
+        ),
+        flush=True,
     )
+    spark.stop()
 
 
 if __name__ == "__main__":

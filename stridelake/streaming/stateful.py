@@ -22,9 +22,12 @@ from stridelake.operators.daily import counted
 from stridelake.schemas import ACTIVITY
 from stridelake.streaming.fold import KeyState, apply_activity, step_label
 
-#: The state of a key: one value, and a map of the days that are kept or still open.
-KEY_VALUE = "label string, newest_us bigint, kept_us bigint, last_seq bigint"
-DAY, TOTAL = "day int", "total bigint, kept boolean"
+#: The state of a key in the order of `KeyState`: days that are kept and others that are still open, each with its total.
+#: One value, since each call to the state store is a trip to the JVM and back.
+KEY_VALUE = (
+    "days array<int>, totals array<bigint>, label string, newest_us bigint, kept_us bigint, last_seq bigint, "
+    "open_days array<int>, open_totals array<bigint>"
+)
 CHANGES = (
     "key string, arrival_seq bigint, userId string, time_us bigint, day_no int, on_time boolean, "
     "steps bigint, day_label string, week_label string, label_seen string, notified boolean, behind boolean"
@@ -72,17 +75,16 @@ class Changes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("key", KEY_VALUE)
-        self.totals = handle.getMapState("days", DAY, TOTAL)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self.value.get()
-        before = {day: tuple(value) for (day,), value in self.totals.iterator()} if stored else {}
-        days = sorted(day for day, (_, kept) in before.items() if kept)
-        state = KeyState(days, [before[day][0] for day in days], *(stored or ()))
-        state.open = {day: total for day, (total, kept) in before.items() if not kept}
+        state = KeyState()
+        if stored is not None:
+            days, totals, *rest, open_days, open_totals = stored
+            state = KeyState(list(days), list(totals), *rest, dict(zip(open_days, open_totals)))
         for batch in rows:
             yield self._advance(key[0], state, batch)
-        self._store(state, before)
+        self._store(state)
 
     def _advance(self, key: str, state: KeyState, rows: pd.DataFrame) -> pd.DataFrame:
         grace, debounce, fresh = self.rules
@@ -102,15 +104,20 @@ class Changes(StatefulProcessor):
             out.append((key, seq, user, time_us, day_no, on_time, total, day_label, label, seen, notified, False))
         return pd.DataFrame(out, columns=columns_of(CHANGES)).astype({"steps": "Int64"})
 
-    def _store(self, state: KeyState, before: dict[int, tuple[int, bool]]) -> None:
-        after = {day: (total, True) for day, total in zip(state.days, state.totals)}
-        after.update((day, (total, False)) for day, total in state.open.items())
-        for day in before.keys() - after.keys():
-            self.totals.removeKey((day,))
-        for day, value in after.items():
-            if before.get(day) != value:
-                self.totals.updateValue((day,), value)
-        self.value.update((state.label, state.newest_us, state.kept_us, state.last_seq))
+    def _store(self, state: KeyState) -> None:
+        opened = sorted(state.open.items())
+        self.value.update(
+            (
+                state.days,
+                state.totals,
+                state.label,
+                state.newest_us,
+                state.kept_us,
+                state.last_seq,
+                [day for day, _ in opened],
+                [total for _, total in opened],
+            )
+        )
         if self.idle_ms is not None:
             for due in list(self.handle.listTimers()):
                 self.handle.deleteTimer(due)
@@ -118,7 +125,6 @@ class Changes(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.value.clear()
-        self.totals.clear()
         return iter(())
 
     def close(self) -> None:

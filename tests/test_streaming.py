@@ -209,16 +209,6 @@ def test_rows_of_a_key_are_taken_in_batches():
         def update(self, value):
             self.stored = value
 
-    class Days(dict):
-        def iterator(self):
-            return iter([((day,), value) for day, value in self.items()])
-
-        def updateValue(self, key, value):
-            self[key[0]] = value
-
-        def removeKey(self, key):
-            del self[key[0]]
-
     taken = []
 
     def batches():
@@ -229,10 +219,10 @@ def test_rows_of_a_key_are_taken_in_batches():
             )
 
     processor = Changes(3600, 10, False, None)
-    processor.value, processor.totals = Value(), Days()
+    processor.value = Value()
     for i, frame in enumerate(processor.handleInputRows(("u",), batches(), None)):
         assert len(frame) == 1 and len(taken) == i + 1
-    assert processor.totals == {0: (240, True), 1: (240, True), 2: (20, True)}
+    assert processor.value.stored[:2] == ([0, 1, 2], [240, 240, 20])
 
 
 def test_clock_and_changes_in_one_query(spark, tmp_path, activity, clocked):
