@@ -19,7 +19,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stridelake.functions.rules import DAY_MICROS, DEBOUNCE_SECONDS, GRACE_SECONDS
 from stridelake.operators.daily import counted
-from stridelake.schemas import ACTIVITY
 from stridelake.streaming.fold import KeyState, apply_activity, step_label
 
 #: The state of a key in the order of `KeyState`: days that are kept and others that are still open, each with its total.
@@ -32,7 +31,6 @@ CHANGES = (
     "key string, arrival_seq bigint, userId string, time_us bigint, day_no int, on_time boolean, "
     "steps bigint, day_label string, week_label string, label_seen string, notified boolean, behind boolean"
 )
-CLOCKED_ROW = f"{ACTIVITY}, stream_time timestamp"
 #: Stands for no time where a column of numbers has to stay one.
 NO_TIME = -(2**62)
 
