@@ -163,7 +163,7 @@ class Aligner:
 
     def units(self, text: str) -> list[str]:
         """Space + text, cut before spaces where neither tokenizer's tokens go across; the units' first spaces are left
-        out."""
+        out. The first tokenizer's pattern has to begin a piece at each space between others than white space."""
         if not self.b.by_words:
             return [text]
         if ODD_SPACE.search(text) is None:
