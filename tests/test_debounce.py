@@ -93,8 +93,11 @@ def test_debounce_agrees_with_a_walk(spark, monkeypatch, block_rows, group, diso
     assert got == want
 
 
-@pytest.mark.parametrize("block_rows", [1, 7, 10**6])
-@pytest.mark.parametrize("cuts", [[300], [40, 41, 180, 300]], ids=["one batch", "four batches"])
+@pytest.mark.parametrize(
+    "block_rows, cuts",
+    [(7, [300]), (1, [40, 41, 300]), (10**6, [40, 41, 180, 300])],
+    ids=["one batch", "blocks of 1", "whole keys"],
+)
 def test_stream_in_blocks_equals_one_walk(spark, tmp_path, block_rows, cuts):
     """The time kept last is handed from batch to batch, whatever blocks a batch is cut into."""
     from stridelake.operators.skew import SkewPolicy
