@@ -438,11 +438,11 @@ def stream_debounce_in_blocks(spark, sf_dir):
     first, last = rows.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
     cuts = [first + (last + 1 - first) * i // 3 for i in range(4)]
     for low, high in zip(cuts, cuts[1:]):
-        part = rows.where(F.col("arrival_seq").between(low, high - 1))
-        part.coalesce(1).write.mode("append").parquet(source)
-    candidates = streams.files(spark, source, CANDIDATE, files_per_batch=1)
-    query = debounced.start_debounce(candidates, base, f"{base}/_checkpoint", SIX_HOURS, BLOCKS, once=True)
-    query.awaitTermination()
+        # The files of a batch are as many as the table is read in; the query goes on where it has stopped.
+        rows.where(F.col("arrival_seq").between(low, high - 1)).write.mode("append").parquet(source)
+        candidates = streams.files(spark, source, CANDIDATE, files_per_batch=None)
+        query = debounced.start_debounce(candidates, base, f"{base}/_checkpoint", SIX_HOURS, BLOCKS, once=True)
+        query.awaitTermination()
     return _plain_times(sinks.read_log(spark, base, debounced.KEPT).drop("batch_id"))
 
 

@@ -123,3 +123,39 @@ def test_stream_in_blocks_equals_one_walk(spark, tmp_path, block_rows, cuts):
         want |= {own[i][0] for i in walk([us for _, us in own], 10)[0]}
     assert {r.arrival_seq for r in log.collect()} == want and len(want) < 250
     assert log.count() == len(want)
+
+
+def test_small_blocks_are_worked_on_together():
+    """What a batch ends is one call, however many blocks it is, and gives what each block gives alone."""
+    import numpy as np
+    import pandas as pd
+
+    sizes = np.arange(400) % 7 + 1
+    block = np.repeat(np.arange(400), sizes)
+    rng = np.random.default_rng(4)
+    us = np.cumsum(rng.integers(0, 6 * SECOND, len(block))) - rng.integers(0, 30 * SECOND, len(block))
+    rows = pd.DataFrame({"key": "k", "block": block, "_us": us})
+    calls = []
+
+    def work(frame):
+        calls.append(frame)
+        begins = debounce_blocks._begins(frame, ["key", "block"])
+        of, *steps = debounce_blocks._steps(frame["_us"].to_numpy(), begins, 10)
+        return debounce_blocks._frame("k", frame["block"].to_numpy()[begins[of]], *steps)
+
+    class Rows:
+        def repartition(self, *keys):
+            return self
+
+        def sortWithinPartitions(self, *keys):
+            return self
+
+        def mapInPandas(self, walk, layout):
+            return pd.concat(walk(iter([rows.iloc[:700], rows.iloc[700:702], rows.iloc[702:]])))
+
+    got = debounce_blocks._by_group(Rows(), ["key", "block"], ["block"], work, "")
+    assert len(calls) <= 4 and sum(len(frame) for frame in calls) == len(rows)
+    for one in range(400):
+        want = steps_of(us[block == one], 10)
+        for name, column in zip(("low", "high", "kept", "same"), want):
+            assert got.loc[got["block"] == one, name].tolist() == column.tolist()
