@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stridelake.functions.rules import DEBOUNCE_SECONDS, WEEK_MEDIUM_OR_HIGH
 from stridelake.operators.daily import counted
@@ -27,18 +27,11 @@ TABLES = "label string, sent_us bigint"
 JOINED = "key string, arrival_seq bigint, userId string, time_us bigint, label string, sent_us bigint, notified boolean"
 
 
-class GivenTables(StatefulProcessor):
+def _walk(debounce_seconds: int):
     """Keeps what the two tables hold for a key and shows it to the key's records."""
 
-    def __init__(self, debounce_seconds: int):
-        self.debounce_seconds = debounce_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tables = handle.getValueState("tables", TABLES)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.tables.get()
-        label, sent = stored or (None, None)
+    def walk(key: tuple, rows: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        label, sent = group.get if group.exists else (None, None)
         for batch in rows:
             out = []
             for tag, seq, user, time_us, new_label, sent_us in zip(
@@ -49,14 +42,13 @@ class GivenTables(StatefulProcessor):
                 elif tag == SENT_CHANGE:
                     sent = None if sent_us == NO_TIME else sent_us
                 else:
-                    notified = label == WEEK_MEDIUM_OR_HIGH and passes_debounce(time_us, sent, self.debounce_seconds)
+                    notified = label == WEEK_MEDIUM_OR_HIGH and passes_debounce(time_us, sent, debounce_seconds)
                     out.append((key[0], seq, user, time_us, label, sent, notified))
             frame = pd.DataFrame(out, columns=columns_of(JOINED))
             yield frame.astype({"sent_us": "Int64"})
-        self.tables.update((label, sent))
+        group.update((label, sent))
 
-    def close(self) -> None:
-        pass
+    return walk
 
 
 def _tagged(rows: DataFrame, tag: int, seq: str, **own) -> DataFrame:
@@ -87,7 +79,9 @@ def join_given_tables(
         )
     )
     grouped = dealt(rows, "key", "time_us", "tag", "seq").groupBy("key")
-    joined = grouped.transformWithStateInPandas(GivenTables(debounce_seconds), JOINED, "Append", "None")
+    joined = grouped.applyInPandasWithState(
+        _walk(debounce_seconds), JOINED, TABLES, "append", GroupStateTimeout.NoTimeout
+    )
     return joined.select(
         "key",
         "arrival_seq",

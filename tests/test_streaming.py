@@ -14,7 +14,7 @@ from stridelake.sources.streams import FEED, files
 from stridelake.streaming import pipeline, sinks
 from stridelake.streaming.metrics import ObservedMetrics, rows_dropped
 from stridelake.streaming.clock import with_clock
-from stridelake.streaming.stateful import Changes
+from stridelake.streaming.stateful import Changes, changes
 
 SETTINGS = Settings(debounce_seconds=3600, unique_ids=True)
 CLOCKED = ACTIVITY + ", stream_time timestamp"
@@ -262,3 +262,17 @@ def test_keyed_streams_run_where_workers_cannot_import_the_package(tmp_path):
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
     assert "stream_changes 1000" in done.stdout and "stream_late_changes 1000" in done.stdout
+
+
+def test_state_comes_with_the_rows_of_its_key(spark, tmp_path, activity, capfd):
+    """Many keys of few rows: their state travels in the batches of rows, not in a call to the store for each key."""
+    from stridelake.streaming import given
+
+    add_file(activity(("a", at(), 10)), str(tmp_path / "in"))
+    stream = files(spark, str(tmp_path / "in"), ACTIVITY)
+    labels = stream.selectExpr("key", "arrival_seq AS change_seq", "timestamp", "userId AS label")
+    sent = stream.selectExpr("key", "arrival_seq AS change_seq", "timestamp", "timestamp AS sent_at")
+    for rows in (changes(stream), given.join_given_tables(stream, labels, sent)):
+        rows.explain(True)
+        plan = capfd.readouterr().out
+        assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
