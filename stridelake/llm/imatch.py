@@ -193,19 +193,28 @@ def imatch(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.coalesce(F.max(F.when(~F.col("is_edited"), F.col("prints"))), none).alias("own"),
         F.coalesce(F.max(F.when(F.col("is_edited"), F.col("prints"))), none).alias("edited"),
     )
+    own, edited = F.col("own"), F.col("edited")
+    # The parts go on as one text each, and a row as a whole meets the next one's in one join only.
+    by_row = by_row.select(
+        "row_key",
+        *[name for name in ROW if name != "edited_mark"],
+        F.array_join(own, ".").alias("fingerprint"),
+        F.array_join(edited, ".").alias("edited_fingerprint"),
+        likeness(own, edited, F.col("own_mark") == F.col("edited_mark"), settings).alias("near_edited"),
+    )
     by_row = staged(by_row, "imatch-prints")
-    following = by_row.select(F.col("row_key").alias("next_key"), F.col("own").alias("next_own"), F.col("own_mark").alias("next_mark"))
-    return (
-        by_row.join(follow, "row_key")
-        .join(following, "next_key")
-        .select(
-            "doc_id",
-            "next_id",
-            "n_chars",
-            "edited_sha256",
-            F.array_join("own", ".").alias("fingerprint"),
-            F.array_join("edited", ".").alias("edited_fingerprint"),
-            likeness(F.col("own"), F.col("edited"), F.col("own_mark") == F.col("edited_mark"), settings).alias("near_edited"),
-            likeness(F.col("own"), F.col("next_own"), F.col("own_mark") == F.col("next_mark"), settings).alias("near_next"),
-        )
+    named = [F.col("row_key").alias("next_key"), F.col("fingerprint").alias("next_print"), F.col("own_mark").alias("next_mark")]
+    following = by_row.select(*named).join(follow, "next_key").select("row_key", "next_print", "next_mark")
+    parts = [F.split(name, r"\.").alias(f"{name}_parts") for name in ("fingerprint", "next_print")]
+    both = by_row.join(following, "row_key").select("*", *parts)
+    same_text = F.col("own_mark") == F.col("next_mark")
+    return both.select(
+        "doc_id",
+        "next_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        likeness(F.col("fingerprint_parts"), F.col("next_print_parts"), same_text, settings).alias("near_next"),
     )

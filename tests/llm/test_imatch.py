@@ -65,3 +65,22 @@ def test_next_ids_is_one_ring(spark):
     doc = {r.row_key: r.doc_id for r in ids.collect()}
     ring = {doc[r.row_key]: doc[r.next_key] for r in X.next_ids(ids).collect()}
     assert ring == {i: (i + 1) % 101 for i in range(101)}
+
+
+def test_whole_rows_are_dealt_once_to_meet_the_next(spark):
+    def dealt(node):
+        children = node.children()
+        inner = [x for i in range(children.size()) for x in dealt(children.apply(i))]
+        return inner + [node.output().mkString(" ")] * (node.nodeName() == "Exchange")
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = spark.createDataFrame([(i, f"alpha beta u{i}") for i in range(9)], "doc_id bigint, text string")
+        rows = dealt(X.imatch(df, SETTINGS)._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum("edited_sha256" in columns for columns in rows) == 1
+    assert not any("array" in columns or "own#" in columns for columns in rows)
