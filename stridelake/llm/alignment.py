@@ -20,12 +20,14 @@ import json
 import re
 import sys
 import uuid
-from collections.abc import Callable, Collection, Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +50,7 @@ REMEMBERED, LONGEST = 1 << 18, 64
 BATCH_CHARS, ENCODED_CHARS = 4 << 20, 1 << 15
 
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
-#: White space beside white space or an end of the text.
-ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z")
+TWO_SPACES = re.compile(r"\s\s")
 SPACE_MARK = "▁"
 #: Slot of a pair: another level of the hash than the tables use.
 SLOT_LEVEL = 1 << 20
@@ -70,6 +71,11 @@ ODD_UNIT = re.compile(r"\s\0|\0\s")
 Unit = tuple[int, int, int, int, bytes, str]
 
 
+def has_odd_space(text: str) -> bool:
+    """Whether there is white space beside white space or an end of the text."""
+    return text[:1].isspace() or text[-1:].isspace() or TWO_SPACES.search(text) is not None
+
+
 def byte_level_alphabet() -> dict[str, int]:
     """The characters that byte-level vocabularies write bytes as: printable ones as themselves, others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -131,17 +137,19 @@ class Recent:
     def __init__(self, work: Callable[[list[str]], list]):
         self.work, self.young, self.old = work, {}, {}
 
-    def of(self, units: Collection[str]) -> list:
+    def of(self, units: list[str]) -> list:
         """The value of each of the distinct units; those that are not remembered are worked out together."""
-        young, old, unknown = self.young, self.old, object()
-        values = [young.get(unit, unknown) for unit in units]
-        late = [(i, unit, old.get(unit, unknown)) for i, unit in enumerate(units) if values[i] is unknown]
-        missing = [(i, unit) for i, unit, value in late if value is unknown]
-        fresh = [(i, unit, value) for i, unit, value in late if value is not unknown]
-        fresh += [(*place, value) for place, value in zip(missing, self.work([unit for _, unit in missing]))]
-        if len(young) + len(fresh) > REMEMBERED:
+        unknown = object()
+        values = list(map(self.young.get, units, repeat(unknown)))
+        late = [i for i, value in enumerate(values) if value is unknown]
+        asked = [units[i] for i in late]
+        fresh = list(map(self.old.get, asked, repeat(unknown)))
+        missing = [i for i, value in enumerate(fresh) if value is unknown]
+        for i, value in zip(missing, self.work([asked[i] for i in missing])):
+            fresh[i] = value
+        if len(self.young) + len(fresh) > REMEMBERED:
             self.old, self.young = self.young, {}
-        for i, unit, value in fresh:
+        for i, unit, value in zip(late, asked, fresh):
             values[i] = value
             if len(unit) <= LONGEST:
                 self.young[unit] = value
@@ -161,13 +169,17 @@ class Aligner:
         )
         self.recent = Recent(self.aligned)
 
+    def is_plain(self, text: str) -> bool:
+        """Whether the units of a text are what stands between its spaces."""
+        return self.b.by_words and not has_odd_space(text)
+
     def units(self, text: str) -> list[str]:
         """Space + text, cut before spaces where neither tokenizer's tokens go across; the units' first spaces are left
         out. The first tokenizer's pattern has to begin a piece at each space between others than white space."""
+        if self.is_plain(text):
+            return text.split(" ")
         if not self.b.by_words:
             return [text]
-        if ODD_SPACE.search(text) is None:
-            return text.split(" ")
         # The space before the text makes its first unit as the others are, unless white space follows.
         return BETWEEN_WORDS.split(text)
 
@@ -189,10 +201,12 @@ class Aligner:
         """
         if not units:
             return []
-        text = f" {' '.join(units)}"
-        if len(units) > 1 and ODD_UNIT.search("\0" + "\0".join(units) + "\0"):
+        joined = " ".join(units)
+        # White space at an end of a unit stands beside the space that joins it to the next.
+        if len(units) > 1 and has_odd_space(joined) and ODD_UNIT.search("\0" + "\0".join(units) + "\0"):
             return self._halves(units, with_text)
-        a, b, data = self.a.encode(text), self.b.encode(text[1:]), text.encode()
+        text = f" {joined}"
+        a, b, data = self.a.encode(text), self.b.encode(joined), text.encode()
         whole = b"".join(map(self.b.bytes_of.__getitem__, b)) == data
         if not whole or not (self.a.exact or b"".join(map(self.a.bytes_of.__getitem__, a)) == data):
             return [None] if len(units) == 1 else self._halves(units, with_text)
@@ -550,22 +564,27 @@ def align(docs: DataFrame, first: str, pattern: str, second: str, digest: bool =
 
 def _batches(frames: Iterator[pd.DataFrame], aligner: Aligner) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
     """Parts of about `BATCH_CHARS`: ids, the distinct units, the unit at each place of all texts, units of each text."""
-    ids, places, lengths, index, held = [], [], [], {}, 0
+    plain, others, held = [], [], 0
 
     def part():
-        return ids, list(index), np.array(places, np.int64), np.array(lengths, np.int64)
+        # Arrow splits the plain texts and tells the units apart, in the order in which they come first.
+        split = pc.split_pattern(pa.array([text for _, text in plain], pa.large_string()), " ")
+        rest = [aligner.units(text) if text else [] for _, text in others]
+        units = pa.concat_arrays([split.flatten(), pa.array(chain.from_iterable(rest), pa.large_string())])
+        lengths = np.concatenate((pc.list_value_length(split).to_numpy(), np.array([len(r) for r in rest], np.int64)))
+        coded = units.dictionary_encode()
+        index = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = coded.indices.to_numpy().astype(np.int64)
+        return [i for i, _ in plain + others], index, places, lengths.astype(np.int64)
 
     for frame in frames:
         for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"]):
-            units = aligner.units(text) if text else []
-            ids.append(doc_id)
-            lengths.append(len(units))
-            places += [index.setdefault(unit, len(index)) for unit in units]
+            (plain if text and aligner.is_plain(text) else others).append((doc_id, text))
             held += len(text)
             if held >= BATCH_CHARS:
                 yield part()
-                ids, places, lengths, index, held = [], [], [], {}, 0
-    if ids:
+                plain, others, held = [], [], 0
+    if plain or others:
         yield part()
 
 

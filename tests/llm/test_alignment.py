@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -137,3 +138,25 @@ def test_remembered_units(libraries, monkeypatch):
             assert None in map(known.get, units)
             continue
         assert [sum(known[u][i] for u in units) for i in (0, 1)] == [len(a), len(b)]
+
+
+def test_batches_hold_the_units_of_every_text(monkeypatch):
+    monkeypatch.setattr(A, "BATCH_CHARS", 200)
+    aligner = A.Aligner(open(FIRST, "rb").read(), P.PATTERN, open(SECOND, "rb").read())
+    rows = [(i, text or "") for i, text in random_rows()] + [(300, "plain words and\nlines　of plain words")]
+    frames = [pd.DataFrame(rows[:90], columns=["doc_id", "text"]), pd.DataFrame(rows[90:], columns=["doc_id", "text"])]
+    got, parts = [], 0
+    for ids, index, places, lengths in A._batches(iter(frames), aligner):
+        assert len(index) == len(set(index)) == len(set(places.tolist()))
+        ends, parts = np.cumsum(lengths), parts + 1
+        got += [(str(i), [index[p] for p in places[e - n : e]]) for i, e, n in zip(ids, ends.tolist(), lengths.tolist())]
+    want = [("<NA>" if i is None else str(i), A.BETWEEN_WORDS.split(text) if text else []) for i, text in rows]
+    assert parts > 5 and sorted(got) == sorted(want)
+
+
+def test_units_are_told_apart_without_a_python_step_for_each(monkeypatch):
+    aligner = A.Aligner(open(FIRST, "rb").read(), P.PATTERN, open(SECOND, "rb").read())
+    monkeypatch.setattr(aligner, "units", lambda text: pytest.fail("a plain text was split here"))
+    frame = pd.DataFrame({"doc_id": [1, 2], "text": ["one two one", "two three"]})
+    [(ids, index, places, lengths)] = A._batches(iter([frame]), aligner)
+    assert (ids, index, places.tolist(), lengths.tolist()) == ([1, 2], ["one", "two", "three"], [0, 1, 0, 1, 2], [3, 2])
