@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.operators.skew import SkewPolicy, hot_keys, in_blocks, ranked
-from stridelake.session import staged
+from stridelake.session import staged_to_join
 
 SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 #: Order at one instant: a change comes before the record that is to see it.
@@ -75,7 +75,7 @@ def _seen_in_blocks(log: DataFrame, policy: SkewPolicy) -> DataFrame:
     rows = in_blocks(ranked(log, "key", order, F.date_trunc("hour", F.col("_time")), "_rank"), policy, "_rank")
     ends = rows.where("_change IS NOT NULL").groupBy("key", "block").agg(F.max_by("_change", "_rank").alias("_ends"))
     every = rows.select("key", "block").distinct().join(ends, ["key", "block"], "left")
-    carry = staged(
+    carry = staged_to_join(
         every.selectExpr(
             "key",
             "block",

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stridelake.functions.rules import HISTORY_DAYS, MEDIUM_FROM, WEEK_LOW, WEEK_MEDIUM_OR_HIGH, WEEK_NONE, daily_label
 from stridelake.operators.skew import SkewPolicy, in_blocks
 from stridelake.operators.timeline import BEFORE, SO_FAR, TIMELINE_FIELDS
-from stridelake.session import staged
+from stridelake.session import staged_to_join
 
 OLDEST = HISTORY_DAYS - 1
 
@@ -57,7 +57,7 @@ def timeline_with_open_days(
         "*",
         f"greatest(before_epoch, max(CASE WHEN on_time THEN day_no END) OVER ({in_block} {SO_FAR})) AS epoch",
     ).selectExpr("*", "CASE WHEN on_time THEN epoch - day_no END AS back")
-    context = staged(_context(rows, open_days), "open-days")
+    context = staged_to_join(_context(rows, open_days), "open-days")
     if hot is None:
         rows = rows.selectExpr("*", "CAST(NULL AS STRING) AS before_label")
     else:
@@ -90,7 +90,7 @@ def _epochs_before(rows: DataFrame) -> DataFrame:
     """(key, block, before_epoch): the newest day of the blocks before; a block without a day in time hands it on."""
     tops = rows.groupBy("key", "block").agg(F.max(F.when(F.col("on_time"), F.col("day_no"))).alias("_top"))
     earlier = f"max(_top) OVER (PARTITION BY key ORDER BY block {BEFORE}) AS before_epoch"
-    return staged(tops.selectExpr("key", "block", earlier), "epochs-before")
+    return staged_to_join(tops.selectExpr("key", "block", earlier), "epochs-before")
 
 
 def _labels_before(rows: DataFrame, context: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def _labels_before(rows: DataFrame, context: DataFrame) -> DataFrame:
     ends = context.groupBy("key", "block").agg(F.max_by("ends", "epoch").alias("_ends"))
     every = rows.select("key", "block").distinct().join(ends, ["key", "block"], "left")
     earlier = f"last(_ends, true) OVER (PARTITION BY key ORDER BY block {BEFORE}) AS before_label"
-    return staged(every.selectExpr("key", "block", earlier), "labels-before")
+    return staged_to_join(every.selectExpr("key", "block", earlier), "labels-before")
 
 
 def _context(rows: DataFrame, open_days: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _context(rows: DataFrame, open_days: int) -> DataFrame:
         *[F.sum(F.when(F.col("back") == i, F.col("walked"))).alias(f"own_{i}") for i in range(open_days + 1)],
         F.max_by("unbroken", "arrival_seq").alias("unbroken"),
     )
-    parts = staged(parts, "epoch-parts")
+    parts = staged_to_join(parts, "epoch-parts")
     brought = F.array(
         *[F.struct((F.col("epoch") - i).alias("day"), F.sum(f"own_{i}").alias("total")) for i in range(open_days + 1)]
     )

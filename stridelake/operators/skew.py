@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stridelake.session import staged
+from stridelake.session import staged_to_join
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ def in_blocks(rows: DataFrame, policy: SkewPolicy, seq: str = "arrival_seq") ->
     before = W.partitionBy("key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     counts = ranged.groupBy("key", "_range").agg(F.count(F.lit(1)).alias("_n"))
     own = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(policy.block_rows)).cast("bigint")
-    blocks = staged(counts.select("key", "_range", own.alias("block")), "key-blocks")
+    blocks = staged_to_join(counts.select("key", "_range", own.alias("block")), "key-blocks")
     return ranged.join(blocks, ["key", "_range"]).drop("_range")
 
 
@@ -50,7 +50,7 @@ def hot_keys(rows: DataFrame, policy: SkewPolicy) -> DataFrame | None:
     over the limit. Records without a key are no key.
     """
     counts = rows.where("key IS NOT NULL").groupBy("key").count()
-    hot = staged(counts.where(F.col("count") > policy.hot_rows).select("key"), "hot-keys")
+    hot = staged_to_join(counts.where(F.col("count") > policy.hot_rows).select("key"), "hot-keys")
     return None if hot.isEmpty() else hot
 
 

@@ -27,7 +27,7 @@ from stridelake.functions.rules import (
     daily_label,
 )
 from stridelake.operators.skew import SkewPolicy, in_blocks
-from stridelake.session import staged
+from stridelake.session import staged_to_join
 
 TIMELINE_FIELDS = [
     "key",
@@ -104,7 +104,7 @@ def _in_blocks(rows: DataFrame, policy: SkewPolicy, fresh_label: bool) -> DataFr
 
     # The next day's first record is what turns later records of a day into late ones.
     by_day = W.partitionBy("key").orderBy("day_no")
-    openings = staged(
+    openings = staged_to_join(
         rows.where("on_time")
         .groupBy("key", "day_no")
         .agg(F.min("arrival_seq").alias("_first"))
@@ -117,7 +117,7 @@ def _in_blocks(rows: DataFrame, policy: SkewPolicy, fresh_label: bool) -> DataFr
             "*", f"CASE WHEN on_time THEN day_no + {is_late} END AS epoch"
         )
     )
-    carries = staged(_carries(rows), "epoch-carries").withColumnsRenamed(
+    carries = staged_to_join(_carries(rows), "epoch-carries").withColumnsRenamed(
         {"key": "_key", "block": "_block", "epoch": "_epoch"}
     )
     same = (
