@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.functions.rules import MICROS
-from stridelake.session import staged
+from stridelake.session import staged_to_join
 
 NOTHING_KEPT = -(2**62)
 END = 2**62
@@ -40,7 +40,7 @@ def entry_states(rows: DataFrame, seconds: int, start: DataFrame | None = None)
         return _frame(frame["key"].to_numpy()[at], frame["block"].to_numpy()[at], *steps)
 
     narrow = rows.select("key", "block", "arrival_seq", "_us")
-    steps = staged(_by_group(narrow, ["key", "block"], ["arrival_seq"], block_steps, STEPS), "debounce-steps")
+    steps = staged_to_join(_by_group(narrow, ["key", "block"], ["arrival_seq"], block_steps, STEPS), "debounce-steps")
     top = steps.agg(F.max("block")).first()[0]
     levels = 0 if not top else math.ceil(math.log(top + 1, GROUP))
     return _states(steps, levels, start)
@@ -57,7 +57,7 @@ def _states(steps: DataFrame, levels: int, start: DataFrame | None) -> DataFrame
         return _by_group(first, ["key"], ["block", "low"], _walk, STATES)
     parents = steps.withColumn("parent", F.floor(F.col("block") / GROUP).cast("bigint"))
     order = ["block", "low"]
-    composed = staged(_by_group(parents, ["key", "parent"], order, _compose_groups, STEPS), "debounce-steps")
+    composed = staged_to_join(_by_group(parents, ["key", "parent"], order, _compose_groups, STEPS), "debounce-steps")
     above = _states(composed, levels - 1, start).withColumnRenamed("block", "parent")
     return _by_group(parents.join(above, ["key", "parent"]), ["key", "parent"], order, _walk, STATES)
 
